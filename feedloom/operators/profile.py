@@ -42,7 +42,7 @@ def column_list(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         for i, f in enumerate(_fields(df, columns))
     ]
     schema = "ordinal int, column string, dtype string, logical_type string"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return session.literal_rows(df.sparkSession, rows, schema)
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -279,11 +279,14 @@ def column_profile(
             ).alias("top_values"),
         )
     )
-    out = listed.join(totals, "ordinal", "left").join(sampled, "ordinal", "left")
-    out = out.join(ranked, "ordinal", "left")
+    # Every side below has at most one row per column of the schema.
+    out = listed.join(F.broadcast(totals), "ordinal", "left")
+    out = out.join(F.broadcast(sampled), "ordinal", "left")
+    out = out.join(F.broadcast(ranked), "ordinal", "left")
     if medians:
         numbers = counted.where(F.col("number").isNotNull()).select("ordinal", "number", "n")
-        out = out.join(exact_median(numbers, "ordinal", small=small), "ordinal", "left")
+        middle = exact_median(numbers, "ordinal", small=small)
+        out = out.join(F.broadcast(middle), "ordinal", "left")
     else:
         out = out.withColumn("median", F.lit(None).cast("double"))
     zeros = {name: 0 for name in ("rows", "non_null", "unique_count")}

@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side may be treated as small when the optimizer's size for it is below this.
 SMALL_BYTES = 64 * 1024 * 1024
@@ -64,3 +68,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size of a frame; joins and unknown sources count as large."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few driver-known rows as literals of the plan; no data is shipped to tasks."""
+    fields = T.StructType.fromDDL(schema).fields
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
