@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from feedloom.functions.meta import json_row
 from feedloom.functions.text import collapse_whitespace, strip
 from feedloom.operators.joins import join_tables
 from feedloom.operators.latest import deduplicate
@@ -402,34 +403,49 @@ def run_steps(df: DataFrame, steps: Sequence[Step | Mapping], context: Context |
     return reduce(lambda frame, step: step.apply(frame, context or {}), built, df)
 
 
+PREVIEW_ROWS = 5
+
+
 def frame_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: row counts, columns added and removed, type changes, previews."""
-    spark = before.sparkSession
     old, new = dict(before.dtypes), dict(after.dtypes)
     changed = [
         f"{c}: {old[c]} -> {new[c]}" for c in sorted(set(old) & set(new)) if old[c] != new[c]
     ]
-    counts = before.agg(F.count(F.lit(1)).alias("rows_before")).join(
-        after.agg(F.count(F.lit(1)).alias("rows_after"))
-    )
-    texts = F.array().cast("array<string>")
+    sides = _measure(before, "before").unionAll(_measure(after, "after"))
 
-    def listing(names: list[str]) -> Column:
-        return F.array(*[F.lit(n) for n in names]) if names else texts
+    def of(side: str, name: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(name)))
 
-    return counts.select(
+    def listing(names: list[str]) -> Column:
+        empty = F.array().cast("array<string>")
+        return F.array(*[F.lit(n) for n in names]) if names else empty
+
+    measured = sides.agg(
+        of("before", "rows").alias("rows_before"),
+        of("after", "rows").alias("rows_after"),
+        of("before", "preview").alias("preview_before"),
+        of("after", "preview").alias("preview_after"),
+    )
+    return measured.select(
         "rows_before",
         "rows_after",
         (F.col("rows_after") - F.col("rows_before")).alias("row_delta"),
         listing(sorted(set(new) - set(old))).alias("columns_added"),
         listing(sorted(set(old) - set(new))).alias("columns_removed"),
         listing(changed).alias("type_changes"),
+        "preview_before",
+        "preview_after",
     )
 
 
-def preview_rows(df: DataFrame, n: int = 5) -> list[dict]:
-    """The first n rows as plain dictionaries, for showing."""
-    return [row.asDict(recursive=True) for row in df.limit(n).collect()]
+def _measure(df: DataFrame, side: str) -> DataFrame:
+    """Row count and JSON preview of one side, as two rows."""
+    no_rows, no_preview = F.lit(None).cast("bigint"), F.lit(None).cast("array<string>")
+    counted = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("preview", no_preview)
+    head = df.limit(PREVIEW_ROWS).select(json_row(df).alias("row"))
+    shown = head.agg(F.collect_list("row").alias("preview")).select(no_rows.alias("rows"), "preview")
+    return counted.unionByName(shown).withColumn("side", F.lit(side))
 
 
 def dry_run(
