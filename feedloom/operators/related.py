@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.names import looks_like_id
 from feedloom.operators.profile import top_by
@@ -14,7 +15,7 @@ from feedloom.operators.profile import top_by
 THRESHOLD = 0.78
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(own: pd.Series, other: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two names."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(own, other)])

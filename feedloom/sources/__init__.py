@@ -1,0 +1 @@
+"""Readers, the catalog, version decisions and writers."""
