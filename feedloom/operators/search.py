@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom import session
 from feedloom.functions.vectors import TINY_NORM
 from feedloom.operators.profile import top_by
 
@@ -94,15 +95,6 @@ def _scan(corpus: DataFrame, block, k: int, dim: int, probes=None, planes=None)
     return corpus.mapInPandas(score, RESULT_SCHEMA)
 
 
-def _ranked(parts: list[DataFrame], k: int, spark) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], RESULT_SCHEMA + ", rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    return top_by(found, ["query_id"], [F.asc("distance"), F.asc("id")], k)
-
-
 def _dimension(queries: DataFrame) -> int:
     """Length of the query vectors; queries of another length are an error."""
     sizes = queries.agg(F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b")).first()
@@ -123,8 +115,30 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("vector")
     )
     dim = _dimension(queries)
-    parts = [_scan(corpus, block, k, dim) for block in _blocks(queries, dim)] if dim else []
-    return _ranked(parts, k, corpus.sparkSession)
+    if not dim:
+        return corpus.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank int")
+    return _over_blocks(queries, dim, lambda block: _scan(corpus, block, k, dim), k)
+
+
+def _over_blocks(queries: DataFrame, dim: int, scan, k: int) -> DataFrame:
+    """Rank the scans of all query blocks.
+
+    One block stays lazy. With more, each block's result is stored before the
+    next block is fetched, so the driver never holds more than two blocks.
+    """
+    spark, done, pending = queries.sparkSession, None, None
+    for block in _blocks(queries, dim):
+        if pending is not None:
+            stored = session.materialize(pending, "neighbours")
+            done = stored if done is None else done.unionAll(stored)
+        pending = _best_rows(scan(block), k)
+    if pending is None:
+        return spark.createDataFrame([], RESULT_SCHEMA + ", rank int")
+    return pending if done is None else done.unionAll(session.materialize(pending, "neighbours"))
+
+
+def _best_rows(found: DataFrame, k: int) -> DataFrame:
+    return top_by(found, ["query_id"], [F.asc("distance"), F.asc("id")], k)
 
 
 # --- approximate search -----------------------------------------------------
@@ -183,15 +197,16 @@ def nearest_in_index(
     )
     dim = _dimension(queries)
     if not dim:
-        return _ranked([], k, index.sparkSession)
+        return index.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank int")
     planes = _planes(dim, bits, seed)
-    parts = []
-    for ids, vectors in _blocks(queries, dim):
-        cells = _probes(vectors, planes, probes)
+
+    def scan(block) -> DataFrame:
+        cells = _probes(block[1], planes, probes)
         wanted = [int(c) for c in np.unique(cells)]
         rows = index.where(F.col("cell").isin(wanted)).select("id", "vector")
-        parts.append(_scan(rows, (ids, vectors), k, dim, cells, planes))
-    return _ranked(parts, k, index.sparkSession)
+        return _scan(rows, block, k, dim, cells, planes)
+
+    return _over_blocks(queries, dim, scan, k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,0 +1 @@
+"""Guarded SQL, questions, analysis plans and jobs."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import session
@@ -23,16 +23,15 @@ def table_name(feed: str, version: int, prefix: str = "feed_") -> str:
 def write_version(
     df: DataFrame, root: str, feed: str, version: int, max_rows: int | None = None
 ) -> dict[str, object] | None:
-    """Write one feed version to ``root/feed=<f>/version=<n>`` and count it in the same pass.
+    """Write one feed version below ``root`` and publish it.
 
-    An empty table, or one above ``max_rows``, is not kept as a version: the
-    count is known once the write ends, and only then is the version published
-    by its marker file, which readers look for.
+    Rows are counted from the written files' footers. An empty table, or one
+    above ``max_rows``, is not published; readers look only at published
+    versions, so a failed write is never half visible.
     """
-    counted = Observation()
     target = version_path(root, feed, version)
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(target)
-    rows = int(counted.get["rows"])
+    df.write.mode("overwrite").parquet(target)
+    rows = df.sparkSession.read.schema(df.schema).parquet(target).count()
     if rows == 0 or (max_rows and rows > max_rows):
         return None
     entry = [(feed, version, table_name(feed, version), rows, len(df.columns))]

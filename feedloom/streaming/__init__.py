@@ -1,0 +1 @@
+"""Incremental refresh of growing feed folders with Structured Streaming."""
