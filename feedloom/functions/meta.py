@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.functions.numbers import iso
 from feedloom.types import as_text, col, logical_type, missing
 
 METADATA_SCHEMA = (
@@ -18,7 +19,7 @@ METADATA_SCHEMA = (
 
 def split_tags(text: Column) -> Column:
     """Comma list to array, blanks trimmed, empty entries dropped."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t))
     return F.filter(parts, lambda t: t != "")
 
 
@@ -58,18 +59,14 @@ def json_row(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
             value = F.when(missing(f), F.lit(None)).otherwise(col(name))
         elif kind == "binary":
             value = F.decode(col(name), "UTF-8")
-        elif kind == "interval":
+        elif kind == "interval" or isinstance(f.dataType, T.DateType):
             value = col(name).cast("string")
+        elif kind == "datetime":
+            value = iso(col(name))
         else:
             value = col(name)
         safe.append(value.alias(name))
-    options = {
-        "ignoreNullFields": "false",
-        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-        "dateFormat": "yyyy-MM-dd",
-    }
-    return F.to_json(F.struct(*safe), options)
+    return F.to_json(F.struct(*safe), {"ignoreNullFields": "false"})
 
 
 def sha1_prefix(c: Column, chars: int = 16) -> Column:

@@ -23,4 +23,7 @@ def seconds_between(start: Column, end: Column, digits: int = 3) -> Column:
 
 
 def iso(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO-8601 text; the fraction appears only when there is one."""
+    fraction = F.date_format(c, "SSSSSS")
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""))

@@ -38,6 +38,11 @@ def mentions(question: Column, words: Sequence[str]) -> Column:
     return F.coalesce(F.lower(question).rlike("|".join(words)), F.lit(False))
 
 
+def says(question: Column, words: Sequence[str]) -> Column:
+    """Like :func:`mentions`, but whole words: "slowest" does not say "lowest"."""
+    return F.coalesce(F.lower(question).rlike(rf"\b({'|'.join(words)})\b"), F.lit(False))
+
+
 def intent(question: Column) -> Column:
     return (
         F.when(mentions(question, ("dup",)), "duplicates")
@@ -102,13 +107,13 @@ def answer(questions: DataFrame, df: DataFrame, question: str = "question") -> D
         tops = _entries(top_values(df, counted, 5), ["column"], ["label", "count"]).select(
             F.col("column").alias("__column"), F.col("entries").alias("__top")
         )
-        superlative = mentions(q, MOST_WORDS + LEAST_WORDS)
+        superlative = says(q, MOST_WORDS + LEAST_WORDS)
         about = F.when(superlative, matched_column(q, df, counted))
         # One row per text column of the schema.
         out = out.withColumn("__about", about).join(
             F.broadcast(tops), F.col("__about") == F.col("__column"), "left"
         )
-        fewest = mentions(q, LEAST_WORDS)
+        fewest = says(q, LEAST_WORDS)
         order = F.when(fewest, F.reverse("__top")).otherwise(F.col("__top"))
         first, rest = F.get(order, F.lit(0)), F.slice(order, 2, 2)
         head = F.format_string(
@@ -126,7 +131,7 @@ def answer(questions: DataFrame, df: DataFrame, question: str = "question") -> D
         boards = boards.select(
             F.concat_ws("\n", "group", "value", "side").alias("__key"), F.col("entries").alias("__board")
         )
-        fast, slow = mentions(q, FAST_WORDS), mentions(q, SLOW_WORDS)
+        fast, slow = says(q, FAST_WORDS), says(q, SLOW_WORDS)
         roles = _roles(df)
         fits = []
         for group, value in pairs:
