@@ -131,6 +131,8 @@ def exact_median(
     kept = frequencies.select(key, number, "n").join(F.broadcast(wanted), key)
     for _ in range(2):
         kept = _narrow(kept, key, number)
+    # Large integers may share one double.
+    kept = kept.groupBy(key, number, "want", "even").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(key).orderBy(number)
     running = kept.withColumn("upto", F.sum("n").over(order))
     lower = running.where(

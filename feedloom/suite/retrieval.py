@@ -104,7 +104,7 @@ def row_text_chunks(spark, sf_dir):
     """
     SELECT 'customer:column:c_acctbal' AS source,
            'Column c_acctbal (dtype double). Stats: ' || printf('min=%.2f, max=%.2f, mean=%.2f, median=%.2f.',
-             min(c_acctbal), max(c_acctbal), avg(c_acctbal), median(c_acctbal)) AS text,
+             round(min(c_acctbal), 2), round(max(c_acctbal), 2), round(avg(c_acctbal), 2), round(median(c_acctbal), 2)) AS text,
            'column:c_acctbal' AS tags FROM customer
     UNION ALL
     SELECT 'customer:column:c_mktsegment', 'Column c_mktsegment (dtype string). Top values: '
@@ -125,8 +125,8 @@ def column_documents(spark, sf_dir):
            'Summary for tickets: Dataset summary: rows=' || (SELECT count(*) FROM orders) || ', columns=2. status: top values '
            || (SELECT string_agg(o_orderstatus || ' (' || n || ')', ', ' ORDER BY n DESC, o_orderstatus) FROM s)
            || printf(' hours: numeric stats min=%.2f, median=%.2f, mean=%.2f, max=%.2f',
-                (SELECT min(o_totalprice) FROM orders), (SELECT median(o_totalprice) FROM orders),
-                (SELECT avg(o_totalprice) FROM orders), (SELECT max(o_totalprice) FROM orders))
+                (SELECT round(min(o_totalprice), 2) FROM orders), (SELECT round(median(o_totalprice), 2) FROM orders),
+                (SELECT round(avg(o_totalprice), 2) FROM orders), (SELECT round(max(o_totalprice), 2) FROM orders))
            || ' Most common status: '
            || (SELECT string_agg(o_orderstatus || ': ' || n, ', ' ORDER BY n DESC, o_orderstatus) FROM s) AS text,
            'status-tracking' AS tags

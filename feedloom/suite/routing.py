@@ -91,8 +91,8 @@ _ASK = {
       SELECT 'system', (SELECT label || ' handled the fewest tickets (' || n || ').' FROM top WHERE r = 5) || ' Next: '
         || (SELECT string_agg(label || ' (' || n || ')', ', ' ORDER BY r DESC) FROM top WHERE r IN (3, 4)) || '.'
       UNION ALL
-      SELECT 'assistant', (SELECT label || ' is the slowest for resolution hours (' || printf('%.2f', m) || ').' FROM slow WHERE r = 1)
-        || ' Next: ' || (SELECT string_agg(label || ' (' || printf('%.2f', m) || ')', ', ' ORDER BY r) FROM slow WHERE r IN (2, 3)) || '.')
+      SELECT 'assistant', (SELECT label || ' is the slowest for resolution hours (' || printf('%.2f', round(m, 2)) || ').' FROM slow WHERE r = 1)
+        || ' Next: ' || (SELECT string_agg(label || ' (' || printf('%.2f', round(m, 2)) || ')', ', ' ORDER BY r) FROM slow WHERE r IN (2, 3)) || '.')
     SELECT conv_id, turn, answer FROM conversations JOIN a USING (role)
     """,
 )
