@@ -47,15 +47,13 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName().rstrip("$")
 
 
-def _check_expressions(expressions, tables: set[str]) -> None:
+def _check_functions(expressions) -> None:
     for e in expressions:
         if _kind(e) == "UnresolvedFunction":
             name = e.nameParts().mkString(".").lower()
             if name.rpartition(".")[2] in FORBIDDEN_FUNCTIONS:
                 raise SqlRejected(f"function {name} is not allowed")
-        if hasattr(e, "plan") and "Subquery" in _kind(e):
-            _check_plan(e.plan(), tables)
-        _check_expressions(_items(e.children()), tables)
+        _check_functions(_items(e.children()))
 
 
 def _check_plan(node, tables: set[str]) -> None:
@@ -75,9 +73,10 @@ def _check_plan(node, tables: set[str]) -> None:
         for entry in _items(node.cteRelations()):
             _check_plan(entry.productElement(1), tables)
             tables.add(entry.productElement(0).lower())
-    _check_expressions(_items(node.expressions()), tables)
-    for child in _items(node.children()):
-        _check_plan(child, tables)
+    _check_functions(_items(node.expressions()))
+    for part in (node.children(), node.subqueries()):
+        for inner in _items(part):
+            _check_plan(inner, tables)
 
 
 def check(spark: SparkSession, sql: str, tables: Collection[str]) -> None:
