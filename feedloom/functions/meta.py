@@ -78,8 +78,12 @@ def sha256_prefix(c: Column, chars: int = 16) -> Column:
 
 
 def row_hash(schema: T.StructType) -> Column:
-    """64-bit hash of a whole row through its text forms, NULL apart from empty."""
+    """64-bit hash of a whole row; NULL differs from empty, NaN counts as NULL."""
     parts = []
     for f in schema.fields:
-        parts += [as_text(f), missing(f)]
+        kind = logical_type(f.dataType)
+        value = as_text(f) if kind in ("nested", "interval") else col(f.name)
+        if kind == "float":
+            value = F.when(missing(f), F.lit(None)).otherwise(value)
+        parts += [value, missing(f)]
     return F.xxhash64(*parts)

@@ -52,14 +52,19 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     reads that column only, so together they read the table once. ``number`` is
     NULL for non-numeric columns.
     """
-    parts = [_frequencies_of(df, i, f) for i, f in enumerate(_fields(df, columns))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
+    return _readable(_counted(df, _fields(df, columns), 0))
+
+
+def _counted(df: DataFrame, fields: Sequence[T.StructField], first: int) -> DataFrame:
+    out = None
+    for i, f in enumerate(fields):
+        part = _counts_of(df, first + i, f)
+        out = part if out is None else out.unionAll(part)
     return out
 
 
-def _frequencies_of(df: DataFrame, ordinal: int, f: T.StructField) -> DataFrame:
+def _counts_of(df: DataFrame, ordinal: int, f: T.StructField) -> DataFrame:
+    """(ordinal, text, whole, number, n): integers and doubles stay binary."""
     kind = logical_type(f.dataType)
     if kind == "float":
         cell = F.when(present(f), col(f.name))
@@ -69,11 +74,25 @@ def _frequencies_of(df: DataFrame, ordinal: int, f: T.StructField) -> DataFrame:
         cell = col(f.name)
     counted = df.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     grouped = counted.schema["cell"]
-    number = as_number(grouped) if is_numeric(f.dataType) else F.lit(None).cast("double")
+    text, whole, number = (F.lit(None).cast(t) for t in ("string", "bigint", "double"))
+    if kind == "integer":
+        whole = F.col("cell").cast("bigint")
+    elif is_numeric(f.dataType):
+        number = as_number(grouped)
+    if kind != "integer" and not isinstance(f.dataType, T.DoubleType):
+        text = as_text(grouped)
+    return counted.select(
+        F.lit(ordinal).alias("ordinal"), text.alias("text"), whole.alias("whole"), number.alias("number"), "n"
+    )
+
+
+def _readable(counted: DataFrame) -> DataFrame:
+    """Text and number of every value; computed only where a query uses them."""
+    real = F.when(F.col("number") == 0, F.lit(0.0)).otherwise(F.col("number")).cast("string")
     return counted.select(
-        F.lit(ordinal).alias("ordinal"),
-        as_text(grouped).alias("value"),
-        number.alias("number"),
+        "ordinal",
+        F.coalesce("text", F.col("whole").cast("string"), real).alias("value"),
+        F.coalesce("number", F.col("whole").cast("double")).alias("number"),
         "n",
     )
 
@@ -84,14 +103,12 @@ COLUMNS_PER_JOB = 48
 
 def stored_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """:func:`value_frequencies`, written once to the shared folder."""
-    chosen = list(columns or df.columns)
-    out = None
-    for start in range(0, len(chosen), COLUMNS_PER_JOB):
-        block = value_frequencies(df, chosen[start : start + COLUMNS_PER_JOB])
-        shifted = block.withColumn("ordinal", F.col("ordinal") + F.lit(start))
-        part = session.materialize(shifted, "frequencies")
+    fields, out = _fields(df, columns), None
+    for start in range(0, len(fields), COLUMNS_PER_JOB):
+        block = _counted(df, fields[start : start + COLUMNS_PER_JOB], start)
+        part = session.materialize(block, "frequencies")
         out = part if out is None else out.unionAll(part)
-    return out
+    return _readable(out)
 
 
 def top_by(
@@ -243,7 +260,8 @@ def column_profile(
     """One row per column; see ``PROFILE_SCHEMA``.
 
     Numeric columns carry min, max, mean and median, the others their top
-    values. ``sample`` profiles a repeatable sample instead of all rows.
+    values; ``samples`` are the smallest distinct values. Either list is left
+    out when its length is 0. ``sample`` profiles a repeatable sample of rows.
     """
     if sample is not None:
         df = sample_rows(df, sample)
@@ -256,7 +274,7 @@ def column_profile(
     totals = counted.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(value.isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count("value").alias("unique_count"),
+        F.count_if(value.isNotNull()).alias("unique_count"),
         F.min("number").alias("min"),
         F.max("number").alias("max"),
         (
@@ -264,10 +282,12 @@ def column_profile(
             / F.sum(F.when(F.col("number").isNotNull(), F.col("n")))
         ).alias("mean"),
     )
+    smallest = [F.asc("number"), F.asc("value")]
     sampled = (
-        top_by(counted.where(value.isNotNull()), ["ordinal"], [F.asc("value")], samples)
+        top_by(counted.where(value.isNotNull()), ["ordinal"], smallest, samples)
         .groupBy("ordinal")
-        .agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
+        .select("ordinal", F.col("ranked.value").alias("sample_values"))
     )
     texts = [i for i, f in enumerate(_fields(df, columns)) if not is_numeric(f.dataType)]
     ranked = (
@@ -283,8 +303,14 @@ def column_profile(
     )
     # Every side below has at most one row per column of the schema.
     out = listed.join(F.broadcast(totals), "ordinal", "left")
-    out = out.join(F.broadcast(sampled), "ordinal", "left")
-    out = out.join(F.broadcast(ranked), "ordinal", "left")
+    if samples:
+        out = out.join(F.broadcast(sampled), "ordinal", "left")
+    else:
+        out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
+    if top_k and texts:
+        out = out.join(F.broadcast(ranked), "ordinal", "left")
+    else:
+        out = out.withColumn("top_values", F.lit(None).cast("array<struct<label:string,count:bigint>>"))
     if medians:
         numbers = counted.where(F.col("number").isNotNull()).select("ordinal", "number", "n")
         middle = exact_median(numbers, "ordinal", small=small)
@@ -295,59 +321,79 @@ def column_profile(
     return _finish(out.fillna(zeros))
 
 
+#: Size parameters of the sketches: distinct counts within 1 %, ranks within 0.5 %.
+DISTINCT_SKETCH = 14
+QUANTILE_SKETCH = 800
+
+
+def distinct_sketch(f: T.StructField) -> Column:
+    """Mergeable sketch of a column's distinct values, over 64-bit hashes."""
+    cell = as_text(f) if logical_type(f.dataType) in ("nested", "interval") else col(f.name)
+    return F.hll_sketch_agg(F.when(present(f), F.xxhash64(cell)), DISTINCT_SKETCH)
+
+
 def _approximate(df: DataFrame, columns: Sequence[str] | None, top_k: int) -> DataFrame:
-    """Sketch-based profile: one aggregate, no shuffle of rows.
+    """Sketch-based profile: no shuffle of rows.
 
-    The distinct count is a HyperLogLog estimate, the median and the top values
-    come from quantile and frequent-item sketches.
+    Counts and bounds compile to generated code; sketches do not and would pull
+    the others out of it, so the two run as separate aggregates side by side.
     """
     fields = _fields(df, columns)
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(fields):
-        text, number = as_text(f), as_number(f) if is_numeric(f.dataType) else None
-        null_number = F.lit(None).cast("double")
-        aggregates += [
-            F.count_if(present(f)).alias(f"non_null_{i}"),
-            F.hll_sketch_estimate(F.hll_sketch_agg(text, 14)).alias(f"unique_{i}"),
-            (null_number if number is None else F.min(number)).alias(f"min_{i}"),
-            (null_number if number is None else F.max(number)).alias(f"max_{i}"),
-            (null_number if number is None else F.avg(number)).alias(f"mean_{i}"),
-            (null_number if number is None else F.percentile_approx(number, 0.5)).alias(
-                f"median_{i}"
-            ),
-        ]
-        if number is None:
-            label = F.coalesce(text, F.lit(NULL_LABEL))
-            aggregates.append(F.call_function("approx_top_k", label, F.lit(top_k)).alias(f"top_{i}"))
-    wide = df.agg(*aggregates)
-    entries = []
+    none, no_list = F.lit(None).cast("double"), F.lit(None).cast("array<string>")
     no_top = F.lit(None).cast("array<struct<label:string,count:bigint>>")
+    plain, sketches, plain_rows, sketch_rows = [F.count(F.lit(1)).alias("rows")], [], [], []
     for i, f in enumerate(fields):
-        top = no_top
-        if not is_numeric(f.dataType):
+        plain.append(F.count_if(present(f)).alias(f"non_null_{i}"))
+        sketches.append(F.hll_sketch_estimate(distinct_sketch(f)).alias(f"unique_{i}"))
+        bounds = [none.alias(s) for s in ("min", "max", "mean")]
+        middle, top = none, no_top
+        if is_numeric(f.dataType):
+            number = as_number(f)
+            plain += [
+                agg(number).alias(f"{s}_{i}") for s, agg in (("min", F.min), ("max", F.max), ("mean", F.avg))
+            ]
+            bounds = [F.col(f"{s}_{i}").alias(s) for s in ("min", "max", "mean")]
+            sketch = F.kll_sketch_agg_double(number, F.lit(QUANTILE_SKETCH))
+            sketches.append(sketch.alias(f"quantiles_{i}"))
+            middle = F.when(
+                F.col(f"quantiles_{i}").isNotNull() & (F.kll_sketch_get_n_double(f"quantiles_{i}") > 0),
+                F.kll_sketch_get_quantile_double(f"quantiles_{i}", F.lit(0.5)),
+            )
+        else:
+            label = F.coalesce(as_text(f), F.lit(NULL_LABEL))
+            sketches.append(F.call_function("approx_top_k", label, F.lit(top_k)).alias(f"top_{i}"))
             top = F.transform(
-                f"top_{i}",
-                lambda t: F.struct(t["item"].alias("label"), t["count"].alias("count")),
+                f"top_{i}", lambda t: F.struct(t["item"].alias("label"), t["count"].alias("count"))
             )
-        entries.append(
+        ordinal = F.lit(i).alias("ordinal")
+        non_null = F.col(f"non_null_{i}").alias("non_null")
+        plain_rows.append(F.struct(ordinal, "rows", non_null, *bounds))
+        sketch_rows.append(
             F.struct(
-                F.lit(i).alias("ordinal"),
-                F.col("rows"),
-                F.col(f"non_null_{i}").alias("non_null"),
-                F.least(F.col(f"unique_{i}"), F.col(f"non_null_{i}")).alias("unique_count"),
-                *[F.col(f"{s}_{i}").cast("double").alias(s) for s in ("min", "max", "mean", "median")],
-                F.lit(None).cast("array<string>").alias("sample_values"),
-                top.alias("top_values"),
+                ordinal, F.col(f"unique_{i}").alias("estimate"), middle.alias("median"), top.alias("top_values")
             )
         )
-    long = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+    def unpivot(aggregates: list[Column], rows: list[Column]) -> DataFrame:
+        return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+    # Both sides have one row per column of the schema.
+    long = unpivot(plain, plain_rows).join(F.broadcast(unpivot(sketches, sketch_rows)), "ordinal")
+    long = long.withColumn("unique_count", F.least("estimate", "non_null"))
+    long = long.withColumn("sample_values", no_list)
     return _finish(column_list(df, columns).join(F.broadcast(long), "ordinal"))
 
 
+def light_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, dtype, rows, non_null, nulls, null_percent): what drift needs, by one aggregate."""
+    types = column_list(df, columns).select("column", "dtype")
+    return null_profile(df, columns).join(F.broadcast(types), "column")
+
+
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, min, max, mean, median) of the numeric columns."""
     chosen = [f.name for f in _fields(df, columns) if is_numeric(f.dataType)]
-    return column_profile(df, chosen).select("column", "min", "max", "mean", "median")
+    return column_profile(df, chosen, samples=0, top_k=0).select("column", "min", "max", "mean", "median")
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

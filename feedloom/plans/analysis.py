@@ -15,8 +15,8 @@ from feedloom.operators.profile import (
     date_ranges,
     leaderboard_pairs,
     leaderboards,
+    light_profile,
     null_audit,
-    null_profile,
     top_values,
 )
 from feedloom.sources.catalog import inventory
@@ -168,14 +168,8 @@ KINDS = (
 def _drift_rows(df: DataFrame, previous: DataFrame | None, by_kind: dict) -> list[DataFrame]:
     """Drift needs dtypes and null shares only, so no distinct values are counted."""
 
-    def light(frame: DataFrame) -> DataFrame:
-        types = session.literal_rows(
-            frame.sparkSession, [(n, t) for n, t in frame.dtypes], "column string, dtype string"
-        )
-        return null_profile(frame).join(F.broadcast(types), "column")
-
-    now = light(df)
-    before = None if previous is None else light(previous)
+    now = light_profile(df)
+    before = None if previous is None else light_profile(previous)
     parts = []
     for i, _ in by_kind.get("drift_check", []):
         if before is None:

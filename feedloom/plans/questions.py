@@ -35,7 +35,10 @@ PEOPLE_ROLES = ("resolver", "owner", "assignee", "agent")
 
 def mentions(question: Column, words: Sequence[str]) -> Column:
     """True when the question contains any of the words, in any case."""
-    return F.coalesce(F.lower(question).rlike("|".join(words)), F.lit(False))
+    lowered, test = F.lower(question), F.lit(False)
+    for word in words:
+        test = test | lowered.contains(word)
+    return F.coalesce(test, F.lit(False))
 
 
 def says(question: Column, words: Sequence[str]) -> Column:

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.operators.profile import distinct_sketch
 from feedloom.operators.steps import Context, Step, run_steps
-from feedloom.types import as_number, as_text, is_numeric, missing
+from feedloom.types import as_number, is_numeric, missing
 
 
 def _write_batch(df: DataFrame, batch_id: int, target: str) -> None:
@@ -70,10 +71,6 @@ def read_refreshed(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).drop("batch_id")
 
 
-#: Precision of the distinct-count sketch (log2 of its size).
-SKETCH_SIZE = 14
-
-
 def partial_profile(df: DataFrame) -> DataFrame:
     """Mergeable facts per column: counts, nulls, min, max, sum and a distinct sketch."""
     fields = df.schema.fields
@@ -85,7 +82,7 @@ def partial_profile(df: DataFrame) -> DataFrame:
             F.min(number).alias(f"min_{i}"),
             F.max(number).alias(f"max_{i}"),
             F.sum(number).alias(f"sum_{i}"),
-            F.hll_sketch_agg(as_text(f), SKETCH_SIZE).alias(f"sketch_{i}"),
+            distinct_sketch(f).alias(f"sketch_{i}"),
         ]
     wide = df.agg(*aggregates)
     entries = [

@@ -107,7 +107,7 @@ def role_hints_query(spark, sf_dir):
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority AS handler_name",
         "o_custkey AS age_days", "CAST(o_orderdate AS STRING) AS ship_time",
     )
-    found = column_profile(named, medians=False)
+    found = column_profile(named, medians=False, samples=0, top_k=0)
     return role_hints(found).join(found.select("column", "rows", "unique_count"), "column")
 
 
@@ -185,6 +185,6 @@ def foreign_keys(spark, sf_dir):
     profiles = None
     for feed, (name, columns) in FEEDS.items():
         df = table(spark, sf_dir, name).selectExpr(*[f"{c} AS {n}" for c, n in columns.items()])
-        part = column_profile(df, medians=False).select(F.lit(feed).alias("feed"), "column", "is_key_candidate")
+        part = column_profile(df, medians=False, samples=0, top_k=0).select(F.lit(feed).alias("feed"), "column", "is_key_candidate")
         profiles = part if profiles is None else profiles.unionAll(part)
     return foreign_key_candidates(profiles, profiles.select("feed", "column"))

@@ -73,7 +73,7 @@ def profile_nulls(spark, sf_dir):
     ),
 )
 def profile_distinct(spark, sf_dir):
-    found = profile.column_profile(lines(spark, sf_dir), medians=False)
+    found = profile.column_profile(lines(spark, sf_dir), medians=False, samples=0, top_k=0)
     return found.select("column", "unique_count", "unique_percent")
 
 
@@ -112,7 +112,7 @@ ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_
     + ")",
 )
 def key_candidates(spark, sf_dir):
-    found = profile.column_profile(table(spark, sf_dir, "orders"), medians=False)
+    found = profile.column_profile(table(spark, sf_dir, "orders"), medians=False, samples=0, top_k=0)
     return found.select("column", "unique_count", "is_key_candidate")
 
 
@@ -120,8 +120,8 @@ def key_candidates(spark, sf_dir):
     "sample_values",
     union_sql(
         [
-            f"SELECT '{c}' AS \"column\", string_agg(v, ',' ORDER BY v) AS samples FROM ("
-            f"SELECT DISTINCT {c}::VARCHAR AS v FROM orders ORDER BY v LIMIT 5)"
+            f"SELECT '{c}' AS \"column\", string_agg(v::VARCHAR, ',' ORDER BY v) AS samples FROM ("
+            f"SELECT DISTINCT {c} AS v FROM orders ORDER BY v LIMIT 5)"
             for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")
         ]
     ),
@@ -295,7 +295,7 @@ def _two_versions(spark, sf_dir):
         F.expr("nullif(o_orderpriority, '5-LOW')").alias("o_orderpriority"),
         "o_orderdate",
     )
-    return profile.column_profile(old, medians=False), profile.column_profile(new, medians=False)
+    return profile.light_profile(old), profile.light_profile(new)
 
 
 _NEW_NULL = "round(count_if(o_orderpriority = '5-LOW') * 100.0::DOUBLE / count(*), 3)"

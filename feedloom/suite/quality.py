@@ -35,7 +35,7 @@ DIRTY_SQL = (
 
 
 def rules(spark, sf_dir):
-    return quality.generate_rules(column_profile(table(spark, sf_dir, "orders"), medians=False))
+    return quality.generate_rules(column_profile(table(spark, sf_dir, "orders"), medians=False, samples=0, top_k=0))
 
 
 _RULES_SQL = union_sql(
