@@ -174,6 +174,11 @@ def list_chunks(chunks: DataFrame, source: str | None = None, limit: int = 200)
     return rows.orderBy((F.col("type") != "note").asc(), "row_index", "id").limit(limit)
 
 
+def most_segments(limit_chars: int) -> int:
+    """How many segments can fit at most: each is at least as long as its frame."""
+    return max(1, limit_chars // len("[1] source= row=0\n\n"))
+
+
 def pack_context(hits: DataFrame, query: str = "query_id", limit_chars: int = 2500) -> DataFrame:
     """(query, segments, context): hits in rank order until the text budget is spent.
 
@@ -182,10 +187,8 @@ def pack_context(hits: DataFrame, query: str = "query_id", limit_chars: int = 25
     frame, so ranks beyond budget/frame can never fit and are dropped before
     the ordered sum.
     """
-    frame = len("[1] source= row=0\n\n")
     window = Window.partitionBy(query).orderBy("rank")
-    most = max(1, limit_chars // frame)
-    kept = hits.withColumn("position", F.row_number().over(window)).where(F.col("position") <= most)
+    kept = hits.withColumn("position", F.row_number().over(window)).where(F.col("position") <= most_segments(limit_chars))
     segment = F.concat(
         F.lit("["), F.col("position").cast("string"), F.lit("] source="), F.coalesce("source", F.lit("?")),
         F.lit(" row="), F.coalesce(F.col("row_index").cast("string"), F.lit("?")),

@@ -8,7 +8,7 @@ from feedloom import session
 from feedloom.functions import meta, text, vectors
 from feedloom.functions.names import merge_tags
 from feedloom.operators import chunks, encoder, search
-from feedloom.operators.profile import column_profile, headline_metrics
+from feedloom.operators.profile import column_profile, headline_metrics, top_by
 from feedloom.suite.registry import query, table
 
 # White space as the SQL engine's patterns can name it.
@@ -151,9 +151,11 @@ def _segments_sql(limit: int) -> str:
 
 @query("context_pack", _segments_sql(2500))
 def context_pack(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").select(
-        "lang", "source", F.col("doc_id").alias("row_index"), "text", F.struct("n_chars", "doc_id").alias("rank")
-    )
+    docs = table(spark, sf_dir, "documents")
+    # Ranking reads narrow columns; texts are fetched for ranked rows only.
+    narrow = docs.select("lang", "doc_id", "n_chars")
+    ranked = top_by(narrow, ["lang"], [F.asc("n_chars"), F.asc("doc_id")], chunks.most_segments(2500))
+    hits = docs.join(ranked.select("doc_id", "rank"), "doc_id").withColumnRenamed("doc_id", "row_index")
     packed = chunks.pack_context(hits, "lang", 2500)
     return packed.select("lang", "segments", F.md5("context").alias("digest"))
 
