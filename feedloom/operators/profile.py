@@ -147,7 +147,8 @@ def exact_median(
     )
     kept = frequencies.select(key, number, "n").join(F.broadcast(wanted), key)
     for _ in range(2):
-        kept = _narrow(kept, key, number)
+        # Stored, so that the next round does not repeat this one.
+        kept = session.materialize(_narrow(kept, key, number), "narrowed")
     # Large integers may share one double.
     kept = kept.groupBy(key, number, "want", "even").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(key).orderBy(number)
@@ -170,27 +171,45 @@ def exact_median(
     )
 
 
-def _narrow(kept: DataFrame, key: str, number: str, buckets: int = 64) -> DataFrame:
+#: Quantile buckets per narrowing round, searched as COARSE groups of COARSE.
+COARSE = 8
+BUCKETS = COARSE * COARSE
+
+
+def _narrow(kept: DataFrame, key: str, number: str) -> DataFrame:
     """Keep the quantile bucket of each key that holds its wanted rank.
 
-    Broadcast sides here have one row per key or at most 64 rows per key, and
-    keys are columns of a schema.
+    Broadcast sides here have one row per key, and keys are columns of a schema.
     """
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = kept.groupBy(key).agg(
-        F.percentile_approx(number, F.array(*[F.lit(p) for p in points]), 10000).alias("cuts")
-    )
-    bucketed = kept.join(F.broadcast(cuts), key).withColumn(
-        "bucket", F.size(F.filter("cuts", lambda cut: cut < F.col(number)))
-    )
+    points = [F.lit(i / BUCKETS) for i in range(1, BUCKETS)]
+    cuts = kept.groupBy(key).agg(F.percentile_approx(number, F.array(*points), 10000).alias("cuts"))
+    coarse = F.array(*[F.get("cuts", F.lit(i * COARSE - 1)) for i in range(1, COARSE)])
+    cuts = cuts.withColumn("coarse", coarse)
+
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda cut: cut < F.col(number)))
+
+    grouped = kept.join(F.broadcast(cuts), key).withColumn("group", below(F.col("coarse")))
+    fine = F.slice("cuts", F.col("group") * COARSE + 1, F.lit(COARSE))
+    bucketed = grouped.withColumn("bucket", F.col("group") * COARSE + below(fine))
     weights = bucketed.groupBy(key, "bucket", "want").agg(F.sum("n").alias("weight"))
     upto = F.sum("weight").over(Window.partitionBy(key).orderBy("bucket"))
     pick = (
         weights.withColumn("upto", upto)
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("weight") < F.col("want")))
-        .select(key, "bucket", (F.col("want") - F.col("upto") + F.col("weight")).alias("rest"))
+        .join(F.broadcast(cuts), key)
+        .select(
+            key,
+            (F.col("want") - F.col("upto") + F.col("weight")).alias("rest"),
+            F.get("cuts", F.col("bucket") - 1).alias("over"),
+            F.get("cuts", F.col("bucket")).alias("most"),
+        )
+    )
+    # The bucket as a range of values: a plain comparison for every row.
+    inside = F.coalesce(F.col(number) > F.col("over"), F.lit(True)) & F.coalesce(
+        F.col(number) <= F.col("most"), F.lit(True)
     )
-    return bucketed.join(F.broadcast(pick), [key, "bucket"]).select(
+    return kept.join(F.broadcast(pick), key).where(inside).select(
         key, number, "n", F.col("rest").alias("want"), "even"
     )
 

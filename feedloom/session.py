@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 SMALL_BYTES = 64 * 1024 * 1024
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def local_session(app: str = "feedloom", cores: str = "8", **conf: str) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     builder = (
@@ -44,9 +47,10 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="feedloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="feedloom-")
+        return _LOCAL_ROOTS[app]
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 

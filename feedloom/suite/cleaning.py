@@ -273,10 +273,23 @@ def frame_diff_query(spark, sf_dir):
     )
 
 
-@query("dry_run")
+@query(
+    "dry_run",
+    """
+    SELECT least(500, count(*)) AS rows_before, least(500, count(*)) AS rows_after, 0::BIGINT AS row_delta,
+           'status' AS columns_added, 'o_orderpriority,o_orderstatus' AS columns_removed,
+           'o_totalprice: double -> string' AS type_changes
+    FROM orders
+    """,
+)
 def dry_run_query(spark, sf_dir):
     steps = [
-        {"type": "deduplicate", "subset": ["o_custkey"], "order_by": ["o_orderkey"]},
+        {"type": "rename", "column": "o_orderstatus", "new_name": "status"},
+        {"type": "cast", "column": "o_totalprice", "dtype": "str"},
         {"type": "drop", "columns": ["o_orderpriority"]},
     ]
-    return dry_run(table(spark, sf_dir, "orders"), steps)
+    found = dry_run(table(spark, sf_dir, "orders"), steps)
+    lists = ("columns_added", "columns_removed", "type_changes")
+    return found.select(
+        "rows_before", "rows_after", "row_delta", *[F.array_join(c, ",").alias(c) for c in lists]
+    )

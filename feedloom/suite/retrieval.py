@@ -305,7 +305,7 @@ def knn_approximate(spark, sf_dir):
     return search.recall(found, search.nearest(corpus, queries, 10))
 
 
-@query("text_vectors")
+@query("text_vectors", "SELECT doc_id, 384 AS dim, 1.0::DOUBLE AS norm FROM documents")
 def text_vectors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encoder.fit_encoder(docs).encode(docs)

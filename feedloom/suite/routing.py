@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.plans import analysis, questions, sqlguard
+from feedloom.sources.catalog import catalog_columns
 from feedloom.suite.profiling import EVENTS_SQL, events, iso_sql
 from feedloom.suite.registry import query, table
 
@@ -144,7 +145,25 @@ def analysis_plan(spark, sf_dir):
     return found.withColumn("value", F.round("value", 4))
 
 
-@query("analysis_plan_derived")
+@query(
+    "analysis_plan_derived",
+    """
+    WITH a AS (SELECT o_orderpriority AS label, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1),
+    s AS (SELECT o_orderstatus AS label, count(*) AS n FROM orders GROUP BY 1)
+    SELECT 0 AS task, 'count_by' AS type, 'assigned_to' AS subject, label, n::DOUBLE AS value,
+           (row_number() OVER (ORDER BY n DESC, label))::VARCHAR AS note FROM a
+    UNION ALL
+    SELECT 1, 'count_by', 'stage', label, n::DOUBLE, (row_number() OVER (ORDER BY n DESC, label))::VARCHAR FROM s
+    UNION ALL
+    SELECT 2, 'avg_by', 'resolution_hours by assigned_to', label, round(mean, 4), side || ' ' || r FROM (
+      SELECT 'best' AS side, label, mean, row_number() OVER (ORDER BY mean, label) AS r FROM a
+      UNION ALL SELECT 'worst', label, mean, row_number() OVER (ORDER BY mean DESC, label) FROM a) WHERE r <= 5
+    UNION ALL
+    SELECT 4, 'schema_inventory', 'main', 'tickets', 3, 'assigned_to, resolution_hours, stage' FROM orders HAVING count(*) > 0
+    """,
+)
 def analysis_plan_derived(spark, sf_dir):
     df = tickets(spark, sf_dir)
-    return analysis.run_plan(df, analysis.derive_plan(df))
+    tasks = analysis.derive_plan(df, schemas=["main"])
+    found = analysis.run_plan(df, tasks, catalog=catalog_columns({"tickets": df}))
+    return found.withColumn("value", F.round("value", 4))
