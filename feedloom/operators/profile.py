@@ -73,7 +73,8 @@ def _counts_of(df: DataFrame, ordinal: int, f: T.StructField) -> DataFrame:
     else:
         cell = col(f.name)
     counted = df.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    grouped = counted.schema["cell"]
+    as_is = kind not in ("binary", "nested", "interval")
+    grouped = T.StructField("cell", f.dataType if as_is else T.StringType())
     text, whole, number = (F.lit(None).cast(t) for t in ("string", "bigint", "double"))
     if kind == "integer":
         whole = F.col("cell").cast("bigint")
@@ -423,16 +424,16 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         *[F.count_if(missing(f)).alias(f"nulls_{i}") for i, f in enumerate(fields)],
     )
     entries = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.col("rows"),
-            (F.col("rows") - F.col(f"nulls_{i}")).alias("non_null"),
-            F.col(f"nulls_{i}").alias("nulls"),
-            percent(F.col(f"nulls_{i}"), F.col("rows")).alias("null_percent"),
-        )
+        F.struct(F.lit(f.name).alias("column"), "rows", F.col(f"nulls_{i}").alias("nulls"))
         for i, f in enumerate(fields)
     ]
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return wide.select(F.inline(F.array(*entries))).select(
+        "column",
+        "rows",
+        (F.col("rows") - F.col("nulls")).alias("non_null"),
+        "nulls",
+        percent(F.col("nulls"), F.col("rows")).alias("null_percent"),
+    )
 
 
 def null_audit(df: DataFrame, columns: Sequence[str] | None = None, above: float = 5.0) -> DataFrame:

@@ -8,9 +8,8 @@ import uuid
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A side may be treated as small when the optimizer's size for it is below this.
 SMALL_BYTES = 64 * 1024 * 1024
@@ -74,13 +73,17 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+_ARROW_TYPES = {
+    "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
+}
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A few driver-known rows as literals of the plan; no data is shipped to tasks."""
-    fields = T.StructType.fromDDL(schema).fields
-    if not rows:
-        return spark.createDataFrame([], schema)
-    structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)])
-        for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A few driver-known rows as a local relation, whose size the optimizer knows.
+
+    ``schema`` lists ``name type`` pairs of simple types.
+    """
+    fields = [part.split() for part in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(list(c), _ARROW_TYPES[kind]) for c, (_, kind) in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields]))

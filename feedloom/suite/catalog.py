@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom import session
 from feedloom.functions import names
 from feedloom.operators.profile import column_profile, null_profile, role_hints
 from feedloom.operators.related import foreign_key_candidates
@@ -187,4 +188,6 @@ def foreign_keys(spark, sf_dir):
         df = table(spark, sf_dir, name).selectExpr(*[f"{c} AS {n}" for c, n in columns.items()])
         part = column_profile(df, medians=False, samples=0, top_k=0).select(F.lit(feed).alias("feed"), "column", "is_key_candidate")
         profiles = part if profiles is None else profiles.unionAll(part)
+    # Three parts of the match read the profiles; they are computed once.
+    profiles = session.materialize(profiles, "profiles")
     return foreign_key_candidates(profiles, profiles.select("feed", "column"))
