@@ -226,11 +226,9 @@ def top_values(
     df: DataFrame, columns: Sequence[str] | None = None, k: int = 5
 ) -> DataFrame:
     """(column, rank, label, count): the k most frequent values, ties by label."""
-    listed = column_list(df, columns)
-    counted = value_frequencies(df, columns)
-    return _ranked_labels(counted, k).join(F.broadcast(listed), "ordinal").select(
-        "column", "rank", "label", "count"
-    )
+    titles = F.array(*[F.lit(f.name) for f in _fields(df, columns)])
+    ranked = _ranked_labels(value_frequencies(df, columns), k)
+    return ranked.select(F.get(titles, F.col("ordinal")).alias("column"), "rank", "label", "count")
 
 
 def _ranked_labels(frequencies: DataFrame, k: int) -> DataFrame:
@@ -505,14 +503,17 @@ def leaderboards(
         .groupBy("group", "value", "label")
         .agg(F.avg("number").alias("mean"))
     )
-    several = means.groupBy("group", "value").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    means = means.where(F.col("mean").isNotNull()).join(
-        F.broadcast(several.select("group", "value")), ["group", "value"]
+    pair = Window.partitionBy("group", "value")
+    labels = means.groupBy("group", "value").agg(F.count(F.lit(1)).alias("labels"))
+    sides = labels
+    for side, order in (("best", F.asc("mean")), ("worst", F.desc("mean"))):
+        ranked = top_by(means.where(F.col("mean").isNotNull()), ["group", "value"], [order, F.asc("label")], k)
+        sides = sides.unionByName(ranked.withColumn("side", F.lit(side)), allowMissingColumns=True)
+    # At most 2k + 1 rows per pair are left here.
+    counted = sides.withColumn("labels", F.max("labels").over(pair))
+    return counted.where((F.col("labels") > 1) & F.col("side").isNotNull()).select(
+        "group", "value", "side", "rank", "label", "mean"
     )
-    keys = ["group", "value"]
-    best = top_by(means, keys, [F.asc("mean"), F.asc("label")], k).withColumn("side", F.lit("best"))
-    worst = top_by(means, keys, [F.desc("mean"), F.asc("label")], k).withColumn("side", F.lit("worst"))
-    return best.unionByName(worst).select("group", "value", "side", "rank", "label", "mean")
 
 
 #: Correlations computed per aggregate, to keep generated code compilable.

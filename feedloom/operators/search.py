@@ -31,17 +31,21 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(lengths == 0, TINY_NORM, lengths)
 
 
-def _blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) blocks of bounded size, streamed one at a time."""
-    most = max(1, BLOCK_BYTES // (8 * dim))
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) blocks of bounded size, streamed one at a time.
+
+    The first vector sets the length; one of another length is an error.
+    """
     ids: list[int] = []
     vectors: list[list[float]] = []
-    for row in queries.toLocalIterator():
-        if row[1] is None or len(row[1]) != dim:
-            continue
+    dim = None
+    for row in queries.where(F.col("vector").isNotNull()).toLocalIterator(prefetchPartitions=True):
+        dim = dim or len(row[1])
+        if len(row[1]) != dim:
+            raise ValueError(f"query vectors differ in length: {dim} and {len(row[1])}")
         ids.append(row[0])
         vectors.append(row[1])
-        if len(ids) == most:
+        if len(ids) * dim * 8 >= BLOCK_BYTES:
             yield np.array(ids), np.array(vectors, dtype=np.float64)
             ids, vectors = [], []
     if ids:
@@ -58,9 +62,10 @@ def _best(query: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> p
     return pd.DataFrame({"q": query[keep], "id": ids[keep], "distance": distance[keep]})
 
 
-def _scan(corpus: DataFrame, block, k: int, dim: int, probes=None, planes=None) -> DataFrame:
+def _scan(corpus: DataFrame, block, k: int, probes=None, planes=None) -> DataFrame:
     """Per task the k best corpus rows of each query in the block."""
     ids, vectors = block
+    dim = vectors.shape[1]
     shipped = corpus.sparkSession.sparkContext.broadcast((ids, _unit(vectors), probes, planes))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,14 +100,6 @@ def _scan(corpus: DataFrame, block, k: int, dim: int, probes=None, planes=None)
     return corpus.mapInPandas(score, RESULT_SCHEMA)
 
 
-def _dimension(queries: DataFrame) -> int:
-    """Length of the query vectors; queries of another length are an error."""
-    sizes = queries.agg(F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b")).first()
-    if sizes["a"] != sizes["b"]:
-        raise ValueError(f"query vectors differ in length: {sizes['a']} to {sizes['b']}")
-    return int(sizes["a"] or 0)
-
-
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, distance, rank): the exact k nearest corpus rows per query.
 
@@ -114,20 +111,17 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     queries = queries.select(
         F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("vector")
     )
-    dim = _dimension(queries)
-    if not dim:
-        return corpus.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank int")
-    return _over_blocks(queries, dim, lambda block: _scan(corpus, block, k, dim), k)
+    return _over_blocks(queries, lambda block: _scan(corpus, block, k), k)
 
 
-def _over_blocks(queries: DataFrame, dim: int, scan, k: int) -> DataFrame:
+def _over_blocks(queries: DataFrame, scan, k: int) -> DataFrame:
     """Rank the scans of all query blocks.
 
     One block stays lazy. With more, each block's result is stored before the
     next block is fetched, so the driver never holds more than two blocks.
     """
     spark, done, pending = queries.sparkSession, None, None
-    for block in _blocks(queries, dim):
+    for block in _blocks(queries):
         if pending is not None:
             stored = session.materialize(pending, "neighbours")
             done = stored if done is None else done.unionAll(stored)
@@ -195,18 +189,15 @@ def nearest_in_index(
     queries = queries.select(
         F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("vector")
     )
-    dim = _dimension(queries)
-    if not dim:
-        return index.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank int")
-    planes = _planes(dim, bits, seed)
 
     def scan(block) -> DataFrame:
+        planes = _planes(block[1].shape[1], bits, seed)
         cells = _probes(block[1], planes, probes)
         wanted = [int(c) for c in np.unique(cells)]
         rows = index.where(F.col("cell").isin(wanted)).select("id", "vector")
-        return _scan(rows, block, k, dim, cells, planes)
+        return _scan(rows, block, k, cells, planes)
 
-    return _over_blocks(queries, dim, scan, k)
+    return _over_blocks(queries, scan, k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

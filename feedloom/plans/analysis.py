@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom import session
 from feedloom.operators.drift import column_drift, drift_summary
 from feedloom.operators.profile import (
     correlation_pairs,
@@ -71,8 +70,13 @@ def _rows(df: DataFrame, task: Column, kind: str | Column, **columns: Column) ->
     )
 
 
-def _numbers(spark, pairs: list[tuple], schema: str) -> DataFrame:
-    return session.literal_rows(spark, pairs, schema)
+def _number_of(subject: Column, numbers: list[tuple[int, str]]) -> Column:
+    """Task numbers by subject; a subject asked for twice has several."""
+    by_subject: dict[str, list[int]] = {}
+    for i, name in numbers:
+        by_subject.setdefault(name, []).append(i)
+    entries = [x for name, ids in by_subject.items() for x in (F.lit(name), F.array(*map(F.lit, ids)))]
+    return F.explode(F.element_at(F.create_map(*entries), subject))
 
 
 def run_plan(
@@ -91,9 +95,8 @@ def run_plan(
     for kind, default_k in (("count_by", 5), ("top_n", None)):
         for k in sorted({default_k or t.n for _, t in by_kind.get(kind, [])}):
             chosen = [(i, t.column) for i, t in by_kind[kind] if (default_k or t.n) == k]
-            numbers = _numbers(spark, chosen, "task int, column string")
             ranked = top_values(df, list(dict.fromkeys(c for _, c in chosen)), k)
-            joined = ranked.join(F.broadcast(numbers), "column")
+            joined = ranked.withColumn("task", _number_of(F.col("column"), chosen))
             parts.append(
                 _rows(
                     joined, F.col("task"), kind, subject=F.col("column"), label=F.col("label"),
@@ -102,10 +105,9 @@ def run_plan(
             )
     if "avg_by" in by_kind:
         chosen = [(i, t.group, t.value) for i, t in by_kind["avg_by"]]
-        numbers = _numbers(spark, chosen, "task int, group string, value string")
-        boards = leaderboards(df, [(g, v) for _, g, v in chosen]).join(
-            F.broadcast(numbers), ["group", "value"]
-        )
+        pairs = list(dict.fromkeys((g, v) for _, g, v in chosen))
+        number = _number_of(F.concat_ws("\n", "group", "value"), [(i, f"{g}\n{v}") for i, g, v in chosen])
+        boards = leaderboards(df, pairs).withColumn("task", number)
         parts.append(
             _rows(
                 boards, F.col("task"), "avg_by", subject=F.concat_ws(" by ", "value", "group"),

@@ -30,8 +30,10 @@ def _catalog(spark, sf_dir) -> DataFrame:
 def _filled(spark, sf_dir) -> DataFrame:
     """Rows and missing values of every column of every table."""
     parts = [
-        null_profile(table(spark, sf_dir, n)).select(F.lit(n).alias("table"), "column", "rows", "nulls")
-        for _, n in ALL
+        null_profile(table(spark, sf_dir, n)).select(
+            F.lit(schema).alias("schema"), F.lit(n).alias("table"), "column", "rows", "nulls"
+        )
+        for schema, n in ALL
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -82,12 +84,8 @@ def catalog_inventory(spark, sf_dir):
 def catalog_preview(spark, sf_dir):
     allowed = catalog.granted(_catalog(spark, sf_dir), [" Sales", "SALES", "finance"])
     shown = catalog.inventory_preview(allowed)
-    rows = (
-        _filled(spark, sf_dir)
-        .join(allowed.select("schema", "table", "column"), ["table", "column"], "left_semi")
-        .groupBy("table").agg(F.max("rows").alias("rows")).agg(F.sum("rows").alias("rows"))
-        .withColumn("schema", F.lit("sales"))
-    )
+    per_table = _filled(spark, sf_dir).groupBy("schema", "table").agg(F.max("rows").alias("rows"))
+    rows = per_table.groupBy("schema").agg(F.sum("rows").alias("rows"))
     return shown.join(rows, "schema").select(
         "schema", "table_count",
         F.array_join(F.transform("tables", lambda t: t["table"]), ",").alias("tables"), "rows",
@@ -146,7 +144,7 @@ def dataset_tags_query(spark, sf_dir):
     ),
 )
 def id_columns(spark, sf_dir):
-    return _filled(spark, sf_dir).where(names.looks_like_id(F.col("column")))
+    return _filled(spark, sf_dir).where(names.looks_like_id(F.col("column"))).drop("schema")
 
 
 @query(

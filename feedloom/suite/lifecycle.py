@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from feedloom import session
@@ -9,7 +14,7 @@ from feedloom.functions import meta
 from feedloom.functions.numbers import iso
 from feedloom.operators.steps import TransformDefinition
 from feedloom.plans import jobs
-from feedloom.sources import files, sinks, versions
+from feedloom.sources import files, sinks, versions, workbook
 from feedloom.streaming import refresh
 from feedloom.suite.profiling import iso_sql
 from feedloom.suite.registry import query, table
@@ -45,6 +50,43 @@ def csv_with_schema(spark, sf_dir):
     return files.read_csv(spark, path, "o_orderkey bigint, o_totalprice double, day string")
 
 
+def _as_workbook(rows: pd.DataFrame) -> bytes:
+    """One sheet with a header row; numbers as numbers, the rest as inline text."""
+
+    def cell(value) -> str:
+        if isinstance(value, str):
+            return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
+        return f"<c><v>{value!r}</v></c>"
+
+    lines = [list(rows.columns), *rows.astype(object).values.tolist()]
+    sheet = "".join("<row>" + "".join(map(cell, line)) + "</row>" for line in lines)
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    link = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} {link}><sheets><sheet name="Parts" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{sheet}</sheetData></worksheet>")
+    return buffer.getvalue()
+
+
+@query("workbook_corpus", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def workbook_corpus(spark, sf_dir):
+    """The part table as workbooks of one Arrow batch each, read back as one corpus."""
+
+    def pack(batches):
+        for batch in batches:
+            content = _as_workbook(batch)
+            path = f"parts-{batch['p_partkey'].min()}.xlsx"
+            yield pd.DataFrame({"path": [path], "length": [len(content)], "content": [content]})
+
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    books = part.mapInPandas(pack, "path string, length bigint, content binary")
+    cells = workbook.read_workbooks(books)
+    typed = {"p_partkey": "bigint", "p_name": "string", "p_size": "int", "p_retailprice": "double"}
+    return workbook.sheet_table(cells, typed).select(*typed)
+
+
 @query("file_listing")
 def file_listing(spark, sf_dir):
     listed = files.list_files(spark, sf_dir, "*.parquet")
