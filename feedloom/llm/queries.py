@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.license_scan import Template, scan_licenses
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
 from feedloom.session import literal_rows
@@ -126,3 +127,74 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, its base rules and the verdict on its source."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return apply_quality_rules(docs).drop("source")
+
+
+# ---- 1: license scans
+
+LICENSES = [
+    Template("cc-by", "cc by", True),
+    Template("gpl", "general public license", True),
+    Template("reserved", "all rights reserved", True),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    Template("gpl-3.0", "licensed under the GNU General Public License, version 3"),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        "associated documentation files, to deal in the Software without restriction",
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met",
+    ),
+    Template(
+        "mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"
+    ),
+]
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ALNUM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LICENSE_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS ws FROM documents
+), t0(t, label, text, base) AS (VALUES """ + ", ".join(str((i, *t)) for i, t in enumerate(LICENSES)) + rf"""),
+t AS (SELECT t, label, base, {_ALNUM_WORDS} AS tw FROM t0),
+tg AS (
+  SELECT t, label, base, len(tw) AS n, least(3, len(tw)) AS k, i AS tpos,
+         array_to_string(tw[i + 1 : i + least(3, len(tw))], ' ') AS gram
+  FROM (SELECT *, unnest(range(0, len(tw) - least(3, len(tw)) + 1)) AS i FROM t)
+), dg AS (
+  SELECT r, k, i AS pos, array_to_string(ws[i + 1 : i + k], ' ') AS gram
+  FROM (SELECT r, ws, k, unnest(range(0, len(ws) - k + 1)) AS i FROM w, (VALUES (2), (3)) ks(k))
+), hits AS (
+  SELECT r, t, label, base, n, k, pos, tpos, pos - tpos AS diagonal FROM dg JOIN tg USING (k, gram)
+), steps AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= CASE WHEN n <= 3 THEN 0 ELSE 3 END THEN 0 ELSE 1 END AS new
+  FROM (SELECT r, t, label, base, n, k, diagonal, min(pos) AS pos, list(tpos) AS seen FROM hits GROUP BY ALL)
+  WINDOW o AS (PARTITION BY r, t ORDER BY diagonal)
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY r, t ORDER BY diagonal) AS grp FROM steps
+), spans AS (
+  SELECT r, t, label, base, min(pos) AS first_word,
+         len(list_distinct(flatten(list(seen)))) / (any_value(n) - any_value(k) + 1) AS share
+  FROM numbered GROUP BY r, t, label, base, grp
+), s AS (SELECT * FROM spans WHERE share >= 0.6)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(coalesce(sum(CAST(base AS INT)), 0) AS BIGINT) AS n_base,
+       CAST(min(first_word) FILTER (base) AS BIGINT) AS first_word,
+       CAST(max(first_word) FILTER (base) AS BIGINT) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+       CAST(coalesce(max(share), 0) AS DOUBLE) AS score
+FROM w LEFT JOIN s USING (r) GROUP BY r, doc_id, len(ws)
+"""
+
+
+@query("op1_license_scan", LICENSE_SQL)
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"), LICENSES)
