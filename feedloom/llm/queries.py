@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.decontaminate import decontaminate
 from feedloom.llm.license_scan import Template, scan_licenses
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
@@ -198,3 +199,38 @@ FROM w LEFT JOIN s USING (r) GROUP BY r, doc_id, len(ws)
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"), LICENSES)
+
+
+# ---- 9: benchmark decontamination
+
+CONTAMINATION_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS ws FROM documents
+), b AS (
+  SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_ALNUM_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+), bw AS (
+  SELECT item_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS gram, ws[i + 1 : i + n] AS win
+  FROM (SELECT *, unnest(range(0, len(ws) - n + 1)) AS i FROM b)
+), dw AS (
+  SELECT r, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS gram
+  FROM (SELECT r, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw))
+), occ AS (
+  SELECT DISTINCT r, dw.i, dw.n, item_id FROM dw JOIN bw USING (n, gram)
+), hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM occ) GROUP BY r
+), it AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id ) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM occ) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
+
+
+@query("op9_decontaminate", CONTAMINATION_SQL)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("n_near")
