@@ -11,6 +11,7 @@ from feedloom.llm.decontaminate import decontaminate
 from feedloom.llm.license_scan import Template, scan_licenses
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
+from feedloom.llm.simhash import near_duplicates
 from feedloom.session import literal_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +235,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("n_near")
+
+
+# ---- 8: simhash near-duplicates
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
