@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.decontaminate import decontaminate
 from feedloom.llm.license_scan import Template, scan_licenses
+from feedloom.llm.ngram_model import held_out, score_texts, train
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
 from feedloom.llm.simhash import near_duplicates
@@ -245,3 +246,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- 4: language-model scoring
+
+
+@query("op4_lm_scores")
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney bigram scores of every document; a tenth of the documents is held out of training."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    model = train(docs.filter(~F.col("held_out")), order=2)
+    scored = score_texts(docs, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
