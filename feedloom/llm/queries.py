@@ -13,6 +13,7 @@ from feedloom.llm.ngram_model import held_out, score_texts, train
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
 from feedloom.llm.simhash import near_duplicates
+from feedloom.llm.toxicity import score_toxicity, train_tagger
 from feedloom.session import literal_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +259,21 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.filter(~F.col("held_out")), order=2)
     scored = score_texts(docs, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+# ---- 7: toxicity
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the labels is held out of training."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels")
+    tagger = train_tagger(docs, labels.filter(~held_out(F.col("doc_id"), 5)))
+    scored = score_toxicity(docs, tagger)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "toxic_tokens",
+        F.size("toxic_spans").cast("long").alias("n_spans"),
+        F.get("toxic_spans", F.lit(0))["start"].cast("long").alias("first_offset"),
+    )
