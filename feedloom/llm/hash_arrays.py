@@ -13,7 +13,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from typing import BinaryIO
 
 import numpy as np
 
@@ -62,23 +65,43 @@ def local_folder(folder: str) -> str | None:
     return None if "://" in folder else folder
 
 
-def write_array(folder: str, name: str, array: np.ndarray) -> None:
-    """Write under another name first: a task that runs again, or twice, leaves one whole file."""
-    data = io.BytesIO()
-    np.save(data, array)
+@contextmanager
+def new_file(folder: str, name: str) -> Iterator[BinaryIO]:
+    """A file for writing, under another name until it is whole.
+
+    A task that runs again, or twice, leaves one whole file.
+    """
+    part = f".{name}-{uuid.uuid4().hex}"
     if (path := local_folder(folder)) is not None:
         os.makedirs(path, exist_ok=True)
-        part = os.path.join(path, f".{name}-{uuid.uuid4().hex}")
-        with open(part, "wb") as out:
-            out.write(data.getbuffer())
-        os.replace(part, os.path.join(path, f"{name}.npy"))
+        with open(os.path.join(path, part), "wb") as out:
+            yield out
+        os.replace(os.path.join(path, part), os.path.join(path, name))
         return
     files, path = _filesystem(folder)
     files.create_dir(path, recursive=True)
-    part = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with files.open_output_stream(part) as out:
+    with files.open_output_stream(f"{path}/{part}") as out:
+        yield out
+    files.move(f"{path}/{part}", f"{path}/{name}")
+
+
+def read_range(uri: str, start: int, size: int) -> bytes:
+    """Some bytes of a file."""
+    if (path := local_folder(uri)) is not None:
+        with open(path, "rb") as source:
+            source.seek(start)
+            return source.read(size)
+    files, path = _filesystem(uri)
+    with files.open_input_file(path) as source:
+        source.seek(start)
+        return source.read(size)
+
+
+def write_array(folder: str, name: str, array: np.ndarray) -> None:
+    data = io.BytesIO()
+    np.save(data, array)
+    with new_file(folder, f"{name}.npy") as out:
         out.write(data.getbuffer())
-    files.move(part, f"{path}/{name}.npy")
 
 
 @lru_cache(maxsize=1)

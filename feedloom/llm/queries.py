@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.decontaminate import decontaminate
 from feedloom.llm.license_scan import Template, scan_licenses
+from feedloom.llm.line_dedup import dedup_lines
 from feedloom.llm.ngram_model import held_out, score_texts, train
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
 from feedloom.llm.simhash import near_duplicates
+from feedloom.llm.token_counts import token_counts
 from feedloom.llm.toxicity import score_toxicity, train_tagger
 from feedloom.session import literal_rows
 
@@ -277,3 +279,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("toxic_spans").cast("long").alias("n_spans"),
         F.get("toxic_spans", F.lit(0))["start"].cast("long").alias("first_offset"),
     )
+
+
+# ---- 3: line dedup
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of repeated runs of lines."""
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---- 6: token counts
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
