@@ -11,6 +11,7 @@ from feedloom.llm.decontaminate import decontaminate
 from feedloom.llm.license_scan import Template, scan_licenses
 from feedloom.llm.line_dedup import dedup_lines
 from feedloom.llm.ngram_model import held_out, score_texts, train
+from feedloom.llm.pieces import decode_ids, encode_pieces
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
 from feedloom.llm.simhash import near_duplicates
@@ -297,3 +298,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files."""
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---- 2: sentencepiece encoding and decoding
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding of every document, whether it decodes to the text, and two sampled segmentations."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode_ids(encode_pieces(docs, k=2))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.transform("samples", lambda s: F.size(s["ids"]).cast("long")).alias("sample_ids"),
+        F.transform("samples", lambda s: F.xxhash64(s["ids"])).alias("sample_hashes"),
+        F.transform("samples", lambda s: s["log_prob"]).alias("log_probs"),
+        F.transform("samples", lambda s: s["inclusion"]).alias("inclusions"),
+    )
