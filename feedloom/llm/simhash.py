@@ -13,7 +13,7 @@ leaves open, which loses no link, so its cost stays near linear.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -200,9 +200,16 @@ def near_links(prints: DataFrame, distance: int = 4, name: str = "fingerprint")
 
 
 def near_duplicates(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    distance: int = 4,
+    shingle: int = 4,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: its id, fingerprint (long) and component_id.
+    """One row per row of ``docs``: its id, the columns of ``extra``, fingerprint (long), component_id and _part.
+
+    _part names the component too, by one of its fingerprints, and is never null.
 
     Documents link when their fingerprints differ in at most ``distance`` bits; component_id is the
     smallest id reachable over links. Null and empty texts share the fingerprint 0 and link to each
@@ -210,7 +217,8 @@ def near_duplicates(
     Rows that repeat are returned each; an empty table gives an empty result. Columns other than the two
     named are not looked at.
     """
-    narrow = with_fingerprints(docs.select(F.col(id).alias(id), F.col(text).alias("_text")), "_text", shingle=shingle)
+    narrow = docs.select(id, *extra, F.col(text).alias("_text"))
+    narrow = with_fingerprints(narrow, "_text", shingle=shingle)
     narrow = materialize(narrow.drop("_text"), "fingerprints")
     classes = materialize(narrow.groupBy("fingerprint").agg(F.min(id).alias("_least")), "classes")
     # nodes are fingerprints; the smallest id of a component is summed up afterwards
@@ -219,5 +227,5 @@ def near_duplicates(
         "fingerprint", "_least", F.coalesce("component", "fingerprint").alias("_part")
     )
     least = of.groupBy("_part").agg(F.min("_least").alias("component_id"))
-    labels = of.join(least, "_part").select("fingerprint", "component_id")
+    labels = of.join(least, "_part").select("fingerprint", "component_id", "_part")
     return narrow.join(labels, "fingerprint")
