@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,13 +33,14 @@ def last_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str |
 def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs exactly once.
 
-    Counted with map-side combining; a lone row is its own group's maximum, so
-    no group is ever gathered in one task.
+    Keys are counted by hash with map-side combining, without the rows, and the lone keys are
+    joined back, so no group is gathered and no row is sorted for the count.
     """
-    grouped = df.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*[col(c) for c in df.columns])).alias("__row")
-    )
-    return grouped.where(F.col("__n") == 1).select("__row.*")
+    marks = [f"__k{i}" for i in range(len(keys))]
+    grouped = df.groupBy(*[col(k).alias(m) for k, m in zip(keys, marks)]).agg(F.count(F.lit(1)).alias("__n"))
+    lone = grouped.where(F.col("__n") == 1).drop("__n")
+    same = reduce(lambda p, q: p & q, [df[f"`{k.replace('`', '``')}`"].eqNullSafe(lone[m]) for k, m in zip(keys, marks)])
+    return df.join(lone, same, "left_semi")
 
 
 def deduplicate(

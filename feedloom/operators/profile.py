@@ -231,6 +231,17 @@ def top_values(
     return ranked.select(F.get(titles, F.col("ordinal")).alias("column"), "rank", "label", "count")
 
 
+def bottom_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+    """(column, rank, label, count): the k least frequent values, ties by label
+    from the last on; missing values are left out."""
+    titles = F.array(*[F.lit(f.name) for f in _fields(df, columns)])
+    labelled = value_frequencies(df, columns).where(F.col("value").isNotNull()).select(
+        "ordinal", F.col("value").alias("label"), F.col("n").alias("count")
+    )
+    ranked = top_by(labelled, ["ordinal"], [F.asc("count"), F.desc("label")], k)
+    return ranked.select(F.get(titles, F.col("ordinal")).alias("column"), "rank", "label", "count")
+
+
 def _ranked_labels(frequencies: DataFrame, k: int) -> DataFrame:
     labelled = frequencies.select(
         "ordinal", F.coalesce("value", F.lit(NULL_LABEL)).alias("label"), F.col("n").alias("count")

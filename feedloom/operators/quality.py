@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,9 +161,14 @@ def _sampled_dates(df: DataFrame, columns: Sequence[str], sample: int) -> DataFr
     return out
 
 
-def evaluate_rules(df: DataFrame, rules: DataFrame, sample: int | None = None) -> DataFrame:
+def evaluate_rules(
+    df: DataFrame, rules: DataFrame, sample: int | None = None, run_id: str | None = None
+) -> DataFrame:
     """One row per rule with status pass, fail or skip, and details.
 
+    The rows are a result log as :func:`rule_status` reads it: result_id (``run_id``, a random one
+    unless given, and the rule) and created_at.
+
     The checks a table needs are read from the rules first (a few rows per
     column); the table itself is then measured once for all rules. Rules about
     columns the table lacks, and unknown rule types, are skipped.
@@ -230,10 +236,20 @@ def evaluate_rules(df: DataFrame, rules: DataFrame, sample: int | None = None) -
         status.alias("status"),
         F.when(status != "skip", actual).alias("actual"),
         details.alias("details"),
-        F.current_timestamp().alias("evaluated_at"),
+        F.current_timestamp().alias("created_at"),
+        F.concat_ws(":", F.lit(run_id or uuid.uuid4().hex), "rule_id").alias("result_id"),
     )
 
 
+def log_results(results: DataFrame, path: str) -> None:
+    """Add evaluated rules to a stored result log."""
+    results.write.mode("append").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """One row: passed, failed, skipped, total and the overall status."""
     counted = results.agg(
@@ -277,10 +293,14 @@ def feed_status(statuses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def error_failures(results: DataFrame, limit: int = 5) -> DataFrame:
-    """The first failed rules of severity error, and how many there are in all."""
+def error_failures(results: DataFrame, limit: int | None = 5) -> DataFrame:
+    """The first failed rules of severity error, each with ``failed_in_all``, how many there are.
+
+    Rules are a few rows per column, so one task counts them. No limit returns all.
+    """
     failed = results.where((F.col("status") == "fail") & (F.col("severity") == "error"))
-    return failed.orderBy("rule_id").limit(limit)
+    failed = failed.withColumn("failed_in_all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    return failed.orderBy("rule_id") if limit is None else failed.orderBy("rule_id").limit(limit)
 
 
 def freshness(df: DataFrame, column: str, as_of: str, max_age: str = "1 day") -> DataFrame:

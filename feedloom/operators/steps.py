@@ -16,6 +16,7 @@ from feedloom.functions.text import collapse_whitespace, strip
 from feedloom.operators.joins import join_tables
 from feedloom.operators.latest import deduplicate
 from feedloom.operators.predicates import Condition
+from feedloom.session import literal_rows
 from feedloom.types import as_text, col, field, logical_type, missing, spark_dtype
 
 Context = Mapping[str, DataFrame]
@@ -170,7 +171,7 @@ class MapValues(Step):
             found = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None)
             mapped = F.coalesce(found.cast("string"), other)
             return df.withColumn(self.column, self._typed(f, mapped))
-        table = df.sparkSession.createDataFrame(list(values.items()), "__from string, __to string")
+        table = literal_rows(df.sparkSession, list(values.items()), "__from string, __to string")
         joined = df.withColumn("__key", key).join(table, F.col("__key") == F.col("__from"), "left")
         mapped = F.coalesce("__to", other)
         return joined.withColumn(self.column, self._typed(f, mapped)).select(

@@ -39,21 +39,40 @@ class Task:
 def derive_plan(
     df: DataFrame, limit: int = MAX_TASKS, *, has_prior: bool = False, schemas: Sequence[str] = ()
 ) -> list[Task]:
-    """Counts per text column, leaderboards, then structural tasks while slots remain."""
+    """Counts per text column, leaderboards, and structural tasks, ``limit`` at most.
+
+    Structural tasks and one leaderboard keep their slots; what is cut first are counts of further
+    columns. :func:`left_out` lists what the limit cuts.
+    """
+    return _ordered(df, limit, has_prior, schemas)[0]
+
+
+def left_out(
+    df: DataFrame, limit: int = MAX_TASKS, *, has_prior: bool = False, schemas: Sequence[str] = ()
+) -> list[Task]:
+    """The tasks that :func:`derive_plan` cuts for its limit."""
+    return _ordered(df, limit, has_prior, schemas)[1]
+
+
+def _ordered(df: DataFrame, limit: int, has_prior: bool, schemas: Sequence[str]) -> tuple[list[Task], list[Task]]:
     texts = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
-    tasks = [Task("count_by", column=c) for c in texts]
-    tasks += [Task("avg_by", group=g, value=v) for g, v in leaderboard_pairs(df)]
-    tasks = tasks[:limit]
+    counts = [Task("count_by", column=c) for c in texts]
+    boards = [Task("avg_by", group=g, value=v) for g, v in leaderboard_pairs(df)]
     extra = [Task("null_audit")]
     if has_prior:
         extra += [Task("drift_check"), Task("row_delta")]
     if any(logical_type(f.dataType) == "datetime" for f in df.schema.fields):
         extra.append(Task("date_range"))
-    counted = {t.column for t in tasks if t.type == "count_by"}
+    inventories = [Task("schema_inventory", schema=s) for s in schemas]
+    fixed = extra + inventories[:1]
+    kept = counts[: max(limit - len(fixed) - len(boards[:1]), min(limit, 2))]
+    kept = kept + boards[: max(limit - len(kept) - len(fixed), 0)]
+    counted = {t.column for t in kept if t.type == "count_by"}
     strings = [f.name for f in df.schema.fields if logical_type(f.dataType) == "string"]
-    extra += [Task("top_n", column=c) for c in strings if c not in counted][:1]
-    extra += [Task("schema_inventory", schema=s) for s in schemas]
-    return (tasks + extra)[:limit]
+    tops = [Task("top_n", column=c) for c in strings if c not in counted][:1]
+    spare = tops[: max(limit - len(kept) - len(fixed), 0)]
+    plan = (kept + extra + spare + inventories)[:limit]
+    return plan, [t for t in counts + boards + extra + tops + inventories if t not in plan]
 
 
 def _rows(df: DataFrame, task: Column, kind: str | Column, **columns: Column) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from feedloom import session
 from feedloom.functions.numbers import iso, seconds_between
 from feedloom.operators.latest import last_per_group
 from feedloom.operators.quality import error_failures, evaluate_rules, summarize
 from feedloom.operators.steps import TransformDefinition, run_steps
+from feedloom.types import col
 
 RUN_SCHEMA = (
     "run_id string, job_id string, user_id string, status string, started_at timestamp, "
@@ -40,8 +44,10 @@ def run_job(
 
     Output is partitioned by run id and a run replaces only its own partition
     (``append``) or the whole table (``replace``), so repeating a failed run
-    never duplicates rows. Counts are read from the stored files. A failure
-    becomes a run row with status ``failed``.
+    never duplicates rows. An incremental definition merges its rows into the table by ``unique_key``:
+    rows of earlier runs with a key of this run go, and of this run's rows with one key the last by
+    all other columns in order stays. Counts are read from the stored files. A failure
+    becomes a run row with status ``failed``; so does a column called ``run_id``, which is reserved.
     """
     spark, started = source.sparkSession, _now()
     run: dict[str, object] = {
@@ -53,9 +59,15 @@ def run_job(
         if definition.load_strategy not in ("append", "replace"):
             raise ValueError(f"unknown load strategy {definition.load_strategy!r}")
         cleaned = run_steps(source, definition.steps, context)
+        if "run_id" in cleaned.columns:
+            raise ValueError("the column name 'run_id' is reserved for the run that wrote a row")
+        if definition.incremental and not definition.unique_key:
+            raise ValueError("an incremental definition needs a unique_key")
         removed = sorted(set(source.columns) - set(cleaned.columns))
+        if definition.incremental:
+            cleaned = _merged(spark, target, cleaned, definition.unique_key, run_id)
         writer = cleaned.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id")
-        whole = definition.load_strategy == "replace"
+        whole = definition.load_strategy == "replace" and not definition.incremental
         writer.option("partitionOverwriteMode", "static" if whole else "dynamic").parquet(target)
         stored = spark.read.schema(cleaned.schema).parquet(f"{target}/run_id={run_id}")
         run["rows_in"], run["rows_out"] = source.count(), stored.count()
@@ -63,7 +75,7 @@ def run_job(
         if rules is not None:
             results = evaluate_rules(stored, rules).persist()
             run["dq_status"] = summarize(results).first()["status"]
-            run["dq_failures"] = [r["rule_id"] for r in error_failures(results).collect()]
+            run["dq_failures"] = [r["rule_id"] for r in error_failures(results, None).collect()]
             results.unpersist()
         run["status"] = "success"
         run["message"] = f"processed rows_in={run['rows_in']} rows_out={run['rows_out']}"
@@ -75,14 +87,39 @@ def run_job(
     return run
 
 
+def _merged(spark: SparkSession, target: str, new: DataFrame, keys: Sequence[str], run_id: str) -> DataFrame:
+    """New rows, one per key, after earlier runs' rows with their keys have left the table.
+
+    Only partitions of runs that hold such keys are written anew.
+    """
+    order = [c for c in new.columns if c not in keys] or list(keys)
+    new = session.materialize(last_per_group(new, keys, order), "merge")
+    marks = new.select(*[col(k).alias(f"__n{i}") for i, k in enumerate(keys)])
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return new
+    schema = T.StructType([*new.schema.fields, T.StructField("run_id", T.StringType())])
+    old = spark.read.schema(schema).parquet(target).where(F.col("run_id") != run_id)
+    same = reduce(lambda p, q: p & q, [old[f"`{k}`"].eqNullSafe(marks[f"__n{i}"]) for i, k in enumerate(keys)])
+    # one row per run of the log
+    touched = [r["run_id"] for r in old.join(marks, same, "left_semi").select("run_id").distinct().collect()]
+    if touched:
+        held = old.where(F.col("run_id").isin(touched))
+        kept = session.materialize(held.join(marks, same, "left_anti"), "merge")
+        emptied = set(touched) - {r["run_id"] for r in kept.select("run_id").distinct().collect()}
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(target)
+        for run in emptied:
+            session.remove(spark, f"{target}/run_id={run}")
+    return new
+
+
 def read_runs(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", True).json(log)
 
 
 def last_runs(runs: DataFrame, key: str = "job_id") -> DataFrame:
     """The newest run per job or user."""
-    newest = F.max_by(F.struct(*[c for c in runs.columns if c != key]), F.struct("started_at", "run_id"))
-    return runs.groupBy(key).agg(newest.alias("run")).select(key, "run.*")
+    return last_per_group(runs, [key], ["started_at", "run_id"])
 
 
 def list_jobs(jobs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -106,13 +143,12 @@ def run_stats(jobs: DataFrame, runs: DataFrame) -> DataFrame:
         F.count_if("is_active").alias("jobs_active"),
         F.count("schedule").alias("jobs_scheduled"),
     )
-    last = F.max_by(F.struct("status", "started_at", "finished_at"), F.struct("started_at", "run_id"))
+    last = last_runs(runs, "user_id").select("user_id", F.struct("status", "started_at", "finished_at").alias("last"))
     per_run = runs.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("runs_total"),
         F.count_if(F.col("status") == "success").alias("runs_success"),
         F.count_if(F.col("status") == "failed").alias("runs_failed"),
-        last.alias("last"),
-    )
+    ).join(last, "user_id", "left")
     joined = per_job.join(per_run, "user_id", "full")
     counts = [
         F.coalesce(c, F.lit(0)).alias(c)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.names import role_of
 from feedloom.operators.profile import (
+    bottom_values,
     leaderboard_pairs,
     leaderboards,
     top_values,
@@ -99,29 +100,34 @@ def _entries(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
 def answer(questions: DataFrame, df: DataFrame, question: str = "question") -> DataFrame:
     """Each question with ``answer``, NULL when the data does not answer it.
 
-    "Most" and "fewest" look at the top values of the column a question is
-    about; "fastest" and "slowest" at the group means of matching columns.
+    "Most" and "fewest" rank all values of the column a question is about, from
+    the most and from the least frequent on; missing values are not ranked among
+    the fewest. "Fastest" and "slowest" look at the group means of matching columns.
     """
     q = F.col(question)
     counted = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
     out = questions
     parts = []
     if counted:
-        tops = _entries(top_values(df, counted, 5), ["column"], ["label", "count"]).select(
-            F.col("column").alias("__column"), F.col("entries").alias("__top")
+        ranked = top_values(df, counted, 3).withColumn("__end", F.lit("most"))
+        ranked = ranked.unionByName(bottom_values(df, counted, 3).withColumn("__end", F.lit("fewest")))
+        tops = _entries(ranked, ["column", "__end"], ["label", "count"]).select(
+            F.concat_ws("\n", "__end", "column").alias("__column"), F.col("entries").alias("__top")
         )
         superlative = says(q, MOST_WORDS + LEAST_WORDS)
-        about = F.when(superlative, matched_column(q, df, counted))
-        # One row per text column of the schema.
+        fewest = says(q, LEAST_WORDS)
+        end = F.when(fewest, "fewest").otherwise("most")
+        about = F.when(superlative, F.concat(end, F.lit("\n"), matched_column(q, df, counted)))
+        # Two rows per text column of the schema.
         out = out.withColumn("__about", about).join(
             F.broadcast(tops), F.col("__about") == F.col("__column"), "left"
         )
-        fewest = says(q, LEAST_WORDS)
-        order = F.when(fewest, F.reverse("__top")).otherwise(F.col("__top"))
+        order = F.col("__top")
         first, rest = F.get(order, F.lit(0)), F.slice(order, 2, 2)
+        # Fixed value: the wording of the answer.
         head = F.format_string(
             "%s handled the %s tickets (%d).",
-            first["label"], F.when(fewest, "fewest").otherwise("most"), first["count"],
+            first["label"], end, first["count"],
         )
         peers = F.array_join(
             F.transform(rest, lambda e: F.format_string("%s (%d)", e["label"], e["count"])), ", "
@@ -153,6 +159,7 @@ def answer(questions: DataFrame, df: DataFrame, question: str = "question") -> D
         )
         first, rest = F.get("__board", F.lit(0)), F.slice("__board", 2, 2)
         value_name = F.replace(F.split("__want", "\n")[1], F.lit("_"), F.lit(" "))
+        # Fixed value: the wording of the answer.
         head = F.format_string(
             "%s is the %s for %s (%.2f).",
             first["label"], F.when(fast, "fastest").otherwise("slowest"), value_name, first["mean"],

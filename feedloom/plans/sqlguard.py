@@ -90,7 +90,10 @@ def check(spark: SparkSession, sql: str, tables: Collection[str]) -> None:
 
 
 def guarded_query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The query's result as a lazy frame; the tables become views of those names."""
+    """The query's result as a lazy frame.
+
+    The tables are views of those names only while the query is analysed.
+    """
     check(spark, sql, tables)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
@@ -98,6 +101,9 @@ def guarded_query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]
         return spark.sql(sql.strip().rstrip(";"))
     except (AnalysisException, ParseException) as problem:
         raise SqlRejected(str(problem).splitlines()[0]) from None
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
 
 
 def run_query(

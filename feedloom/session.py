@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,6 +51,7 @@ def shared_root(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="feedloom-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], True)
         return _LOCAL_ROOTS[app]
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
@@ -68,6 +71,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size of a frame; joins and unknown sources count as large."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

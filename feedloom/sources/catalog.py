@@ -53,19 +53,23 @@ def inventory(
     max_tables: int = MAX_TABLES_PER_SCHEMA,
     max_columns: int = MAX_COLUMNS_PER_TABLE,
 ) -> DataFrame:
-    """(schema, table, columns, column_count): the first tables of each schema by name."""
+    """(schema, table, columns, column_count, table_count): the first tables of each schema by name.
+
+    ``column_count`` and ``table_count`` count before the cuts, so a reader sees what is left out.
+    """
     tables = catalog.groupBy("schema", "table").agg(
         F.count(F.lit(1)).alias("column_count"),
         F.sort_array(F.collect_list(F.struct("ordinal", "column"))).alias("ordered"),
     )
     rank = F.row_number().over(Window.partitionBy("schema").orderBy("table"))
-    capped = tables.withColumn("rank", rank).where(F.col("rank") <= max_tables)
+    totals = catalog.groupBy("schema").agg(F.count_distinct("table").alias("table_count"))
+    capped = tables.withColumn("rank", rank).where(F.col("rank") <= max_tables).join(totals, "schema")
     names = F.slice(F.transform("ordered", lambda c: c["column"]), 1, max_columns)
-    return capped.select("schema", "table", names.alias("columns"), "column_count")
+    return capped.select("schema", "table", names.alias("columns"), "column_count", "table_count")
 
 
 def inventory_preview(catalog: DataFrame) -> DataFrame:
-    """(schema, table_count, tables): a short look at each schema's inventory."""
+    """(schema, table_count, tables): a short look at each schema's inventory; all its tables are counted."""
     listed = inventory(catalog)
     rank = F.row_number().over(Window.partitionBy("schema").orderBy("table"))
     first = listed.withColumn("rank", rank)
@@ -75,7 +79,7 @@ def inventory_preview(catalog: DataFrame) -> DataFrame:
     )
     # An inventory has at most 25 tables per schema.
     return first.groupBy("schema").agg(
-        F.count(F.lit(1)).alias("table_count"),
+        F.max("table_count").alias("table_count"),
         F.transform(
             F.sort_array(F.collect_list(shown)),
             lambda t: F.struct(t["table"].alias("table"), t["columns"].alias("columns")),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.meta import row_hash
 from feedloom.types import col
@@ -42,21 +43,32 @@ def read_csv(
     infer: bool = True,
     recursive: bool = False,
     multi_line: bool = False,
+    pattern: str | None = None,
+    bad_rows: str = "fail",
 ) -> DataFrame:
     """CSV with a header row; null tokens become NULL before types are decided.
 
     With ``schema`` (DDL) there is one pass and bad cells fail the job. Without
     it every column is read as text and the narrowest type that all its cells
     fit is found by one aggregate over the file. ``multi_line`` allows line
-    breaks inside quotes; such files cannot be split among tasks.
+    breaks inside quotes; such files cannot be split among tasks. ``path`` may be a
+    folder or a glob, ``pattern`` filters its file names.
+
+    A row with too few or too many cells, or with a line break inside quotes that ``multi_line``
+    does not allow, fails the job; with ``bad_rows="skip"`` it is left out, and
+    :func:`csv_rejects` returns it.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    reader = reader.option("recursiveFileLookup", recursive).option("enforceSchema", False)
-    raw = reader.option("inferSchema", False).csv(path)
+    if bad_rows not in ("fail", "skip"):
+        raise ValueError(f"bad_rows must be fail or skip, not {bad_rows!r}")
+    raw = _csv_rows(spark, path, recursive, multi_line, pattern)
+    if bad_rows == "skip":
+        raw = raw.where(F.coalesce(F.length(col(REJECT)), F.lit(-1)) < 0).drop(REJECT)
+    else:
+        bad = F.concat(F.lit("malformed CSV row: "), col(REJECT))
+        checked = F.when(col(REJECT).isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True))
+        raw = raw.where(checked).drop(REJECT)
     text = raw.select(*[_null_tokens(col(c)).alias(c) for c in raw.columns])
     if schema is not None:
-        from pyspark.sql import types as T
-
         target = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
         return text.select(*[col(c).cast(target[c]).alias(c) if c in target else col(c) for c in text.columns])
     if not infer:
@@ -65,20 +77,54 @@ def read_csv(
     return text.select(*[col(c).cast(types[c]).alias(c) for c in text.columns])
 
 
-# Candidate types, narrowest first, with the text each accepts.
+#: The column that holds a malformed row's text while a file is read.
+REJECT = "_rejected_row"
+
+
+def _csv_rows(spark: SparkSession, path, recursive: bool, multi_line: bool, pattern: str | None) -> DataFrame:
+    """All cells as text, and the text of rows that do not fit the header."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("recursiveFileLookup", recursive).option("enforceSchema", False)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    names = reader.option("inferSchema", False).csv(path).columns
+    if REJECT in names:
+        raise ValueError(f"the column name {REJECT!r} is reserved")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, REJECT]])
+    return reader.schema(schema).option("columnNameOfCorruptRecord", REJECT).option("mode", "PERMISSIVE").csv(path)
+
+
+def csv_rejects(
+    spark: SparkSession, path: str | Sequence[str], *, recursive: bool = False, multi_line: bool = False,
+    pattern: str | None = None,
+) -> DataFrame:
+    """(row): the text of every row that :func:`read_csv` would not take."""
+    rows = _csv_rows(spark, path, recursive, multi_line, pattern)
+    # a row is only held against all cells that are read, so they are read along and cut off again
+    cells = [col(c) for c in rows.columns if c != REJECT]
+    whole = F.left(F.concat_ws("", col(REJECT), *cells), F.length(col(REJECT)))
+    # a plain null test would be pushed into the parser, which fills the column only after its filters
+    given = F.coalesce(F.length(col(REJECT)), F.lit(-1)) >= 0
+    return rows.where(given).select(whole.alias("row"))
+
+
+# Candidate types, narrowest first, with a test of the text each accepts. A whole number never
+# becomes a double that cannot hold all its digits.
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 CANDIDATES = (
-    ("boolean", r"^(?i:true|false)$"),
-    ("bigint", r"^[+-]?\d{1,18}$"),
-    ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
+    ("boolean", lambda c: c.rlike(r"^(?i:true|false)$")),
+    ("bigint", lambda c: c.rlike(r"^[+-]?\d{1,19}$") & c.try_cast("bigint").isNotNull()),
+    ("decimal(38,0)", lambda c: c.rlike(r"^[+-]?\d{1,38}$")),
+    ("double", lambda c: c.rlike(_NUMBER) & ~c.rlike(r"^[+-]?0*[1-9]\d{15,}$")),
 )
 
 
 def _infer_types(text: DataFrame) -> dict[str, str]:
     """One wide aggregate; the result is one row, whatever the file size."""
     checks = [
-        F.bool_and(col(name).rlike(pattern)).alias(f"{i}_{kind}")
+        F.bool_and(accepts(col(name))).alias(f"{i}_{kind}")
         for i, name in enumerate(text.columns)
-        for kind, pattern in CANDIDATES
+        for kind, accepts in CANDIDATES
     ]
     row = text.agg(*checks).first() if checks else None
     found = {}

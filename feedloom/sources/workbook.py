@@ -123,10 +123,15 @@ def read_workbooks(files: DataFrame, sheet: str | None = None, limit: int = MAX_
     """(path, sheet, row_index, cells, error) from a listing of .xlsx files.
 
     ``sheet`` names a sheet, ``"*"`` means all, None the first. The first row is
-    the header. A file that cannot be read yields one row with its error; files
-    above the size limit are left to :func:`split_by_size`.
+    the header. A file that cannot be read, or is above the size limit, yields
+    one row with its error.
     """
-    accepted, _ = split_by_size(files, limit)
+    accepted, rejected = split_by_size(files, limit)
+    too_large = rejected.select(
+        "path", F.lit(None).cast("string").alias("sheet"), F.lit(-1).cast("int").alias("row_index"),
+        F.lit(None).cast("map<string,string>").alias("cells"),
+        F.format_string(f"%d bytes are over the limit of {limit}", "length").alias("error"),
+    )
     columns = ["path", "sheet", "row_index", "cells", "error"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +149,8 @@ def read_workbooks(files: DataFrame, sheet: str | None = None, limit: int = MAX_
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    return accepted.select("path", "content").mapInPandas(read, CELL_SCHEMA)
+    cells = accepted.select("path", "content").mapInPandas(read, CELL_SCHEMA)
+    return cells.unionByName(too_large.select(*[F.col(f.name).cast(f.dataType) for f in cells.schema.fields]))
 
 
 def sheet_table(cells: DataFrame, columns: dict[str, str]) -> DataFrame:

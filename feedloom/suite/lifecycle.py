@@ -87,18 +87,43 @@ def workbook_corpus(spark, sf_dir):
     return workbook.sheet_table(cells, typed).select(*typed)
 
 
-@query("file_listing")
+@query(
+    "file_listing",
+    """
+    SELECT 'part' AS name, count(*) AS rows, true AS accepted, true AS digest_known FROM part
+    UNION ALL SELECT 'supplier', count(*), true, true FROM supplier
+    UNION ALL SELECT 'large', count(*), false, true FROM part
+    """,
+)
 def file_listing(spark, sf_dir):
-    listed = files.list_files(spark, sf_dir, "*.parquet")
-    accepted, rejected = files.split_by_size(listed)
-    good = files.file_fingerprints(accepted).withColumn("accepted", F.lit(True))
-    bad = rejected.select("path", "length", F.lit(None).cast("string").alias("digest"), F.lit(False).alias("accepted"))
-    return good.unionByName(bad).withColumn("path", F.element_at(F.split("path", "/"), -1))
-
-
-@query("table_fingerprint")
+    """Two tables written as single files, listed by pattern; the third is over a limit of its own size less one."""
+    folder = session.scratch_path(spark, "listing")
+    for name in ("part", "supplier"):
+        table(spark, sf_dir, name).coalesce(1).write.parquet(f"{folder}/{name}")
+    table(spark, sf_dir, "part").coalesce(1).write.parquet(f"{folder}/large")
+    listed = files.list_files(spark, folder, "*.parquet").withColumn("name", F.element_at(F.split("path", "/"), -2))
+    least = listed.where("name = 'large'").agg(F.max("length")).first()[0] - 1
+    accepted, rejected = files.split_by_size(listed.where("name = 'large'"), least)
+    others, _ = files.split_by_size(listed.where("name <> 'large'"))
+    digests = files.file_fingerprints(listed).select(F.col("path").alias("p"), F.col("digest").rlike("^[0-9a-f]{16}$").alias("digest_known"))
+    sides = [(accepted.unionByName(others).drop("content"), True), (rejected, False)]
+    marked = [side.select("path", "name", F.lit(ok).alias("accepted")) for side, ok in sides]
+    counts = spark.read.parquet(f"{folder}/*").groupBy(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("n")).count()
+    found = marked[0].unionByName(marked[1]).join(digests, F.col("path") == F.col("p")).join(counts, F.col("name") == F.col("n"))
+    return found.select("name", F.col("count").alias("rows"), "accepted", "digest_known")
+
+
+@query("table_fingerprint", "SELECT count(*) AS rows, true AS same_in_any_order, false AS same_after_a_change FROM lineitem")
 def table_fingerprint(spark, sf_dir):
-    return files.table_fingerprint(table(spark, sf_dir, "lineitem"))
+    items = table(spark, sf_dir, "lineitem")
+    moved = items.repartition(7, "l_partkey")
+    first = items.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("k")).select("k.*").first()
+    hit = (F.col("l_orderkey") == first[0]) & (F.col("l_linenumber") == first[1])
+    changed = items.withColumn("l_quantity", F.when(hit, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    one, two, three = (files.table_fingerprint(df).withColumnRenamed("digest", f"d{i}") for i, df in enumerate((items, moved, changed)))
+    return one.join(two, "rows").join(three, "rows").select(
+        "rows", (F.col("d0") == F.col("d1")).alias("same_in_any_order"), (F.col("d0") == F.col("d2")).alias("same_after_a_change")
+    )
 
 
 @query(
@@ -142,6 +167,74 @@ def materialized_version(spark, sf_dir):
     )
 
 
+@query(
+    "look_alike_feeds",
+    """
+    SELECT 'sales eu' AS feed, 2 AS version, count(*) AS n FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT 'sales_eu', 1, count(*) FROM orders WHERE o_orderstatus = 'O'
+    """,
+)
+def look_alike_feeds(spark, sf_dir):
+    """Two feeds with like names, a version written twice, and a load that is rejected for its size."""
+    root = session.scratch_path(spark, "feeds")
+    orders = table(spark, sf_dir, "orders")
+    sinks.write_version(orders, root, "sales eu", 1)
+    sinks.write_version(orders, root, "sales eu", 2)
+    sinks.write_version(orders.where("o_orderstatus = 'F'"), root, "sales eu", 2)
+    sinks.write_version(orders.where("o_orderstatus = 'O'"), root, "sales_eu", 1)
+    sinks.write_version(orders, root, "sales_eu", 1, max_rows=1)
+    sinks.write_version(orders, root, "sales_eu", 2, max_rows=1)
+    newest = [
+        sinks.read_version(spark, root, feed).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(feed).alias("feed"), F.lit(version).alias("version"), "n"
+        )
+        for feed, version in (("sales eu", 2), ("sales_eu", 1))
+    ]
+    return newest[0].unionAll(newest[1])
+
+
+@query(
+    "csv_folder",
+    """
+    SELECT (1000000000000000000 + o_orderkey)::BIGINT AS id, o_orderkey::DECIMAL(38, 0) + 12345678901234567890::DECIMAL(38, 0) AS wide,
+           'line one' || chr(10) || 'order, ' || o_orderkey AS note, o_totalprice AS price
+    FROM orders WHERE o_orderkey % 7 <> 0
+    """,
+)
+def csv_folder(spark, sf_dir):
+    """Long ids, quoted line breaks and commas; read from a folder by pattern, malformed rows left out."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "1000000000000000000 + o_orderkey AS id",
+        "CAST(o_orderkey AS DECIMAL(20, 0)) + 12345678901234567890 AS wide", "concat('line one\\norder, ', o_orderkey) AS note",
+        "o_totalprice AS price",
+    )
+    folder = session.scratch_path(spark, "csv-folder")
+    orders.where("o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0").drop("o_orderkey").write.option("header", True).csv(f"{folder}/even")
+    orders.where("o_orderkey % 7 <> 0 AND o_orderkey % 2 <> 0").drop("o_orderkey").write.option("header", True).csv(f"{folder}/odd")
+    ragged = orders.where("o_orderkey % 7 = 0").select(F.concat_ws(",", "id", "wide", F.lit("x"), "price", F.lit("more")).alias("value"))
+    ragged = ragged.coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, "id,wide,note,price\n").otherwise(""), "value").alias("value"))
+    ragged.write.text(f"{folder}/ragged")
+    table(spark, sf_dir, "region").write.json(f"{folder}/other")
+    good = files.read_csv(spark, [f"{folder}/even", f"{folder}/odd"], multi_line=True, pattern="*.csv")
+    some = files.read_csv(spark, f"{folder}/ragged", multi_line=True, bad_rows="skip", infer=False)
+    return good.unionByName(some.select(*[F.col(f.name).cast(f.dataType) for f in good.schema.fields]))
+
+
+@query(
+    "csv_rejects",
+    "SELECT p_partkey || ',' || p_size || ',surplus' AS row FROM part WHERE p_size > 40",
+)
+def csv_rejects(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    lines = part.select(
+        F.when(F.col("p_size") > 40, F.concat_ws(",", "p_partkey", "p_size", F.lit("surplus"))).otherwise(F.concat_ws(",", "p_partkey", "p_size")).alias("value")
+    ).coalesce(1)
+    lines = lines.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "part,size\n").otherwise(""), "value").alias("value"))
+    path = session.scratch_path(spark, "ragged")
+    lines.write.text(path)
+    return files.csv_rejects(spark, path)
+
+
 @query(
     "load_strategies",
     """
@@ -285,6 +378,30 @@ def job_run(spark, sf_dir):
     return jobs.read_runs(spark, log).select("status", "rows_in", "rows_out", F.array_join("warnings", ",").alias("warnings"))
 
 
+@query(
+    "job_run_incremental",
+    """
+    SELECT o_orderkey, o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN '2' ELSE '1' END AS state FROM orders
+    """,
+)
+def job_run_incremental(spark, sf_dir):
+    """Two runs merged by key: the second brings new states of every other order; it runs twice."""
+    definition = TransformDefinition.from_dict(
+        {
+            "name": "states", "feed_identifier": "orders", "target_table": "order_states", "incremental": True,
+            "unique_key": ["o_orderkey"], "steps": [{"type": "trim", "column": "state"}],
+        }
+    )
+    orders = table(spark, sf_dir, "orders")
+    first = orders.select("o_orderkey", F.concat(F.col("o_orderstatus"), F.lit("1 ")).alias("state"))
+    second = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.col("o_orderstatus"), F.lit("2")).alias("state"))
+    target, log = session.scratch_path(spark, "job"), session.scratch_path(spark, "runs")
+    jobs.run_job(first, definition, target, log, run_id="r1", job_id="j1")
+    for _ in range(2):
+        jobs.run_job(second.unionAll(second), definition, target, log, run_id="r2", job_id="j1")
+    return spark.read.parquet(target).select("o_orderkey", "state")
+
+
 @query(
     "refreshed_feed",
     """

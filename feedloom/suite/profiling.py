@@ -271,10 +271,24 @@ def profile_approximate(spark, sf_dir):
     return found.select("column", "rows", "non_null", "min", "max")
 
 
-@query("profile_sample")
+@query(
+    "profile_sample",
+    """
+    SELECT c AS "column", least(count(*), 5000)::BIGINT AS rows, true AS within, true AS repeatable
+    FROM orders, (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) v(c)
+    GROUP BY c
+    """,
+)
 def profile_sample(spark, sf_dir):
-    found = profile.column_profile(table(spark, sf_dir, "orders"), sample=5000)
-    return found.select("column", "rows", "unique_count", "median")
+    """A sample's profile: its size, values no more than the table has, and the same when it is drawn again."""
+    orders = table(spark, sf_dir, "orders")
+    found = profile.column_profile(orders, sample=5000).select("column", "rows", "unique_count")
+    again = profile.column_profile(orders.repartition(5), sample=5000).select("column", F.col("unique_count").alias("again"))
+    whole = profile.column_profile(orders, medians=False, samples=0, top_k=0).select("column", F.col("unique_count").alias("whole"))
+    return found.join(again, "column").join(whole, "column").select(
+        "column", "rows", (F.col("unique_count") <= F.col("whole")).alias("within"),
+        (F.col("unique_count") == F.col("again")).alias("repeatable"),
+    )
 
 
 # --- drift --------------------------------------------------------------------

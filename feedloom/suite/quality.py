@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom import session
+
 from feedloom.operators import quality
 from feedloom.operators.profile import column_profile
 from feedloom.suite.registry import query, table, union_sql
@@ -178,3 +180,34 @@ def dq_feed_status(spark, sf_dir):
 def dq_freshness(spark, sf_dir):
     found = quality.freshness(table(spark, sf_dir, "events"), "ts", "2024-01-31 00:00:00", "12 hours")
     return found.select(F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"), "status")
+
+
+@query(
+    "dq_logged_status",
+    f"""
+    SELECT CASE WHEN count_if(status = 'fail') > 0 THEN 'fail' ELSE 'pass' END AS status, count(*) + 1 AS total,
+           (count(*) + 1 - count_if(status IN ('fail', 'skip')))::BIGINT AS passed, count_if(status = 'fail')::BIGINT AS failed,
+           count_if(status = 'skip')::BIGINT AS skipped
+    FROM ({RESULTS_SQL})
+    """,
+)
+def dq_logged_status(spark, sf_dir):
+    """Rules run over two versions of a table into one log; a manual rule added later is pending."""
+    path = session.scratch_path(spark, "results")
+    found = results(spark, sf_dir)
+    old = found.withColumn("created_at", F.col("created_at") - F.expr("interval 1 day")).withColumn("status", F.lit("skip"))
+    quality.log_results(old, path)
+    quality.log_results(found, path)
+    logged = quality.read_results(spark, path)
+    rules = found.select(*[f.split()[0] for f in quality.RULE_SCHEMA.split(", ")])
+    manual = rules.limit(1).withColumn("rule_id", F.lit("manual:1")).withColumn("is_manual", F.lit(True))
+    return quality.feed_status(quality.rule_status(rules.unionByName(manual), logged))
+
+
+@query(
+    "dq_error_total",
+    f"SELECT count(*) AS failed_in_all, least(count(*), 1) AS shown FROM ({RESULTS_SQL}) WHERE status = 'fail' AND severity = 'error' HAVING count(*) > 0",
+)
+def dq_error_total(spark, sf_dir):
+    failed = quality.error_failures(results(spark, sf_dir), 1)
+    return failed.groupBy("failed_in_all").agg(F.count(F.lit(1)).alias("shown"))

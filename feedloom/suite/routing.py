@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom import session
 from feedloom.plans import analysis, questions, sqlguard
 from feedloom.sources.catalog import catalog_columns
 from feedloom.suite.profiling import EVENTS_SQL, events, iso_sql
@@ -167,3 +168,66 @@ def analysis_plan_derived(spark, sf_dir):
     tasks = analysis.derive_plan(df, schemas=["main"])
     found = analysis.run_plan(df, tasks, catalog=catalog_columns({"tickets": df}))
     return found.withColumn("value", F.round("value", 4))
+
+
+@query(
+    "direct_answers_many_values",
+    """
+    WITH n AS (SELECT CAST(c_nationkey AS VARCHAR) AS label, count(*) AS n FROM customer GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS most, row_number() OVER (ORDER BY n, label DESC) AS least FROM n),
+    a AS (
+      SELECT 0 AS k, (SELECT label || ' handled the most tickets (' || n || ').' FROM r WHERE most = 1) || ' Next: '
+        || (SELECT string_agg(label || ' (' || n || ')', ', ' ORDER BY most) FROM r WHERE most IN (2, 3)) || '.' AS answer
+      UNION ALL
+      SELECT 1, (SELECT label || ' handled the fewest tickets (' || n || ').' FROM r WHERE least = 1) || ' Next: '
+        || (SELECT string_agg(label || ' (' || n || ')', ', ' ORDER BY least) FROM r WHERE least IN (2, 3)) || '.')
+    SELECT conv_id, turn, answer FROM conversations JOIN a ON k = turn % 2
+    """,
+)
+def direct_answers_many_values(spark, sf_dir):
+    """The text of every turn with a question added, about a column of 25 values."""
+    added = F.when(F.col("turn") % 2 == 0, " Who has the most tickets?").otherwise(" Who has the fewest tickets?")
+    talk = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.regexp_replace("text", r"(?i)\b(most|highest|largest|top|greatest|fewest|least|lowest|smallest)\b", ""), added).alias("question")
+    )
+    held = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("assigned_to"))
+    return questions.answer(talk, held).drop("question")
+
+
+@query(
+    "capped_sql",
+    """
+    SELECT 10 AS asked, least(count(*), 10)::BIGINT AS rows, count(*) > 10 AS truncated FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT 25, least(count(*), 25)::BIGINT, count(*) > 25 FROM nation
+    """,
+)
+def capped_sql(spark, sf_dir):
+    """Row caps with an exact flag: more rows than asked for, and just as many."""
+    tables = {n: table(spark, sf_dir, n) for n in ("orders", "nation")}
+    parts = []
+    for text, limit in (("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'", 10), ("SELECT * FROM nation", 25)):
+        found = sqlguard.run_query(spark, text, tables, limit)
+        parts.append((limit, found.row_count, found.truncated))
+    return session.literal_rows(spark, parts, "asked int, rows bigint, truncated boolean")
+
+
+@query(
+    "analysis_plan_wide",
+    """
+    SELECT 'count_by' AS type, 9 AS tasks, 6 AS left_out FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'avg_by', 1, 13 FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'null_audit', 1, 0 FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'date_range', 1, 0 FROM orders HAVING count(*) > 0
+    """,
+)
+def analysis_plan_wide(spark, sf_dir):
+    """Sixteen countable columns: the structural tasks keep their slots, and what is cut is known."""
+    orders = table(spark, sf_dir, "orders")
+    texts = [F.col("o_orderpriority").alias(f"owner_{i}") for i in range(14)]
+    wide = orders.select(*texts, "o_orderdate", F.col("o_totalprice").alias("resolution_hours"))
+    plan, cut = analysis.derive_plan(wide), analysis.left_out(wide)
+    ran = analysis.run_plan(wide, plan).select("task", "type").distinct().groupBy("type").agg(F.count(F.lit(1)).alias("ran"))
+    kinds = [(k, sum(t.type == k for t in plan), sum(t.type == k for t in cut)) for k in ("count_by", "avg_by", "null_audit", "date_range")]
+    known = session.literal_rows(spark, kinds, "type string, tasks int, left_out int")
+    # a task without rows (no column above the null limit) still stands in the plan
+    return known.join(ran, "type", "left").where("ran IS NULL OR ran = tasks").select("type", "tasks", "left_out")

@@ -127,7 +127,7 @@ def test_grants_and_inventory(spark):
     found = catalog.inventory(allowed).orderBy("table").collect()
     assert len(found) == 25 and found[0]["columns"][:2] == ["c1", "c2"] and len(found[0]["columns"]) == 64
     look = catalog.inventory_preview(allowed).first()
-    assert look["table_count"] == 25 and len(look["tables"]) == 5 and len(look["tables"][0]["columns"]) == 6
+    assert look["table_count"] == 30 and len(look["tables"]) == 5 and len(look["tables"][0]["columns"]) == 6
 
 
 def test_feed_columns_use_the_latest_version(spark):
