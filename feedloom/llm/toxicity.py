@@ -132,7 +132,11 @@ def fit(texts: list[str], labels: list[int], share: float, steps: int = 60) -> T
     matrix = np.array([f + [unused] * (width - len(f)) for f in table.values()], np.int64)
     is_seed = np.fromiter((w in seeds for w in table), bool, len(table))
 
-    field = np.arange(len(split)) % 10 < 7 if toxic.sum() >= 20 else np.ones(len(split), bool)
+    field = np.ones(len(split), bool)
+    if toxic.sum() >= 20:  # seven tenths of each class train the field, the rest the score
+        for label in (0, 1):
+            own = np.flatnonzero(toxic == label)
+            field[own] = np.arange(len(own)) % 10 < 7
     field_texts = [w for w, own in zip(split, field) if own and w]
     sizes = np.array([len(w) for w in field_texts])
     tokens = np.fromiter((ids[w] for words in field_texts for w in words), np.int64, sizes.sum())
