@@ -9,6 +9,7 @@ it. The approximate profile is one aggregate without any shuffle of the rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,7 +53,23 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     reads that column only, so together they read the table once. ``number`` is
     NULL for non-numeric columns.
     """
-    return _readable(_counted(df, _fields(df, columns), 0))
+    return _readable(_counted(columnar(df, columns), _fields(df, columns), 0))
+
+
+#: Plan nodes that let each column be scanned on its own.
+_CHEAP_NODES = re.compile(r"^[\s:+-]*(Project|Filter|Relation .* (parquet|orc)$|LocalRelation)")
+
+
+def columnar(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The frame as it is when its columns can be read one by one, else written once in columns.
+
+    A scan of a row format, or a computed frame, would otherwise be repeated for every column.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    fields = _fields(df, columns)
+    if len(fields) < 2 or all(_CHEAP_NODES.match(line) for line in plan):
+        return df
+    return session.materialize(df.select(*[col(f.name) for f in fields]), "columns")
 
 
 def _counted(df: DataFrame, fields: Sequence[T.StructField], first: int) -> DataFrame:
@@ -105,6 +122,7 @@ COLUMNS_PER_JOB = 48
 def stored_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """:func:`value_frequencies`, written once to the shared folder."""
     fields, out = _fields(df, columns), None
+    df = columnar(df, columns)
     for start in range(0, len(fields), COLUMNS_PER_JOB):
         block = _counted(df, fields[start : start + COLUMNS_PER_JOB], start)
         part = session.materialize(block, "frequencies")
@@ -124,22 +142,19 @@ def top_by(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+#: Distinct values of a key that the last, sorted step of a median takes into one task.
+MEDIAN_VALUES = 1_000_000
+
+
 def exact_median(
-    frequencies: DataFrame, key: str, number: str = "number", *, small: bool | None = None
+    frequencies: DataFrame, key: str, number: str = "number", *, bound: int = MEDIAN_VALUES
 ) -> DataFrame:
     """(key, median) from a frequency table (key, number, n); interpolated.
 
-    A small input uses the built-in weighted percentile, which holds the
-    distinct values of a key in one task. A large one narrows by quantile
-    buckets first: each round keeps one of 64 buckets of distinct values per
-    key, so the last, sorted step sees 1/4096 of them.
+    Rounds that keep, per key, the one of 64 quantile buckets that holds the median go on until no key
+    has more than ``bound`` distinct values; what is left is sorted, a key in a task. The number of
+    rounds follows the values counted, so every size takes the same way.
     """
-    if small is None:
-        small = session.planned_bytes(frequencies) <= session.SMALL_BYTES
-    if small:
-        return frequencies.groupBy(key).agg(
-            F.expr(f"percentile(`{number}`, 0.5D, n)").alias("median")
-        )
     totals = frequencies.groupBy(key).agg(F.sum("n").alias("total"))
     wanted = totals.select(
         key,
@@ -147,9 +162,11 @@ def exact_median(
         (F.col("total") % 2 == 0).alias("even"),
     )
     kept = frequencies.select(key, number, "n").join(F.broadcast(wanted), key)
-    for _ in range(2):
+    most, before = _most_values(frequencies, key, number), None
+    while most > bound and most != before:
         # Stored, so that the next round does not repeat this one.
         kept = session.materialize(_narrow(kept, key, number), "narrowed")
+        most, before = _most_values(kept, key, number), most
     # Large integers may share one double.
     kept = kept.groupBy(key, number, "want", "even").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(key).orderBy(number)
@@ -172,6 +189,11 @@ def exact_median(
     )
 
 
+def _most_values(frequencies: DataFrame, key: str, number: str) -> int:
+    """Distinct values of the key that has most, a row each; doubles that integers share count once more."""
+    return frequencies.groupBy(key).agg(F.count(number).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 #: Quantile buckets per narrowing round, searched as COARSE groups of COARSE.
 COARSE = 8
 BUCKETS = COARSE * COARSE
@@ -297,8 +319,9 @@ def column_profile(
     if not exact:
         return _approximate(df, columns, top_k)
     listed = column_list(df, columns)
-    small = session.planned_bytes(df) <= session.SMALL_BYTES
-    counted = stored_frequencies(df, columns)
+    # with one consumer only, the values need not be stored
+    several = medians or samples or top_k
+    counted = stored_frequencies(df, columns) if several else value_frequencies(df, columns)
     value = F.col("value")
     totals = counted.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
@@ -342,7 +365,7 @@ def column_profile(
         out = out.withColumn("top_values", F.lit(None).cast("array<struct<label:string,count:bigint>>"))
     if medians:
         numbers = counted.where(F.col("number").isNotNull()).select("ordinal", "number", "n")
-        middle = exact_median(numbers, "ordinal", small=small)
+        middle = exact_median(numbers, "ordinal")
         out = out.join(F.broadcast(middle), "ordinal", "left")
     else:
         out = out.withColumn("median", F.lit(None).cast("double"))

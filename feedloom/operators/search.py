@@ -147,12 +147,23 @@ def _cell_of(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return ((rows @ planes) > 0) @ (1 << np.arange(planes.shape[1]))
 
 
+#: Planes nearest to a query whose crossings are tried in all combinations.
+PROBED_PLANES = 8
+
+
 def _probes(vectors: np.ndarray, planes: np.ndarray, count: int) -> np.ndarray:
-    """The own cell of each query and those across its nearest planes."""
+    """The ``count`` cells nearest to each query: its own, then those across its nearest planes.
+
+    A cell's distance is the sum of the squared margins of the planes between it and the query.
+    """
     margins = np.abs(vectors @ planes)
-    own = _cell_of(vectors, planes)
-    nearest_planes = np.argsort(margins, axis=1)[:, : max(0, count - 1)]
-    return np.concatenate([own[:, None], own[:, None] ^ (1 << nearest_planes)], axis=1)
+    m = min(margins.shape[1], PROBED_PLANES)
+    near = np.argsort(margins, axis=1)[:, :m]
+    crossed = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+    cost = np.take_along_axis(margins, near, axis=1) ** 2 @ crossed.T
+    best = np.argsort(cost, axis=1, kind="stable")[:, :count]
+    flips = (crossed[best] * (1 << near)[:, None, :]).sum(axis=2)
+    return _cell_of(vectors, planes)[:, None] ^ flips
 
 
 def write_index(corpus: DataFrame, path: str, dim: int, bits: int = 8, seed: int = 42) -> None:
@@ -183,8 +194,9 @@ def nearest_in_index(
     """Approximate k nearest rows from an index written by :func:`write_index`.
 
     Only partitions of probed cells are read; their rows are ranked by exact
-    distance. More probes raise recall; ``probes = bits + 1`` covers every
-    neighbouring cell.
+    distance. More probes raise recall, up to all cells with
+    ``probes = 2 ** bits`` and at most eight bits. A query whose cells hold fewer than ``k`` rows is searched
+    in the whole index, so ``k`` rows come whenever the index has them.
     """
     queries = queries.select(
         F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("vector")
@@ -197,7 +209,13 @@ def nearest_in_index(
         rows = index.where(F.col("cell").isin(wanted)).select("id", "vector")
         return _scan(rows, block, k, cells, planes)
 
-    return _over_blocks(queries, scan, k)
+    found = session.materialize(_over_blocks(queries, scan, k), "probed")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    short = session.materialize(queries.join(full, "query_id", "left_anti"), "short-queries")
+    if short.isEmpty():
+        return found
+    whole = nearest(index.select("id", "vector"), short, k)
+    return found.join(full, "query_id", "left_semi").select(*whole.columns).unionAll(whole)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

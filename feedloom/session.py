@@ -13,10 +13,6 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side may be treated as small when the optimizer's size for it is below this.
-SMALL_BYTES = 64 * 1024 * 1024
-
-
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -77,11 +73,6 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a frame; joins and unknown sources count as large."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 _ARROW_TYPES = {
     "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
 }

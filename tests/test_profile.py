@@ -69,16 +69,16 @@ def test_key_candidates(spark):
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [1.0, 1.0, 1.0, 9.0], [5.0, 5.0, 7.0, 7.0], list(map(float, range(501)))])
 def test_median_paths_agree(spark, values):
     df = spark.createDataFrame([(0, v, 1 + i % 3) for i, v in enumerate(values)], "k int, number double, n bigint")
-    small = profile.exact_median(df, "k", small=True).first()["median"]
-    large = profile.exact_median(df, "k", small=False).first()["median"]
+    small = profile.exact_median(df, "k", bound=10**6).first()["median"]
+    large = profile.exact_median(df, "k", bound=1).first()["median"]
     assert small == large
 
 
 def test_median_paths_agree_on_orders(spark):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
     counted = profile.value_frequencies(orders).where("number IS NOT NULL").select("ordinal", "number", "n")
-    a = sorted(profile.exact_median(counted, "ordinal", small=True).collect())
-    b = sorted(profile.exact_median(counted, "ordinal", small=False).collect())
+    a = sorted(profile.exact_median(counted, "ordinal", bound=10**6).collect())
+    b = sorted(profile.exact_median(counted, "ordinal", bound=1).collect())
     assert a == b
 
 
