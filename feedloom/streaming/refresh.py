@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.operators.latest import last_per_group
 from feedloom.operators.profile import distinct_sketch
 from feedloom.operators.steps import Context, Step, run_steps
 from feedloom.types import as_number, is_numeric, missing
 
 
 def _write_batch(df: DataFrame, batch_id: int, target: str) -> None:
+    if "batch_id" in df.columns:
+        raise ValueError("the column name 'batch_id' is reserved for the batch that brought a row")
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("batch_id").parquet(target)
@@ -58,7 +61,8 @@ def refresh_feed(
     """Clean the new files of a folder into ``target``; a second run adds nothing.
 
     Steps see one batch at a time; a de-duplication therefore holds within a
-    batch, and :func:`feedloom.operators.joins.upsert` merges across batches.
+    batch, and :func:`read_refreshed` with keys holds across batches. A column
+    called ``batch_id`` is an error.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -67,8 +71,16 @@ def refresh_feed(
     _run_once(spark, folder, schema, fmt, checkpoint, on_batch, files_per_batch)
 
 
-def read_refreshed(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target).drop("batch_id")
+def read_refreshed(spark: SparkSession, target: str, keys: Sequence[str] = ()) -> DataFrame:
+    """All rows of a refreshed feed; with keys, one row per key.
+
+    The row of the newest batch stays, within a batch the last by all other columns in their order.
+    """
+    rows = spark.read.parquet(target)
+    if keys:
+        others = [c for c in rows.columns if c not in keys and c != "batch_id"]
+        rows = last_per_group(rows, keys, ["batch_id", *others])
+    return rows.drop("batch_id")
 
 
 def partial_profile(df: DataFrame) -> DataFrame:

@@ -425,6 +425,27 @@ def refreshed_feed(spark, sf_dir):
     )
 
 
+@query(
+    "refreshed_feed_by_key",
+    """
+    SELECT user_id, arg_max(event_type, event_id) AS event_type, count(*) FILTER (WHERE event_id >= 0) > 0 AS known
+    FROM (SELECT user_id, event_type, event_id FROM events
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 DESC, event_id DESC) = 1)
+    GROUP BY user_id
+    """,
+)
+def refreshed_feed_by_key(spark, sf_dir):
+    """Two batches bring several states of every user; the newest batch's last one stays."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    folder, target, mark = (session.scratch_path(spark, n) for n in ("incoming", "refreshed", "mark"))
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(folder)
+        refresh.refresh_feed(spark, folder, events.schema, target, mark)
+    return refresh.read_refreshed(spark, target, ["user_id"]).select(
+        "user_id", "event_type", F.col("event_id").isNotNull().alias("known")
+    )
+
+
 @query(
     "refreshed_profile",
     """
