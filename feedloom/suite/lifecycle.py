@@ -13,7 +13,7 @@ from feedloom import session
 from feedloom.functions import meta
 from feedloom.functions.numbers import iso
 from feedloom.operators.steps import TransformDefinition
-from feedloom.plans import jobs
+from feedloom.plans import ingest, jobs
 from feedloom.sources import files, sinks, versions, workbook
 from feedloom.streaming import refresh
 from feedloom.suite.profiling import iso_sql
@@ -167,6 +167,32 @@ def materialized_version(spark, sf_dir):
     )
 
 
+@query(
+    "ingested_feed",
+    """
+    SELECT * FROM (
+      SELECT 0 AS step, 'create' AS action, 1 AS version, count(*) FILTER (o_orderstatus <> 'P') AS rows, 'baseline' AS drift, NULL::BIGINT AS delta FROM orders
+      UNION ALL SELECT 1, 'reuse', 1, NULL, NULL, NULL FROM orders HAVING count(*) > 0
+      UNION ALL SELECT 2, 'conflict', 1, NULL, NULL, NULL FROM orders HAVING count(*) > 0
+      UNION ALL SELECT 3, 'new_version', 2, count(*), 'changed', count(*) FILTER (o_orderstatus = 'P') FROM orders)
+    """,
+)
+def ingested_feed(spark, sf_dir):
+    """A first version, the same again in another order, a change not confirmed, and confirmed."""
+    root = session.scratch_path(spark, "ingest")
+    orders = table(spark, sf_dir, "orders")
+    closed = orders.where("o_orderstatus <> 'P'")
+    steps = [
+        ingest.ingest(closed, root, "orders"), ingest.ingest(closed.repartition(3, "o_custkey"), root, "orders"),
+        ingest.ingest(orders, root, "orders"), ingest.ingest(orders, root, "orders", confirmed=True),
+    ]
+    rows = [
+        (i, s["action"], s["version"], s.get("rows"), s.get("drift", {}).get("status"), s.get("drift", {}).get("row_delta"))
+        for i, s in enumerate(steps)
+    ]
+    return session.literal_rows(spark, rows, "step int, action string, version int, rows bigint, drift string, delta bigint")
+
+
 @query(
     "look_alike_feeds",
     """
