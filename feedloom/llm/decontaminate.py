@@ -83,6 +83,8 @@ def _rarest(index: DataFrame, benchmark: Benchmark, lists: int) -> DataFrame:
     A window with a term that the corpus lacks is left out: it cannot occur.
     """
     counts = index.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("n"))
+    if benchmark.n_words <= BROADCAST_WORDS:  # a row per term at most
+        counts = F.broadcast(counts)
     counted = benchmark.words.join(counts, "term", "left")
     by_window = Window.partitionBy("window")
     counted = counted.withColumn("_all", F.count("*").over(by_window) == F.count("n").over(by_window)).filter("_all")
@@ -94,7 +96,7 @@ def _rarest(index: DataFrame, benchmark: Benchmark, lists: int) -> DataFrame:
     )
 
 
-def window_matches(index: DataFrame, benchmark: Benchmark, lists: int = 3, slop: int = 3) -> tuple[DataFrame, DataFrame]:
+def window_matches(index: DataFrame, benchmark: Benchmark, lists: int = 2, slop: int = 3) -> tuple[DataFrame, DataFrame]:
     """Exact matches (_row, window, start) and proximity matches (_row, window, spread).
 
     A proximity match is a window whose rarest terms all stand within ``slop`` words of the places that
@@ -138,7 +140,7 @@ def decontaminate(
     item: str = "item_id",
     item_text: str = "text",
     width: int = 10,
-    lists: int = 3,
+    lists: int = 2,
     slop: int = 3,
 ) -> DataFrame:
     """One row per row of ``docs``: ``keep``, and how its text overlaps the benchmark.
