@@ -29,6 +29,7 @@ from feedloom.session import scratch_path
 BEGIN, END = 0, 1
 #: Tokens that a task holds at once, when it counts and when it scores.
 BATCH_TOKENS = 2_000_000
+SCORE_TOKENS = 1_000_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _BIG = 255
 
@@ -41,14 +42,16 @@ def tokens_of(text: str | None) -> np.ndarray:
     return out
 
 
-def _batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the input with the tokens of their texts (last column), up to BATCH_TOKENS at a time."""
+def _batches(
+    frames: Iterator[pa.RecordBatch], most: int = BATCH_TOKENS
+) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the input with the tokens of their texts (last column), cut after ``most`` tokens."""
     for frame in frames:
         start, held, size = 0, [], 0
         for i, text in enumerate(frame.column(frame.num_columns - 1)):
             held.append(tokens_of(text.as_py()))
             size += len(held[-1])
-            if size >= BATCH_TOKENS:
+            if size >= most:
                 yield frame.slice(start, i + 1 - start), held
                 start, held, size = i + 1, [], 0
         if held:
@@ -331,7 +334,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for part, held in _batches(frames):
+        for part, held in _batches(frames, SCORE_TOKENS):
             scorer = scorer or Scorer(model)
             sizes, known, base, log_p = scorer.score(held)
             columns = [part.column(i) for i in range(len(kept))]
