@@ -162,7 +162,8 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wor
     gone = materialize(repeated_lines(docs, id, text, min_words), "line-deletions").withColumnsRenamed({"_id": "_gone_id", "_text_hash": "_gone_hash", "lines": "_gone"})
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*kept, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_hash"))
-    joined = keyed.join(gone, F.col(id).eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
+    # a join by shuffle at every size: the deletions grow with the texts
+    joined = keyed.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
     joined = joined.withColumn("_lines", F.split(text, "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     cut = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
