@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -101,18 +100,29 @@ def forward_backward(emission: np.ndarray, mask: np.ndarray, pairs: np.ndarray)
     return marginals, expected
 
 
-def _seeds(texts: list[list[str]], toxic: np.ndarray, table: dict[str, list[int]]) -> set[str]:
-    """Words with a feature that marks toxic documents beyond chance."""
-    seen = np.zeros((2, 1 << FEATURE_BITS))
+def _seeds(texts: list[np.ndarray], toxic: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """By word: whether one of its features (a row of ``matrix``) marks toxic documents beyond chance."""
+    seen = np.zeros((2, (1 << FEATURE_BITS) + 1))
     for words, label in zip(texts, toxic.tolist()):
-        own = {f for w in set(words) for f in table[w]}
-        seen[label, np.fromiter(own, np.int64, len(own))] += 1
+        seen[label, np.unique(matrix[np.unique(words)])] += 1
     total, share = seen.sum(axis=0), toxic.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         part = seen[1] / total
         ratio = 2 * (np.nan_to_num(seen[1] * np.log(part / share)) + np.nan_to_num(seen[0] * np.log((1 - part) / (1 - share))))
         marked = (ratio > LEAST_RATIO) & (part > max(3 * share, 0.5))
-    return {w for w, f in table.items() if marked[f].any()}
+    marked[-1] = False  # the place that fills up short rows
+    return marked[matrix].any(axis=1)
+
+
+def _all_chains(emission: np.ndarray, at: np.ndarray, mask: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals by token and expected transitions, over blocks of chains."""
+    marginals, expected = np.zeros(len(emission)), np.zeros(4)
+    for i in range(0, len(at), 4096):
+        own, live = at[i : i + 4096], mask[i : i + 4096]
+        p, moved = forward_backward(emission[own], live, pairs)
+        marginals[own[live]] = p[live]
+        expected += moved
+    return marginals, expected
 
 
 def fit(texts: list[str], labels: list[int], share: float, steps: int = 60) -> Tagger:
@@ -121,42 +131,43 @@ def fit(texts: list[str], labels: list[int], share: float, steps: int = 60) -> T
     toxic = np.array(labels, np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return flat
-    split = [words_of(t) for t in texts]
-    table = {w: features(w) for words in split for w in words}
-    seeds = _seeds(split, toxic, table)
-    if not seeds:
-        return flat
-    ids = {w: i for i, w in enumerate(table)}
-    width = max(map(len, table.values()))
+    ids: dict[str, int] = {}  # words become numbers at once: a sample has millions of them
+    split = []
+    for t in texts:
+        words = words_of(t)
+        split.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
     unused = 1 << FEATURE_BITS  # one weight beyond the table stays zero
-    matrix = np.array([f + [unused] * (width - len(f)) for f in table.values()], np.int64)
-    is_seed = np.fromiter((w in seeds for w in table), bool, len(table))
+    width = len(features("x" * 9))
+    matrix = np.full((len(ids), width), unused, np.int32)
+    for i, word in enumerate(ids):
+        made = features(word)
+        matrix[i, : len(made)] = made
+    del ids
+    is_seed = _seeds(split, toxic, matrix)
+    if not is_seed.any():
+        return flat
 
     field = np.ones(len(split), bool)
     if toxic.sum() >= 20:  # seven tenths of each class train the field, the rest the score
         for label in (0, 1):
             own = np.flatnonzero(toxic == label)
             field[own] = np.arange(len(own)) % 10 < 7
-    field_texts = [w for w, own in zip(split, field) if own and w]
-    sizes = np.array([len(w) for w in field_texts])
-    tokens = np.fromiter((ids[w] for words in field_texts for w in words), np.int64, sizes.sum())
-    wanted = (is_seed[tokens] & np.repeat(np.array([t for t, own, w in zip(toxic, field, split) if own and w]) == 1, sizes)).astype(float)
+    chosen = [i for i in np.flatnonzero(field).tolist() if len(split[i])]
+    sizes = np.array([len(split[i]) for i in chosen])
+    tokens = np.concatenate([split[i] for i in chosen])
+    wanted = (is_seed[tokens] & np.repeat(toxic[chosen] == 1, sizes)).astype(float)
     at, mask = _chains(sizes)
-    y = np.where(mask, wanted[at], 0.0)
-    live = mask[:, 1:]
-    had = np.array([
-        ((1 - y[:, :-1]) * (1 - y[:, 1:]) * live).sum(), ((1 - y[:, :-1]) * y[:, 1:] * live).sum(),
-        (y[:, :-1] * (1 - y[:, 1:]) * live).sum(), (y[:, :-1] * y[:, 1:] * live).sum(),
-    ])
+    y, live = mask & (wanted[at] > 0), mask[:, 1:]
+    was, now = y[:, :-1], y[:, 1:]
+    had = np.array([(~was & ~now & live).sum(), (~was & now & live).sum(), (was & ~now & live).sum(), (was & now & live).sum()], float)
+    del y, live, was, now
     weights, pairs = np.zeros(unused + 1), np.zeros(4)
     bias = _logit(max(wanted.mean(), 1e-6))
     sums = [np.full(unused + 1, 1e-8), 1e-8, np.full(4, 1e-8)]
     for _ in range(steps):  # Adagrad on the penalised log likelihood
         emission = (bias + weights[matrix].sum(axis=1))[tokens]
-        p, expected = forward_backward(emission[at], mask, pairs)
-        by_token = np.zeros(len(tokens))
-        by_token[at[mask]] = (y - p)[mask]
-        by_word = np.bincount(tokens, by_token, len(table))
+        p, expected = _all_chains(emission, at, mask, pairs)
+        by_word = np.bincount(tokens, wanted - p, len(matrix))
         slope = np.bincount(matrix.ravel(), np.repeat(by_word, width), unused + 1) - 0.05 * weights
         slope[unused] = 0.0
         slopes = [slope, by_word.sum(), had - expected - 0.05 * pairs]
@@ -168,8 +179,9 @@ def fit(texts: list[str], labels: list[int], share: float, steps: int = 60) -> T
     tagger = Tagger(weights[:unused].astype(np.float32), float(bias), pairs, np.zeros(3))
 
     rest = ~field if not field.all() else field
-    held = [w for w, own in zip(split, rest) if own]
-    found = measure(tagger, [Emissions(tagger)(w) for w in held])[1]
+    by_word = tagger.bias + np.append(tagger.weights, 0)[matrix].sum(axis=1)
+    held = [by_word[split[i]] for i in np.flatnonzero(rest)]
+    found = measure(tagger, held)[1]
     x = np.column_stack([np.ones(len(held)), np.log1p(found[:, 0]), found[:, 1]])
     t = toxic[rest]
     scale = np.zeros(3)
@@ -212,9 +224,7 @@ def measure(tagger: Tagger, emissions: list[np.ndarray]) -> tuple[np.ndarray, np
     if not sizes.sum():
         return np.zeros(0), out
     at, mask = _chains(sizes)
-    p, _ = forward_backward(np.concatenate(emissions)[at], mask, tagger.pairs)
-    marginals = np.zeros(sizes.sum())
-    marginals[at[mask]] = p[mask]
+    marginals, _ = _all_chains(np.concatenate(emissions), at, mask, tagger.pairs)
     some = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[some]
     out[some] = np.stack([np.add.reduceat(marginals, starts), np.maximum.reduceat(marginals, starts)], axis=1)
