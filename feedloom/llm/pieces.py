@@ -35,10 +35,12 @@ from feedloom.llm.hash_arrays import mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Chunks up to so many characters are summed up without logarithms: 32,000^-60 is still a float.
+LINEAR_CHARS = 60
 #: Characters of texts that a worker takes at once; their distinct chunks share one set of lattices.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_500_000
 #: Chunks of texts that are sampled together.
-SAMPLER_CHUNKS = 400_000
+SAMPLER_CHUNKS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -60,14 +62,19 @@ class Vocabulary:
         weights = np.zeros(p.get_piece_size())
         for rank, i in enumerate(sorted(usable, key=lambda i: (-p.get_score(i), i)), 1):
             weights[i] = -np.log(rank)
+        # by length: hashes of all beginnings of pieces, in order, and the piece that each is, or -1
+        ends: dict[int, dict[str, int]] = {}
+        for i, piece in pieces.items():
+            for size in range(1, len(piece) + 1):
+                ends.setdefault(size, {}).setdefault(piece[:size], -1)
+            ends[len(piece)][piece] = i
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in sorted({len(piece) for piece in pieces.values()}):
-            ids = np.array([i for i in usable if len(pieces[i]) == size], np.int64)
-            hashes = np.zeros(len(ids), np.uint64)
-            for column in np.array([[ord(c) for c in pieces[i]] for i in ids], np.uint64).T:
+        for size, known in ends.items():
+            hashes = np.zeros(len(known), np.uint64)
+            for column in np.array([list(map(ord, begun)) for begun in known], np.uint64).T:
                 hashes = _extended(hashes, column)
             order = np.argsort(hashes)
-            self.by_length[size] = hashes[order], ids[order]
+            self.by_length[size] = hashes[order], np.fromiter(known.values(), np.int64, len(known))[order]
         self.weights = weights
         self.bytes = np.array([p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         self.byte_weight = -float(np.log(len(usable) + 1))
@@ -82,18 +89,21 @@ def _extended(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
 class Lattices:
     """Lattices of distinct chunks, laid end to end: a node per place and one for each chunk's end.
 
+    Chunks are given without their first space mark.
+
     Edges are in order of their node: ``target``, ``piece`` (a vocabulary id, or minus one minus the
     character that goes byte by byte), ``log_p`` (given the node) and ``cdf``.
     """
 
     def __init__(self, chunks: list[str], vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        names, chunks = chunks, [SPACE + c for c in chunks]
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
         at = np.arange(len(codes), dtype=np.int32)
         left = np.repeat(np.cumsum(sizes).astype(np.int32), sizes) - at  # characters to the chunk's end
-        self.roots = dict(zip(chunks, (np.cumsum(sizes) - sizes + np.arange(len(chunks))).tolist()))
+        self.roots = dict(zip(names, (np.cumsum(sizes) - sizes + np.arange(len(chunks))).tolist()))
         found_at, found_size, found_piece = [], [], []
         live, hashes = at, np.zeros(len(codes), np.uint64)
         for size in range(1, max(vocabulary.by_length) + 1):
@@ -102,16 +112,20 @@ class Lattices:
             if not len(live):
                 break
             hashes = _extended(hashes, codes[live + size - 1])
-            known, ids = vocabulary.by_length.get(size, (np.zeros(0, np.uint64), None))
-            place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-            hit = known[place] == hashes if len(known) else np.zeros(len(live), bool)
+            known, ids = vocabulary.by_length[size]
+            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            begins = known[place] == hashes
+            piece = np.where(begins, ids[place], -1)
+            hit = piece >= 0
             found_at.append(live[hit])
             found_size.append(size)
-            found_piece.append(ids[place[hit]] if len(known) else np.zeros(0, np.int64))
+            found_piece.append(piece[hit])
             if size == 1:  # a character without a piece goes byte by byte
                 found_at.append(live[~hit])
                 found_size.append(1)
                 found_piece.append(-1 - codes[live[~hit]].astype(np.int64))
+            live, hashes = live[begins], hashes[begins]  # no longer piece begins like the others
+
         # edges in order of their node, shortest first
         degree = np.zeros(len(codes), np.int32)
         for sources in found_at:
@@ -128,30 +142,49 @@ class Lattices:
             put = place[sources]
             self.target[put], self.piece[put], owner[put] = node[sources] + size, pieces, node[sources]
             place[sources] += 1
-        character = np.maximum(-1 - self.piece, 0)
-        n_bytes = 1 + (character > 0x7F) + (character > 0x7FF) + (character > 0xFFFF)
-        weight = np.where(self.piece >= 0, vocabulary.weights[np.maximum(self.piece, 0)], vocabulary.byte_weight * n_bytes)
+        odd = np.flatnonzero(self.piece < 0)
+        character = -1 - self.piece[odd]
+        weight = vocabulary.weights[np.maximum(self.piece, 0)]
+        weight[odd] = vocabulary.byte_weight * (1 + (character > 0x7F) + (character > 0x7FF) + (character > 0xFFFF))
 
         # backward sums, from the chunks' ends on: all nodes at one distance from their end together
-        sums = np.zeros(n_nodes)
-        by_size = np.argsort(-sizes, kind="stable")
-        ends, sizes = (np.cumsum(sizes) + np.arange(len(chunks)))[by_size], sizes[by_size]
+        ends = np.cumsum(sizes) + np.arange(len(chunks))
+        short = sizes <= LINEAR_CHARS
+        p = np.exp(weight)
+        sums = np.ones(n_nodes)
+        self._sum_up(ends[short], sizes[short], p, sums, False)
+        p *= sums[self.target]
+        p /= sums[owner]
+        if not short.all():  # the sums of long chunks leave the range of floats; theirs are logarithms
+            logs = np.zeros(n_nodes)
+            self._sum_up(ends[~short], sizes[~short], weight, logs, True)
+            of_node = np.zeros(n_nodes, bool)
+            of_node[node] = np.repeat(~short, sizes)
+            long = of_node[owner]
+            p[long] = np.exp(weight + logs[self.target] - logs[owner])[long]
+        self.log_p = np.log(p)
+        self.cdf = p
+        degree = self.last - self.first
+        for j in range(1, int(np.max(degree, initial=1))):  # sums within each node only, whatever stands beside it
+            edges = self.first[degree > j] + j
+            self.cdf[edges] += self.cdf[edges - 1]
+        self.cdf[self.last[degree > 0] - 1] = 2.0
+
+    def _sum_up(self, ends: np.ndarray, sizes: np.ndarray, weight: np.ndarray, sums: np.ndarray, logs: bool) -> None:
+        order = np.argsort(-sizes, kind="stable")
+        ends, sizes = ends[order], sizes[order]
         for distance in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
             nodes = ends[: np.searchsorted(-sizes, -distance, side="right")] - distance
             first, degree = self.first[nodes], self.last[nodes] - self.first[nodes]
-            total = weight[first] + sums[self.target[first]]
+            total = weight[first] + sums[self.target[first]] if logs else weight[first] * sums[self.target[first]]
             for j in range(1, int(degree.max())):
                 more = np.flatnonzero(degree > j)
                 edges = first[more] + j
-                total[more] = np.logaddexp(total[more], weight[edges] + sums[self.target[edges]])
+                if logs:
+                    total[more] = np.logaddexp(total[more], weight[edges] + sums[self.target[edges]])
+                else:
+                    total[more] += weight[edges] * sums[self.target[edges]]
             sums[nodes] = total
-        self.log_p = weight + sums[self.target] - sums[owner]
-        self.cdf = np.exp(self.log_p)
-        degree = self.last - self.first
-        for j in range(1, int(np.max(degree, initial=1))):  # sums within each node only, whatever stands beside it
-            edges = self.first[degree > j] + j
-            self.cdf[edges] += self.cdf[edges - 1]
-        self.cdf[self.last[degree > 0] - 1] = 2.0
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, by its probability."""
@@ -373,7 +406,7 @@ def sample_segmentations(texts: list[str], k: int, keys: np.ndarray, vocabulary:
     Each is (piece ids, log probability, probability of being among the k). Fewer come when a lattice
     has fewer paths; then all are certain.
     """
-    split = [_CHUNK.findall(marked(t)) for t in texts]
+    split = [chunks_of(t) for t in texts]
     lattices = Lattices(list(set().union(*split)), vocabulary)
     keys = np.asarray(keys, np.int64).view(np.uint64)
     made: list = []
@@ -384,6 +417,15 @@ def sample_segmentations(texts: list[str], k: int, keys: np.ndarray, vocabulary:
     return made
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text, each without its first space mark."""
+    if not text:
+        return []
+    if SPACE not in text and "" not in (words := text.split(" ")):
+        return words
+    return [chunk[1:] for chunk in _CHUNK.findall(marked(text))]
+
+
 def marked(text: str) -> str:
     """The text as the vocabulary sees it: a space mark in front and for every space."""
     return SPACE + text.replace(" ", SPACE) if text else ""
