@@ -2,13 +2,14 @@
 
 The labels at hand mark documents, so tokens are labelled first: in the toxic documents of the training
 sample, a token is toxic when its word, or a beginning or end of it, is far more frequent in toxic
-documents than chance allows (a likelihood-ratio test); all other tokens are clean. The field has two
+documents than chance allows (a likelihood-ratio test) and in a larger part of them than of the clean
+ones (``LEAST_LIFT`` times); all other tokens are clean. The field has two
 states, hashed features of the word, and transitions, and is fitted to these tokens by its gradient from
 forward-backward. Documents are cut into chains of ``CHAIN`` tokens. A document's score is a logistic
 function of the expected number of toxic tokens and the greatest marginal, fitted on sample documents
 that the field has not seen.
 
-The fit uses a bounded sample (``max_toxic`` and ``max_clean`` documents of at most ``max_chars``
+The fit uses a bounded sample (``max_toxic`` and ``max_clean`` different texts of at most ``max_chars``
 characters, chosen by a hash of the id); class shares are counted over all training labels. Scoring reads
 whole texts, in batches of chains, and needs the weight table only, one megabyte.
 """
@@ -33,6 +34,8 @@ REMEMBERED_WORDS = 200_000
 BATCH_TOKENS = 500_000
 #: 20 is reached by chance about once in 100,000 features.
 LEAST_RATIO = 20.0
+#: A rate in toxic documents over that in clean ones, whatever the sample's mix of the two.
+LEAST_LIFT = 3.0
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -106,10 +109,11 @@ def _seeds(texts: list[np.ndarray], toxic: np.ndarray, matrix: np.ndarray) -> np
     for words, label in zip(texts, toxic.tolist()):
         seen[label, np.unique(matrix[np.unique(words)])] += 1
     total, share = seen.sum(axis=0), toxic.mean()
+    clean_rate, toxic_rate = seen / np.bincount(toxic, minlength=2)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         part = seen[1] / total
         ratio = 2 * (np.nan_to_num(seen[1] * np.log(part / share)) + np.nan_to_num(seen[0] * np.log((1 - part) / (1 - share))))
-        marked = (ratio > LEAST_RATIO) & (part > max(3 * share, 0.5))
+        marked = (ratio > LEAST_RATIO) & (toxic_rate > LEAST_LIFT * clean_rate)
     marked[-1] = False  # the place that fills up short rows
     return marked[matrix].any(axis=1)
 
@@ -257,23 +261,27 @@ def train_tagger(
 ) -> Tagger:
     """Fit on documents with a label of 0 or 1; other labels, null ids and null texts are not used.
 
-    At most ``max_toxic`` and ``max_clean`` documents of at most ``max_chars`` characters come to the
-    driver. Without labels of both kinds every text gets the share of toxic labels as its score.
+    Texts above ``max_chars`` characters are left out and copies count once, with the label of the copy
+    that comes first by a hash of its id; of what is left, at most ``max_toxic`` and ``max_clean`` texts
+    come to the driver. Without labels of both kinds every text gets the share of toxic labels as its score.
     """
     usable = labels.filter(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).alias("_label"))
     counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
-    hashed = usable.withColumn("_hash", F.xxhash64(id)).orderBy("_hash", id)
-    picked = hashed.filter("_label = 1").limit(max_toxic).union(hashed.filter("_label = 0").limit(max_clean))
+    place = F.xxhash64("_id").bitwiseAND(~1)  # the last bit is the label's
+    short = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter(F.length("_text") <= max_chars)
+    short = short.select("_text", place.alias("_place"), "_id", F.sha2("_text", 256).alias("_digest"))
+    labelled = short.drop("_text").join(usable, F.col("_id") == F.col(id))
+    marked = F.col("_place").bitwiseOR(F.col("_label").cast("long"))
+    once = labelled.groupBy("_digest").agg(F.min(marked).alias("_first"))  # copies count once
+    once = once.select("_digest", F.col("_first").bitwiseAND(~1).alias("_place"), F.col("_first").bitwiseAND(1).alias("_label"))
+    first = once.orderBy("_place", "_digest")
+    picked = first.filter("_label = 1").limit(max_toxic).union(first.filter("_label = 0").limit(max_clean))
     rows = (
-        docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-        .filter(F.length("_text") <= max_chars)
-        .join(F.broadcast(picked), F.col("_id") == F.col(id))
-        .select("_hash", "_id", "_text", "_label")
-        .collect()
+        short.drop("_id").join(F.broadcast(picked), ["_digest", "_place"])
+        .dropDuplicates(["_digest"]).select("_place", "_digest", "_text", "_label").collect()
     )
-    once = {r["_text"]: r for r in sorted(rows, key=lambda r: (r["_hash"], r["_id"], r["_text"]))}  # copies count once
-    rows = list(once.values())
+    rows.sort(key=lambda r: (r["_place"], r["_digest"]))
     return fit([r["_text"] for r in rows], [r["_label"] for r in rows], share)
 
 

@@ -79,3 +79,38 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.9
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
     assert QUERIES["op7_toxicity"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def labelled_texts(n, toxic_each):
+    """``n`` different texts; every ``toxic_each``-th is toxic and says "vile", as one in twenty clean ones does."""
+    rng = np.random.default_rng(4)
+    out = []
+    for i in range(n):
+        toxic = int(i % toxic_each == 0)
+        words = [f"w{j}" for j in rng.integers(0, 300, 30)]
+        if toxic or i % 20 == 1:
+            words[5] = "vile"
+        out.append((i, " ".join(words), toxic))
+    return out
+
+
+@pytest.mark.parametrize("toxic_each", [2, 3, 9])
+def test_seeds_do_not_depend_on_the_mix_of_labels(toxic_each):
+    rows = labelled_texts(360, toxic_each)
+    tagger = fit([t for _, t, _ in rows], [label for *_, label in rows], 0.12)
+    marginals, _ = measure(tagger, [Emissions(tagger)(words_of("w1 w2 vile w3"))])
+    assert marginals[2] > 0.5 > marginals[[0, 1, 3]].max()
+
+
+def test_sample_is_filled_with_different_short_texts(spark, monkeypatch):
+    rows = labelled_texts(300, 4)
+    rows += [(1000 + i, "one clean text", 0) for i in range(400)] + [(2000 + i, f"vile {i} " + "x" * 400, 1) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr("feedloom.llm.toxicity.fit", lambda texts, labels, share: seen.update(texts=texts, labels=labels, share=share))
+    train_tagger(docs, labels, max_toxic=60, max_clean=120, max_chars=300)
+    assert sum(seen["labels"]) == 60 and len(seen["labels"]) == 180 == len(set(seen["texts"]))
+    assert max(map(len, seen["texts"])) <= 300 and seen["share"] == pytest.approx(375 / 1000)
+    truth = {t: label for _, t, label in rows}
+    assert [truth[t] for t in seen["texts"]] == seen["labels"]
