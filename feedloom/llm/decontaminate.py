@@ -5,8 +5,9 @@ uses; other words cannot be part of a match. Each task writes the postings of it
 index is built without a shuffle. Its term counts then order the words of every benchmark window, and
 matching starts from the rarest: the lists of a window's few rarest terms, moved back by their offsets
 in the window, are intersected per document. Lists that meet at one start are candidates for the exact
-phrase, which the postings of all its other words then confirm; lists that meet within ``slop`` words are
-proximity matches. Common words are looked up only in documents that have a candidate.
+phrase, which the postings of all its other words then confirm. Lists that meet within ``slop`` words are
+candidates for proximity, which the places of all its other words decide too. Common words are looked up
+only in documents that have a candidate.
 
 Everything after the index is grouped by document and window, so a passage that a third of all documents
 share is spread like the documents are.
@@ -96,11 +97,32 @@ def _rarest(index: DataFrame, benchmark: Benchmark, lists: int) -> DataFrame:
     )
 
 
+def _near(met: DataFrame, terms: DataFrame, words: DataFrame, sizes: DataFrame, slop: int) -> DataFrame:
+    """Proximity matches (_row, window, spread) among the candidates ``met``, decided on every word of the window.
+
+    The first of a match's rarest terms gives a start; all its words lie at most ``slop`` before or behind that.
+    """
+    shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("shift")
+    due = met.select("_row", "window", "start").join(words, "window")
+    due = due.select("_row", "window", "start", "offset", "term", shifts)
+    due = due.withColumn("at", F.col("start") + F.col("offset") + F.col("shift")).filter("at >= 0")
+    held = due.join(terms, ["_row", "at", "term"]).select("_row", "window", "start", "offset", "shift")
+    # a first place for all words, and behind it the nearest place of each
+    first = F.explode(F.sequence(F.greatest(F.lit(-slop), F.col("shift") - slop), F.least(F.lit(0), F.col("shift")))).alias("first")
+    behind = held.select("*", first).groupBy("_row", "window", "start", "first", "offset").agg(
+        F.min(F.col("shift") - F.col("first")).alias("behind")
+    )
+    whole = behind.groupBy("_row", "window", "start", "first").agg(F.count("*").alias("_held"), F.max("behind").alias("spread"))
+    whole = whole.join(sizes, "window").filter(F.col("_held") == F.col("size"))
+    return whole.groupBy("_row", "window").agg(F.min("spread").alias("spread"))
+
+
 def window_matches(index: DataFrame, benchmark: Benchmark, lists: int = 2, slop: int = 3) -> tuple[DataFrame, DataFrame]:
     """Exact matches (_row, window, start) and proximity matches (_row, window, spread).
 
-    A proximity match is a window whose rarest terms all stand within ``slop`` words of the places that
-    one start gives them; ``spread`` is the least such distance, 0 for every exact match.
+    A proximity match is a window whose words, all of them, stand at most ``slop`` words behind the places
+    that one start gives them; ``spread`` is the least such distance, 0 for every exact match. ``lists``
+    changes the number of candidates, never the matches.
     """
     rarest = _rarest(index, benchmark, lists)
     small = benchmark.n_words <= BROADCAST_WORDS
@@ -115,19 +137,19 @@ def window_matches(index: DataFrame, benchmark: Benchmark, lists: int = 2, slop:
     furthest = F.greatest(F.col("start"), *(F.col(f"_n{r}") for r in range(1, lists + 1)))
     met = met.filter(whole).select("_row", "window", "start", (furthest - F.col("start")).alias("spread"))
     met = materialize(met.filter(F.col("spread") <= slop).distinct(), "candidates")
-    near = met.groupBy("_row", "window").agg(F.min("spread").alias("spread"))
+    sizes = benchmark.windows.select("window", "size")
+    sizes = F.broadcast(sizes) if small else sizes
+    words = F.broadcast(benchmark.words) if small else benchmark.words
+    near = _near(met, terms, words, sizes, slop)
 
     candidates = met.filter("spread = 0 AND start >= 0").select("_row", "window", "start")
     rows = candidates.select("_row").distinct()
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_DOCUMENTS else rows
     within = terms.join(rows, "_row", "left_semi")
-    words = F.broadcast(benchmark.words) if small else benchmark.words
     due = candidates.join(words, "window").select(
         "_row", "window", "start", "term", (F.col("start") + F.col("offset")).alias("at")
     )
     held = due.join(within, ["_row", "at", "term"]).groupBy("_row", "window", "start").agg(F.count("*").alias("_held"))
-    sizes = benchmark.windows.select("window", "size")
-    sizes = F.broadcast(sizes) if small else sizes
     exact = held.join(sizes, "window").filter(F.col("_held") == F.col("size")).select("_row", "window", "start", "size")
     return exact, near
 

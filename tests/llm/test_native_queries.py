@@ -135,6 +135,30 @@ def test_proximity_matches(spark):
     assert found == {1: (True, 1), 2: (False, 1), 3: (False, 0)}
 
 
+def test_proximity_takes_every_word_of_a_window(spark):
+    window = "alpha beta gamma delta eps zeta eta theta iota kappa"
+    items = spark.createDataFrame([(1, window), (2, "to be or not to be")], "item_id long, text string")
+    texts = [
+        window, window.replace("gamma", "gamma x y"), "alpha beta c d e f g h i j", window.replace("gamma", "x"),
+        window.replace("kappa", "x x x x kappa"), "beta alpha gamma delta eps zeta eta theta iota kappa",
+        "to be or x not to be", "to be or not", "kappa " * 30 + window.replace("zeta", "q zeta"), None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def plain(text):
+        words = (text or "").split()
+        near = 0
+        for item in (window.split(), "to be or not to be".split()):
+            places = [[at - o for at, w in enumerate(words) if w == term] for o, term in enumerate(item)]
+            near += any(all(any(s <= p <= s + 3 for p in ps) for ps in places) for s in range(-20, len(words)))
+        return near
+
+    expected = {i: plain(t) for i, t in enumerate(texts)}
+    assert expected == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 0, 8: 1, 9: 0}
+    for options in ({}, {"lists": 1}, {"lists": 4}):
+        assert {r["doc_id"]: r["n_near"] for r in decontaminate(docs, items, **options).collect()} == expected
+
+
 # ---- quality
 
 
