@@ -9,7 +9,8 @@ blocks, not a larger broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -62,14 +63,14 @@ def _best(query: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> p
     return pd.DataFrame({"q": query[keep], "id": ids[keep], "distance": distance[keep]})
 
 
-def _scan(corpus: DataFrame, block, k: int, probes=None, planes=None) -> DataFrame:
+def _scan(corpus: DataFrame, block, k: int, probes=None, cell_of=None) -> DataFrame:
     """Per task the k best corpus rows of each query in the block."""
     ids, vectors = block
     dim = vectors.shape[1]
-    shipped = corpus.sparkSession.sparkContext.broadcast((ids, _unit(vectors), probes, planes))
+    shipped = corpus.sparkSession.sparkContext.broadcast((ids, _unit(vectors), probes, cell_of))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, unit, cells, normals = shipped.value
+        query_ids, unit, cells, place = shipped.value
         best = pd.DataFrame({"q": np.array([], int), "id": np.array([], np.int64), "distance": []})
         for batch in batches:
             sized = batch[[v is not None and len(v) == dim for v in batch["vector"]]]
@@ -77,7 +78,7 @@ def _scan(corpus: DataFrame, block, k: int, probes=None, planes=None) -> DataFra
                 continue
             rows = np.stack(sized["vector"].to_numpy()).astype(np.float64)
             row_ids = sized["id"].to_numpy()
-            own = None if normals is None else _cell_of(rows, normals)
+            own = None if place is None else place(rows)
             # Slices keep the score matrix small whatever the block and batch sizes.
             step = max(1, 4_000_000 // len(unit))
             for start in range(0, len(rows), step):
@@ -147,6 +148,41 @@ def _cell_of(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return ((rows @ planes) > 0) @ (1 << np.arange(planes.shape[1]))
 
 
+#: Rows of the sample that cells are fitted to.
+FITTED_ROWS = 8192
+
+
+def fit_centres(corpus: DataFrame, dim: int, cells: int = 64, rounds: int = 10) -> np.ndarray:
+    """Unit centres of cells, by spherical k-means over the first ``FITTED_ROWS`` rows by a hash of the id.
+
+    At most one centre per sampled row. The sample decides where cells lie, never which rows are found.
+    """
+    rows = corpus.select(F.col(corpus.columns[0]).alias("id"), F.col(corpus.columns[1]).alias("vector"))
+    sample = rows.where(F.size("vector") == dim).orderBy(F.xxhash64("id"), "id").limit(FITTED_ROWS).select("vector").collect()
+    if not sample:
+        return np.zeros((1, dim))
+    unit = _unit(np.array([r["vector"] for r in sample], dtype=np.float64))
+    centres = unit[:cells]
+    for _ in range(rounds):
+        own = _centre_of(unit, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, unit)
+        used = np.bincount(own, minlength=len(centres)) > 0
+        centres = np.where(used[:, None], _unit(sums), centres)
+    return centres
+
+
+def _centre_of(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cell whose centre has the least angle to each row."""
+    return (rows @ centres.T).argmax(axis=1)
+
+
+def _cells(dim: int, bits: int, seed: int, centres: np.ndarray | None) -> Callable[[np.ndarray], np.ndarray]:
+    if centres is not None:
+        return partial(_centre_of, centres=centres)
+    return partial(_cell_of, planes=_planes(dim, bits, seed))
+
+
 #: Planes nearest to a query whose crossings are tried in all combinations.
 PROBED_PLANES = 8
 
@@ -166,21 +202,25 @@ def _probes(vectors: np.ndarray, planes: np.ndarray, count: int) -> np.ndarray:
     return _cell_of(vectors, planes)[:, None] ^ flips
 
 
-def write_index(corpus: DataFrame, path: str, dim: int, bits: int = 8, seed: int = 42) -> None:
+def write_index(
+    corpus: DataFrame, path: str, dim: int, bits: int = 8, seed: int = 42, centres: np.ndarray | None = None
+) -> None:
     """Write (id, vector) partitioned by cell, so a search reads only probed cells.
 
+    Cells lie between random planes, or around ``centres`` where given (:func:`fit_centres`).
+
     A hot cell is spread over several files: rows are distributed by cell and a
     salt from the id, never by cell alone.
     """
     rows = corpus.select(F.col(corpus.columns[0]).alias("id"), F.col(corpus.columns[1]).alias("vector"))
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = _planes(dim, bits, seed)
+        cell_of = _cells(dim, bits, seed, centres)
         for batch in batches:
             sized = batch[[v is not None and len(v) == dim for v in batch["vector"]]].copy()
             if len(sized):
                 matrix = np.stack(sized["vector"].to_numpy()).astype(np.float64)
-                sized["cell"] = _cell_of(matrix, planes).astype("int32")
+                sized["cell"] = cell_of(matrix).astype("int32")
                 yield sized
 
     labelled = rows.mapInPandas(label, "id bigint, vector array<double>, cell int")
@@ -189,13 +229,14 @@ def write_index(corpus: DataFrame, path: str, dim: int, bits: int = 8, seed: int
 
 
 def nearest_in_index(
-    index: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, seed: int = 42, probes: int = 4
+    index: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, seed: int = 42, probes: int = 4,
+    centres: np.ndarray | None = None,
 ) -> DataFrame:
     """Approximate k nearest rows from an index written by :func:`write_index`.
 
     Only partitions of probed cells are read; their rows are ranked by exact
     distance. More probes raise recall, up to all cells with
-    ``probes = 2 ** bits`` and at most eight bits. A query whose cells hold fewer than ``k`` rows is searched
+    ``probes = 2 ** bits`` and at most eight bits. An index around ``centres`` needs the same here. A query whose cells hold fewer than ``k`` rows is searched
     in the whole index, so ``k`` rows come whenever the index has them.
     """
     queries = queries.select(
@@ -203,11 +244,14 @@ def nearest_in_index(
     )
 
     def scan(block) -> DataFrame:
-        planes = _planes(block[1].shape[1], bits, seed)
-        cells = _probes(block[1], planes, probes)
+        cell_of = _cells(block[1].shape[1], bits, seed, centres)
+        if centres is None:
+            cells = _probes(block[1], cell_of.keywords["planes"], probes)
+        else:
+            cells = np.argsort(-(block[1] @ centres.T), axis=1, kind="stable")[:, :probes]
         wanted = [int(c) for c in np.unique(cells)]
         rows = index.where(F.col("cell").isin(wanted)).select("id", "vector")
-        return _scan(rows, block, k, cells, planes)
+        return _scan(rows, block, k, cells, cell_of)
 
     found = session.materialize(_over_blocks(queries, scan, k), "probed")
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")

@@ -147,6 +147,22 @@ def test_index_with_all_probes_is_exact(spark, cloud, tmp_path):
     assert "PartitionFilters: [cell" in plan
 
 
+@pytest.mark.parametrize("rows", [500, 3000])
+def test_fitted_cells_reach_nine_tenths_on_random_vectors(spark, tmp_path, rows):
+    rng = np.random.default_rng(9)
+    made = rng.normal(size=(rows, 64))
+    corpus = vectors_frame(spark, [(i, v.tolist()) for i, v in enumerate(made)] + [(rows, [1.0])], "id")
+    queries = vectors_frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 64)))], "query_id")
+    centres, path = search.fit_centres(corpus, 64, cells=64), str(tmp_path / "index")
+    assert centres.shape == (64, 64) and search.fit_centres(corpus.limit(0), 64).shape == (1, 64)
+    search.write_index(corpus, path, 64, centres=centres)
+    index = spark.read.parquet(path)
+    assert index.count() == rows
+    found = search.nearest_in_index(index, queries, 10, probes=40, centres=centres)
+    rates = [r["recall"] for r in search.recall(found, search.nearest(corpus, queries, 10)).collect()]
+    assert len(rates) == 20 and sum(rates) / 20 >= 0.9
+
+
 def test_encoder_puts_like_texts_together(spark):
     docs = spark.createDataFrame(
         [(1, "login failed for user"), (2, "invoice total is wrong"), (3, "user login failed again"), (4, None)],
