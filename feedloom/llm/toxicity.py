@@ -270,18 +270,19 @@ def train_tagger(
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     place = F.xxhash64("_id").bitwiseAND(~1)  # the last bit is the label's
     short = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter(F.length("_text") <= max_chars)
-    short = short.select("_text", place.alias("_place"), "_id", F.sha2("_text", 256).alias("_digest"))
+    digests = [F.xxhash64("_text").alias("_d1"), F.xxhash64(F.lit(1), "_text").alias("_d2")]  # 128 bits, without copying texts
+    short = short.select("_text", place.alias("_place"), "_id", *digests)
     labelled = short.drop("_text").join(usable, F.col("_id") == F.col(id))
     marked = F.col("_place").bitwiseOR(F.col("_label").cast("long"))
-    once = labelled.groupBy("_digest").agg(F.min(marked).alias("_first"))  # copies count once
-    once = once.select("_digest", F.col("_first").bitwiseAND(~1).alias("_place"), F.col("_first").bitwiseAND(1).alias("_label"))
-    first = once.orderBy("_place", "_digest")
+    once = labelled.groupBy("_d1", "_d2").agg(F.min(marked).alias("_first"))  # copies count once
+    once = once.select("_d1", "_d2", F.col("_first").bitwiseAND(~1).alias("_place"), F.col("_first").bitwiseAND(1).alias("_label"))
+    first = once.orderBy("_place", "_d1", "_d2")
     picked = first.filter("_label = 1").limit(max_toxic).union(first.filter("_label = 0").limit(max_clean))
     rows = (
-        short.drop("_id").join(F.broadcast(picked), ["_digest", "_place"])
-        .dropDuplicates(["_digest"]).select("_place", "_digest", "_text", "_label").collect()
+        short.drop("_id").join(F.broadcast(picked), ["_d1", "_d2", "_place"])
+        .dropDuplicates(["_d1", "_d2"]).select("_place", "_d1", "_d2", "_text", "_label").collect()
     )
-    rows.sort(key=lambda r: (r["_place"], r["_digest"]))
+    rows.sort(key=lambda r: (r["_place"], r["_d1"], r["_d2"]))
     return fit([r["_text"] for r in rows], [r["_label"] for r in rows], share)
 
 
