@@ -17,6 +17,7 @@ from feedloom.llm.url_filter import judge_urls
 from feedloom.llm.simhash import near_duplicates
 from feedloom.llm.token_counts import token_counts
 from feedloom.llm.toxicity import score_toxicity, train_tagger
+from feedloom.llm.whitening import whiten
 from feedloom.session import literal_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,3 +317,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("samples", lambda s: s["log_prob"]).alias("log_probs"),
         F.transform("samples", lambda s: s["inclusion"]).alias("inclusions"),
     )
+
+
+# ---- 12: embedding whitening
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding projected on the first 32 components of all of them, to unit variance."""
+    return whiten(read(spark, sf_dir, "embeddings"))
