@@ -151,6 +151,7 @@ def refined_eigenvectors(a: np.ndarray, x: np.ndarray | None = None, steps: int
     for step in range(1, steps + 1):
         r = unit - x.T @ x
         s = x.T @ a @ x
+        s = (s + s.T) / 2  # else rounding, over a small gap, is no turn
         values = np.diag(s) / (1 - np.diag(r))
         order = np.argsort(-values, kind="stable")
         x, values, r, s = x[:, order], values[order], r[np.ix_(order, order)], s[np.ix_(order, order)]
