@@ -12,6 +12,7 @@ from feedloom.llm.license_scan import Template, scan_licenses
 from feedloom.llm.line_dedup import dedup_lines
 from feedloom.llm.ngram_model import held_out, score_texts, train
 from feedloom.llm.pieces import decode_ids, encode_pieces
+from feedloom.llm.quality_classifier import score_quality, train_classifier
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
 from feedloom.llm.simhash import near_duplicates
@@ -326,3 +327,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding projected on the first 32 components of all of them, to unit variance."""
     return whiten(read(spark, sf_dir, "embeddings"))
+
+
+# ---- 13: quality classifier
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of the labels is held out of training."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels")
+    model = train_classifier(docs, labels.filter(~held_out(F.col("doc_id"), 5)))
+    scored = score_quality(docs, model, name="score")
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
