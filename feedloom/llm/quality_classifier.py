@@ -7,8 +7,9 @@ hashed to one of ``2 ** BITS`` places; a text is the square roots of its counts,
 
 Training keeps, per place, the sums that the method needs (z and n), from which a weight follows; places
 without enough evidence keep the weight zero. The training texts are dealt to shards by a hash of their
-content; in each round every shard goes through its texts in turn, starting from the shared sums, and Spark
-averages the sums of a place over the shards that met it. Tasks stream, and hold two vectors of fixed size.
+content, and each shard's features are written once, as one file in the shared folder. In each round every
+shard goes through its file, starting from the shared sums, and Spark averages the sums of a place over the
+shards that met it. Tasks stream, and hold two vectors of fixed size.
 Scoring is a sparse dot product with the weights, over whole texts.
 """
 
@@ -17,16 +18,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from feedloom.llm.hash_arrays import mix
-from feedloom.session import materialize
+from feedloom.llm.hash_arrays import mix, new_file, read_range
+from feedloom.session import scratch_path
 
 BITS = 18
 PLACES = 1 << BITS  # one more place, after these, is the constant's
@@ -175,7 +178,7 @@ def train_classifier(
     id: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    max_texts: int = 40_000,
+    max_texts: int = 20_000,
     settings: Settings = Settings(),
 ) -> Classifier:
     """Fit on documents with a label of 0 or 1; other labels and null ids are not used.
@@ -191,58 +194,80 @@ def train_classifier(
         return flat
     shards = -(-min(n, max_texts) // SHARD_TEXTS)
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
-        for batch in batches:
-            at = 0
-            for ends, place, value in features.batches(batch.column("text").to_pylist()):
-                own = batch.slice(at, len(ends))
-                at += len(ends)
-                starts = np.append(0, ends[:-1])
-                cuts = [(a, b) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        own.column("place"), own.column("label"), pa.array([place[a:b].astype("<i4").tobytes() for a, b in cuts], pa.binary()),
-                        pa.array([value[a:b].astype("<f4").tobytes() for a, b in cuts], pa.binary()),
-                    ],
-                    names=["place", "label", "places", "values"],
-                )
-
-    made = texts.mapInArrow(featurise, "place long, label double, places binary, values binary")
-    made = materialize(made.withColumn("shard", F.pmod("place", F.lit(shards))), "quality-texts")
-    # the same order of the same texts in every round, and when a task runs again
-    dealt = made.repartition(shards, "shard").sortWithinPartitions("shard", "place", "label")
+    # the same texts in the same order, also when a task runs again
+    dealt = texts.withColumn("shard", F.pmod("place", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "place", "label")
+    folder = scratch_path(docs.sparkSession, "quality-texts")
+    files = _write_features(dealt.select("shard", "text", "label"), folder)
     offset = _logit(share)
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
     for _ in range(settings.rounds):
-        z, n = _round(dealt, z, n, offset, settings)
+        z, n = _round(docs.sparkSession, folder, files, z, n, offset, settings)
     return Classifier(share, weights_of(z, n, settings))
 
 
-def _round(dealt: DataFrame, z0: np.ndarray, n0: np.ndarray, offset: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+_RECORD = np.dtype([("label", "<f8"), ("size", "<i8")])
+_FEATURE = np.dtype([("place", "<i4"), ("value", "<f4")])
+READ_BYTES = 8 << 20
+
+
+def _write_features(dealt: DataFrame, folder: str) -> list[tuple[str, int]]:
+    """One file per shard: for every text a record and its features. Returns names and sizes, a row per shard."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        rows = ((shard, text, label) for b in batches for shard, text, label in zip(*(b.column(i).to_pylist() for i in range(3))))
+        for shard, own in groupby(rows, key=itemgetter(0)):
+            name, size = f"shard-{shard:05d}", 0
+            with new_file(folder, name) as out:
+                while part := list(islice(own, 256)):
+                    labels = iter([label for _, _, label in part])
+                    for ends, place, value in features.batches([text for _, text, _ in part]):
+                        both = np.empty(len(place), _FEATURE)
+                        both["place"], both["value"] = place, value
+                        for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                            data = np.array([(next(labels), b - a)], _RECORD).tobytes() + both[a:b].tobytes()
+                            out.write(data)
+                            size += len(data)
+            yield pa.RecordBatch.from_pydict({"name": [name], "size": [size]})
+
+    return sorted((r["name"], r["size"]) for r in dealt.mapInArrow(write, "name string, size long").collect())
+
+
+def _read_features(path: str, size: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """Labels, places and values of a shard's texts, a few megabytes at a time."""
+    data, at, done = b"", 0, 0
+
+    def more(wanted: int) -> None:
+        nonlocal data, at, done
+        while len(data) - at < wanted:
+            new = read_range(path, done, READ_BYTES)
+            data, at, done = data[at:] + new, 0, done + len(new)
+
+    while done - (len(data) - at) < size:
+        more(_RECORD.itemsize)
+        label, n = np.frombuffer(data, _RECORD, 1, at)[0]
+        at += _RECORD.itemsize
+        more(n * _FEATURE.itemsize)
+        found = np.frombuffer(data, _FEATURE, n, at)
+        at += n * _FEATURE.itemsize
+        yield float(label), found["place"], found["value"]
+
+
+def _round(
+    spark: SparkSession, folder: str, files: list[tuple[str, int]], z0: np.ndarray, n0: np.ndarray, offset: float, s: Settings
+) -> tuple[np.ndarray, np.ndarray]:
     """Every shard goes once through its texts; sums are averaged over the shards that met a place."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, z, n = None, z0, n0
-
-        def result() -> pa.RecordBatch:
+        for i in (i for batch in batches for i in batch.column(0).to_pylist()):
+            z, n = z0.copy(), n0.copy()
+            for label, place, value in _read_features(f"{folder}/{files[i][0]}", files[i][1]):
+                follow(z, n, np.append(place, PLACES), np.append(value, 1.0), label, offset, s)
             met = np.flatnonzero(n != n0)
             whole = [np.rint(v[met] * UNIT).astype(np.int64) for v in (z, n)]
-            return pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(whole[0]), pa.array(whole[1])], names=["place", "z", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(whole[0]), pa.array(whole[1])], names=["place", "z", "n"])
 
-        for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("shard", "label", "places", "values")]
-            for own, label, places, values in zip(*columns):
-                if own != shard:
-                    if shard is not None:
-                        yield result()
-                    shard, z, n = own, z0.copy(), n0.copy()
-                place = np.append(np.frombuffer(places, "<i4"), PLACES)
-                follow(z, n, place, np.append(np.frombuffer(values, "<f4"), 1.0), label, offset, s)
-        if shard is not None:
-            yield result()
-
-    sums = dealt.select("shard", "label", "places", "values").mapInArrow(train, "place int, z long, n long")
+    sums = spark.range(0, len(files), 1, len(files)).mapInArrow(train, "place int, z long, n long")
     # at most one row per place comes back
     found = sums.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("k")).toArrow()
     place, k = found["place"].to_numpy(), found["k"].to_numpy()
