@@ -38,7 +38,8 @@ FAN = 16
 #: Different pairs that a task holds before it hands them on.
 HELD_PAIRS = 1_500_000
 #: Tokens that a worker aligns at once, and characters that it encodes at once; longer texts go alone.
-BATCH_TOKENS, BATCH_CHARS = 400_000, 2_000_000
+BATCH_TOKENS, BATCH_CHARS = 400_000, 1_000_000
+BATCH_ROWS = 500
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -103,8 +104,13 @@ def tokenizers(byte_model: str, piece_model: str) -> tuple[ByteTokens, PieceToke
     return ByteTokens(byte_model), PieceTokens(piece_model)
 
 
+def id_kind(byte_model: str, piece_model: str) -> str:
+    """Two bytes an id where both vocabularies fit, else four."""
+    return "<u2" if all(len(kind.bytes) <= 1 << 16 for kind in tokenizers(byte_model, piece_model)) else "<u4"
+
+
 def encode_both(docs: DataFrame, id: str, text: str, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> DataFrame:
-    """id, a, b: both encodings of the text with a space before it, as arrays of 32-bit ids in binary.
+    """id, a, b: both encodings of the text with a space before it, as arrays of ``id_kind`` in binary.
 
     Both are empty for null and empty texts and where the bytes of either are not those of the text.
     """
@@ -112,14 +118,15 @@ def encode_both(docs: DataFrame, id: str, text: str, byte_model: str = BYTE_MODE
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = tokenizers(byte_model, piece_model)
-        for batch in batches:
+        kind = id_kind(byte_model, piece_model)
+        for batch in _slices(batches):
             found = [(b"", b"")] * batch.num_rows
             for places, texts in _runs(batch.column(1).to_pylist()):
                 spaced = [" " + t for t in texts]
                 for at, t, a, b in zip(places, spaced, first.encode(spaced), second.encode(texts)):
                     whole = t.encode()
-                    if all(b"".join(map(kind.bytes.__getitem__, ids)) == whole for kind, ids in ((first, a), (second, b))):
-                        found[at] = np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+                    if all(b"".join(map(own.bytes.__getitem__, ids)) == whole for own, ids in ((first, a), (second, b))):
+                        found[at] = np.array(a, kind).tobytes(), np.array(b, kind).tobytes()
             columns = [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
@@ -147,40 +154,52 @@ def _runs(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
 class Links(NamedTuple):
     a: np.ndarray  #: all A ids of the texts, laid end to end
     b: np.ndarray
-    a_ends: np.ndarray  #: the byte offset where each ends
-    b_ends: np.ndarray
-    ends: np.ndarray  #: offsets where links end
     keys: np.ndarray  #: the id pair of each link
-    sizes: np.ndarray  #: bytes of the texts
+    a_done: np.ndarray  #: whether an A token ends with the link
+    b_done: np.ndarray
+    cuts: np.ndarray  #: links before each text, and at last all
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray, b_lengths: np.ndarray) -> Links:
     """Links of texts whose two encodings cover the same bytes."""
     a_all, b_all = np.concatenate(a), np.concatenate(b)
     a_ends, b_ends = np.cumsum(a_lengths[a_all]), np.cumsum(b_lengths[b_all])
-    ends = np.union1d(a_ends, b_ends)
-    left, right = a_all[np.searchsorted(a_ends, ends)], b_all[np.searchsorted(b_ends, ends)]
+    marks = np.zeros(a_ends[-1] + 1, np.uint8)
+    marks[a_ends] = 1
+    marks[b_ends] += 2
+    ends = np.flatnonzero(marks)
+    a_done, b_done = (marks[ends] & 1).astype(np.int64), (marks[ends] >> 1).astype(np.int64)
+    left, right = a_all[np.cumsum(a_done) - a_done], b_all[np.cumsum(b_done) - b_done]
     keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    sizes = np.array([a_lengths[ids].sum() for ids in a], np.int64)
-    return Links(a_all, b_all, a_ends, b_ends, ends, keys, sizes)
+    text_ends = a_ends[np.cumsum(list(map(len, a))) - 1]
+    return Links(a_all, b_all, keys, a_done > 0, b_done > 0, np.append(0, np.searchsorted(ends, text_ends, "right")))
 
 
-def _groups(links: Links, a_sizes: np.ndarray, b_sizes: np.ndarray, a_names: np.ndarray, b_names: np.ndarray) -> tuple[np.ndarray, list[str]]:
+def groups_of(links: Links, a_names: np.ndarray, b_names: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """Number of groups of every text, and the groups written out."""
-    common = np.intersect1d(links.a_ends, links.b_ends, assume_unique=True)
-    a_group, b_group = np.searchsorted(common, links.a_ends), np.searchsorted(common, links.b_ends)
-    a_last, b_last = common[a_group] == links.a_ends, common[b_group] == links.b_ends
+    last = links.a_done & links.b_done
+    group = np.cumsum(last) - last
+    before = [np.append(0, np.cumsum(done)[last]) for done in (links.a_done, links.b_done)]  # tokens before each group
+    a_group, b_group = group[links.a_done], group[links.b_done]
     parts = np.empty(len(links.a) + len(links.b), object)
     # a group's A tokens follow the B tokens of the groups before it, its B tokens follow its own A tokens
-    parts[np.arange(len(links.a)) + np.searchsorted(b_group, a_group)] = a_names[links.a.astype(np.int64) * 2 + a_last]
-    parts[np.arange(len(links.b)) + np.searchsorted(a_group, b_group, "right")] = b_names[links.b.astype(np.int64) * 2 + b_last]
-    cuts = np.append(0, np.cumsum(a_sizes + b_sizes)).tolist()
-    listed = parts.tolist()
-    texts = ["".join(listed[p:q])[:-1] for p, q in zip(cuts, cuts[1:])]
-    return np.diff(np.append(0, np.searchsorted(common, np.cumsum(links.sizes), "right"))), texts
+    a_last = np.arange(1, len(links.a) + 1) == before[0][a_group + 1]
+    b_last = np.arange(1, len(links.b) + 1) == before[1][b_group + 1]
+    parts[np.arange(len(links.a)) + before[1][a_group]] = a_names[links.a.astype(np.int64) * 2 + a_last]
+    parts[np.arange(len(links.b)) + before[0][b_group + 1]] = b_names[links.b.astype(np.int64) * 2 + b_last]
+    groups = np.append(0, np.cumsum(last))[links.cuts]
+    cuts, listed = (before[0] + before[1])[groups].tolist(), parts.tolist()
+    return np.diff(groups), ["".join(listed[p:q])[:-1] for p, q in zip(cuts, cuts[1:])]
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
+def _batches(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
     """Places and encodings of the texts that have tokens, a bounded number of tokens at a time."""
     places, a, b, size = [], [], [], 0
     for at, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"))):
@@ -188,8 +207,8 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray
         if not x.size:
             continue
         places.append(at)
-        a.append(np.frombuffer(x, "<u4"))
-        b.append(np.frombuffer(y, "<u4"))
+        a.append(np.frombuffer(x, kind))
+        b.append(np.frombuffer(y, kind))
         size += len(a[-1]) + len(b[-1])
         if size >= BATCH_TOKENS:
             yield places, a, b
@@ -235,7 +254,7 @@ def _task_pairs(encoded: DataFrame, byte_model: str, piece_model: str) -> DataFr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = tokenizers(byte_model, piece_model)
-        a_lengths, b_lengths = _lengths(first), _lengths(second)
+        a_lengths, b_lengths, kind = _lengths(first), _lengths(second), id_kind(byte_model, piece_model)
         keys, counts, held = [], [], 0
 
         def result() -> pa.RecordBatch:
@@ -244,7 +263,7 @@ def _task_pairs(encoded: DataFrame, byte_model: str, piece_model: str) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], names=["shard", "keys", "counts"])
 
         for batch in batches:
-            for _, a, b in _batches(batch):
+            for _, a, b in _batches(batch, kind):
                 own, times = np.unique(align(a, b, a_lengths, b_lengths).keys, return_counts=True)
                 keys.append(own)
                 counts.append(times)
@@ -371,22 +390,20 @@ def align_documents(encoded: DataFrame, counts: PairCounts, id: str = "doc_id",
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = tokenizers(byte_model, piece_model)
-        a_lengths, b_lengths = _lengths(first), _lengths(second)
+        a_lengths, b_lengths, kind = _lengths(first), _lengths(second), id_kind(byte_model, piece_model)
         a_names = np.array([f"{i}{end}" for i in range(len(a_lengths)) for end in ",|"], object)
         b_names = np.array([f"{i}{end}" for i in range(len(b_lengths)) for end in ",;"], object)
         counted = _Lookup(folder)
-        for batch in batches:
+        for batch in _slices(batches):
             numbers, groups = np.zeros((len(names), batch.num_rows), np.int64), [""] * batch.num_rows
-            for places, a, b in _batches(batch):
+            for places, a, b in _batches(batch, kind):
                 links = align(a, b, a_lengths, b_lengths)
                 pairs, at = np.unique(links.keys, return_inverse=True)
                 found = counted(pairs)
                 highest = found == best[(pairs & LOW).astype(np.int64)]
-                cuts = np.append(0, np.searchsorted(links.ends, np.cumsum(links.sizes), "right"))
-                a_sizes, b_sizes = (np.array(list(map(len, ids)), np.int64) for ids in (a, b))
-                n_groups, texts = _groups(links, a_sizes, b_sizes, a_names, b_names)
-                sums = [np.diff(np.append(0, np.cumsum(v[at]))[cuts]) for v in (highest, found)]
-                numbers[:, places] = a_sizes, b_sizes, n_groups, np.diff(cuts), *sums
+                n_groups, texts = groups_of(links, a_names, b_names)
+                sums = [np.diff(np.append(0, np.cumsum(v[at]))[links.cuts]) for v in (highest, found)]
+                numbers[:, places] = list(map(len, a)), list(map(len, b)), n_groups, np.diff(links.cuts), *sums
                 for place, text in zip(places, texts):
                     groups[place] = text
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, numbers), pa.array(groups)], names=schema.names)
