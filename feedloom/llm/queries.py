@@ -230,19 +230,35 @@ WITH d AS (
 ), it AS (
   SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id ) AS ids
   FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM occ) GROUP BY r
+), v AS (
+  SELECT win, n, row_number() OVER () AS w FROM (SELECT DISTINCT win, n FROM bw)
+), vo AS (
+  SELECT w, n, unnest(win) AS word, unnest(range(0, n)) AS o FROM v
+), p AS (
+  SELECT r, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM d
+), rare AS (
+  SELECT w, arg_min(o, c) AS o, arg_min(word, c) AS word
+  FROM vo JOIN (SELECT word, count(*) AS c FROM p GROUP BY word) USING (word) GROUP BY w
+), st AS (
+  SELECT DISTINCT r, w, pos - o - j AS s FROM rare JOIN p USING (word), (VALUES (0), (1), (2), (3)) js(j)
+), ok AS (
+  SELECT st.r, w, s FROM st JOIN vo USING (w) JOIN p ON p.r = st.r AND p.word = vo.word AND p.pos BETWEEN s + o AND s + o + 3
+  GROUP BY st.r, w, s, n HAVING count(DISTINCT o) = n
+), near AS (
+  SELECT r, count(DISTINCT w) AS n_near FROM ok GROUP BY r
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN near USING (r)
 """
 
 
 @query("op9_decontaminate", CONTAMINATION_SQL)
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages in every document."""
+    """Benchmark passages in every document, word for word and by proximity."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 # ---- 8: simhash near-duplicates
