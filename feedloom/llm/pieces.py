@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.llm.hash_arrays import mix
+from feedloom.llm.workers import tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -478,7 +479,7 @@ def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("samples", SAMPLES)])
     seeded = docs.select(*kept, F.xxhash64(F.lit(seed), F.col(id)).alias("_key"), F.col(text).alias("_text"))
-    return seeded.mapInArrow(run, schema)
+    return seeded.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", name: str = "decoded", model: str = MODEL) -> DataFrame:

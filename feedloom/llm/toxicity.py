@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.workers import tidy
+
 CHAIN = 64
 FEATURE_BITS = 17
 #: Words whose emission a worker remembers; the table starts anew when it is full.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 #: Tokens that a worker holds at once.
-BATCH_TOKENS = 500_000
+BATCH_TOKENS = 200_000
 #: 20 is reached by chance about once in 100,000 features.
 LEAST_RATIO = 20.0
 #: A rate in toxic documents over that in clean ones, whatever the sample's mix of the two.
@@ -295,6 +297,7 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataF
     """
 
     @F.pandas_udf("toxicity double, toxic_tokens double, toxic_spans array<struct<start:int,end:int>>")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         emissions = Emissions(tagger)
 
