@@ -440,17 +440,20 @@ SAMPLES = T.ArrayType(
 )
 
 
-def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 2, seed: int = 0, model: str = MODEL) -> DataFrame:
+def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 2, seed: int = 0, model: str = MODEL, decoded: str | None = None) -> DataFrame:
     """``docs`` with ids (the model's own encoding) and samples (k distinct segmentations) of every text.
 
     A sample has ids, log_prob (of the segmentation among all) and inclusion (its probability of being
     among the k); samples come in the order in which sampling without replacement draws them. Rows are
     seeded by ``seed`` and a hash of their id, so repeated rows get the same samples, and all rows with a
     null id share one seed. Null and empty texts have no ids and one certain sample without ids. A
-    literal space mark in a text is encoded like a space, as the model itself does it. Columns called ids
-    or samples are replaced.
+    literal space mark in a text is encoded like a space, as the model itself does it. ``decoded`` names a
+    column for the text that the ids decode to. An empty table gives an empty result. Whole texts are taken:
+    a worker holds the lattices of a batch, or of one text where that is longer. Columns called ids, samples
+    or like ``decoded`` are replaced, all others are kept, whatever their names.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "samples")]
+    made = ["ids", "samples", *([decoded] if decoded else [])]
+    kept = [c for c in docs.columns if c not in made]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = processor(model)
@@ -463,7 +466,10 @@ def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
                 part = frame.slice(start, end - start)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 keys = part.column(part.num_columns - 2).to_numpy()
-                ids = pa.array(own.encode(texts, num_threads=1), pa.list_(pa.int32()))
+                encoded = own.encode(texts, num_threads=1)
+                ids = pa.array(encoded, pa.list_(pa.int32()))
+                back = [pa.array([own.decode(e) for e in encoded], pa.string())] if decoded else []
+                del encoded
                 samples = sample_segmentations(texts, k, keys, vocabulary)
                 flat = [s for row in samples for s in row]
                 numbers = np.concatenate([s[0] for s in flat]) if flat else np.zeros(0, np.int64)
@@ -475,10 +481,13 @@ def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
                 )
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, samples)]), pa.int32()), rows)
                 columns = [part.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, ids, lists], [*kept, "ids", "samples"])
+                yield pa.RecordBatch.from_arrays([*columns, ids, lists, *back], [*kept, *made])
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("samples", SAMPLES)])
-    seeded = docs.select(*kept, F.xxhash64(F.lit(seed), F.col(id)).alias("_key"), F.col(text).alias("_text"))
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
+    # the last two columns are the key and the text, whatever the others are called
+    seeded = docs.select(*kept, F.xxhash64(F.lit(seed), F.col(id)), F.col(text)).toDF(*(f"c{i}" for i in range(len(kept) + 2)))
     return seeded.mapInArrow(tidy(run), schema)
 
 

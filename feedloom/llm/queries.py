@@ -12,7 +12,7 @@ from feedloom.llm.decontaminate import decontaminate
 from feedloom.llm.license_scan import Template, scan_licenses
 from feedloom.llm.line_dedup import dedup_lines
 from feedloom.llm.ngram_model import held_out, score_texts, train
-from feedloom.llm.pieces import decode_ids, encode_pieces
+from feedloom.llm.pieces import encode_pieces
 from feedloom.llm.quality_classifier import score_quality, train_classifier
 from feedloom.llm.quality_rules import apply_quality_rules
 from feedloom.llm.url_filter import judge_urls
@@ -326,7 +326,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding of every document, whether it decodes to the text, and two sampled segmentations."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = decode_ids(encode_pieces(docs, k=2))
+    decoded = encode_pieces(docs, k=2, decoded="decoded")
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

@@ -88,3 +88,22 @@ def test_samples_decode_to_their_texts(spark):
         assert len({tuple(s["ids"]) for s in r["samples"]}) == len(r["samples"])
     assert [len(r["samples"]) for r in rows if not r["text"]] == [1, 1]
     assert encode_pieces(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_decoded_texts(spark):
+    rows = [(1, "a b  c", 5, "k", "t"), (2, None, 6, "k", "t"), (2, "", 6, "k", "t"), (None, "<s> é🙂 ▁", 7, "k", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, _text string, ids string")
+    coded = encode_pieces(docs, decoded="back")
+    assert coded.columns == ["doc_id", "text", "_key", "_text", "ids", "samples", "back"]
+    for r in coded.collect():
+        assert r["back"] == (r["text"] or "").replace("▁", " ") and r["_key"] >= 5 and r["_text"] == "k"
+    assert {tuple(r) for r in decode_ids(encode_pieces(docs)).select("text", "decoded").collect()} == {
+        tuple(r) for r in coded.select("text", "back").collect()
+    }
+    assert encode_pieces(docs.limit(0), decoded="back").count() == 0
+
+
+def test_long_text(spark):
+    docs = spark.createDataFrame([(1, "some words over and over, étrange 日本 " * 60_000)], "doc_id long, text string")
+    (row,) = encode_pieces(docs, decoded="back").collect()
+    assert row["back"] == row["text"] and len(row["samples"]) == 2 and len(row["ids"]) > 500_000
