@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.decontaminate import decontaminate
 from feedloom.llm.line_dedup import dedup_lines
 from feedloom.llm.ngram_model import held_out
-from feedloom.llm.pieces import decode_ids, encode_pieces
+from feedloom.llm.pieces import encode_pieces
 from feedloom.llm.simhash import near_duplicates
 from feedloom.llm.toxicity import score_toxicity, train_tagger
 from feedloom.llm.words import with_row_key
@@ -58,7 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and two sampled segmentations of every document, and whether the ids decode to its text."""
-    encoded = decode_ids(encode_pieces(docs.select("doc_id", "lang", "source", "text"), k=2))
+    encoded = encode_pieces(docs.select("doc_id", "lang", "source", "text"), k=2, decoded="decoded")
     round_trip = F.col("decoded") == F.coalesce("text", F.lit(""))
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", round_trip.alias("round_trip"), "samples")
 
