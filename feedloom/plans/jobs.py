@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from feedloom import session
 from feedloom.functions.numbers import iso, seconds_between
 from feedloom.operators.latest import last_per_group
 from feedloom.operators.quality import error_failures, evaluate_rules, summarize
 from feedloom.operators.steps import TransformDefinition, run_steps
+from feedloom.sources.snapshots import merge_snapshot, read_snapshot
 from feedloom.types import col
 
 RUN_SCHEMA = (
@@ -46,7 +44,8 @@ def run_job(
     (``append``) or the whole table (``replace``), so repeating a failed run
     never duplicates rows. An incremental definition merges its rows into the table by ``unique_key``:
     rows of earlier runs with a key of this run go, and of this run's rows with one key the last by
-    all other columns in order stays. Counts are read from the stored files. A failure
+    all other columns in order stays. Such a table is read by ``read_snapshot``: a run that fails or stops
+    at any point leaves the last whole snapshot in place, and earlier snapshots stay readable. Counts are read from the stored files. A failure
     becomes a run row with status ``failed``; so does a column called ``run_id``, which is reserved.
     """
     spark, started = source.sparkSession, _now()
@@ -65,11 +64,17 @@ def run_job(
             raise ValueError("an incremental definition needs a unique_key")
         removed = sorted(set(source.columns) - set(cleaned.columns))
         if definition.incremental:
-            cleaned = _merged(spark, target, cleaned, definition.unique_key, run_id)
-        writer = cleaned.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id")
-        whole = definition.load_strategy == "replace" and not definition.incremental
-        writer.option("partitionOverwriteMode", "static" if whole else "dynamic").parquet(target)
-        stored = spark.read.schema(cleaned.schema).parquet(f"{target}/run_id={run_id}")
+            order = [c for c in cleaned.columns if c not in definition.unique_key] or list(definition.unique_key)
+            own = F.col("run_id") == run_id  # what an earlier attempt of this run wrote
+            merge_snapshot(
+                cleaned.withColumn("run_id", F.lit(run_id)), target, definition.unique_key, order, label=run_id, gone=own
+            )
+            stored = read_snapshot(spark, target).where(own).select(*map(col, cleaned.columns))
+        else:
+            writer = cleaned.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id")
+            mode = "static" if definition.load_strategy == "replace" else "dynamic"
+            writer.option("partitionOverwriteMode", mode).parquet(target)
+            stored = spark.read.schema(cleaned.schema).parquet(f"{target}/run_id={run_id}")
         run["rows_in"], run["rows_out"] = source.count(), stored.count()
         run["warnings"] = [f"columns_removed: {', '.join(removed)}"] if removed else []
         if rules is not None:
@@ -87,32 +92,6 @@ def run_job(
     return run
 
 
-def _merged(spark: SparkSession, target: str, new: DataFrame, keys: Sequence[str], run_id: str) -> DataFrame:
-    """New rows, one per key, after earlier runs' rows with their keys have left the table.
-
-    Only partitions of runs that hold such keys are written anew.
-    """
-    order = [c for c in new.columns if c not in keys] or list(keys)
-    new = session.materialize(last_per_group(new, keys, order), "merge")
-    marks = new.select(*[col(k).alias(f"__n{i}") for i, k in enumerate(keys)])
-    place = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return new
-    schema = T.StructType([*new.schema.fields, T.StructField("run_id", T.StringType())])
-    old = spark.read.schema(schema).parquet(target).where(F.col("run_id") != run_id)
-    same = reduce(lambda p, q: p & q, [old[f"`{k}`"].eqNullSafe(marks[f"__n{i}"]) for i, k in enumerate(keys)])
-    # one row per run of the log
-    touched = [r["run_id"] for r in old.join(marks, same, "left_semi").select("run_id").distinct().collect()]
-    if touched:
-        held = old.where(F.col("run_id").isin(touched))
-        kept = session.materialize(held.join(marks, same, "left_anti"), "merge")
-        emptied = set(touched) - {r["run_id"] for r in kept.select("run_id").distinct().collect()}
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(target)
-        for run in emptied:
-            session.remove(spark, f"{target}/run_id={run}")
-    return new
-
-
 def read_runs(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", True).json(log)
 

@@ -14,7 +14,7 @@ from feedloom.functions import meta
 from feedloom.functions.numbers import iso
 from feedloom.operators.steps import TransformDefinition
 from feedloom.plans import ingest, jobs
-from feedloom.sources import files, sinks, versions, workbook
+from feedloom.sources import files, sinks, snapshots, versions, workbook
 from feedloom.streaming import refresh
 from feedloom.suite.profiling import iso_sql
 from feedloom.suite.registry import query, table
@@ -425,7 +425,27 @@ def job_run_incremental(spark, sf_dir):
     jobs.run_job(first, definition, target, log, run_id="r1", job_id="j1")
     for _ in range(2):
         jobs.run_job(second.unionAll(second), definition, target, log, run_id="r2", job_id="j1")
-    return spark.read.parquet(target).select("o_orderkey", "state")
+    return snapshots.read_snapshot(spark, target).select("o_orderkey", "state")
+
+
+@query(
+    "merged_snapshots",
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS before, o_totalprice > 100000 AS high,
+           CASE WHEN o_orderkey % 5 = 0 THEN 'new' WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS after
+    FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0
+    """,
+)
+def merged_snapshots(spark, sf_dir):
+    """A table before and after a keyed merge that changes some rows and adds others; both snapshots are read."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"), (F.col("o_totalprice") > 100000).alias("high"))
+    root = session.scratch_path(spark, "snapshots")
+    first = snapshots.merge_snapshot(orders.where("o_orderkey % 3 <> 0"), root, ["o_orderkey"], label="first")
+    changed = orders.where("o_orderkey % 5 = 0").withColumn("state", F.lit("new"))
+    second = snapshots.merge_snapshot(changed.unionAll(changed), root, ["o_orderkey"], label="second")
+    old = snapshots.read_snapshot(spark, root, first).select("o_orderkey", F.col("state").alias("before"))
+    new = snapshots.read_snapshot(spark, root, second).withColumnRenamed("state", "after")
+    return new.join(old, "o_orderkey", "left").select("o_orderkey", "before", "high", "after")
 
 
 @query(
