@@ -8,6 +8,9 @@ towards a beta prior fitted to all hosts, and the host's verdict is joined back
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +85,7 @@ def document_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", SYMBOLS, "")).cast("long").alias("n_symbols"),
+        F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
@@ -93,17 +97,18 @@ def failures() -> dict[str, Column]:
         "short": F.col("n_words") < 50,
         "repeats": 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
         "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
-        "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_words"),
+        "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
     }
 
 
-def host_verdicts(measured: DataFrame, host: str, worst_rate: float) -> tuple[DataFrame, int]:
+def host_verdicts(measured: DataFrame, host: str, worst_rate: float, deviations: float = 4.0) -> tuple[DataFrame, int]:
     """One row per host: documents, shrunken failure rate by rule, whether the host is bad; and the number of hosts.
 
     The prior of a rule is the beta distribution with the mean and the variance of the hosts' rates,
     less the variance that sampling alone gives; its weight is kept between 1 and 1,000,000
-    documents. A host is bad when a shrunken rate exceeds ``worst_rate``. Rows without a host have
-    no verdict.
+    documents. A host is bad when a shrunken rate exceeds ``worst_rate``, or lies more than ``deviations``
+    standard deviations of the prior above its mean: few hosts of the fitted kind do, and a small host is
+    drawn to the mean before it is judged. Rows without a host have no verdict.
     """
     counts = measured.filter(F.col(host).isNotNull()).groupBy(host).agg(
         F.count("*").alias("n_docs"), *(F.sum(c.cast("long")).alias(r) for r, c in failures().items())
@@ -116,22 +121,23 @@ def host_verdicts(measured: DataFrame, host: str, worst_rate: float) -> tuple[Da
         *(F.avg(rate(r)).alias(f"mean_{r}") for r in RULES),
         *(F.var_pop(rate(r)).alias(f"var_{r}") for r in RULES),
     ).first()
-    shrunk = {}
+    shrunk, limits = {}, {}
     for r in RULES:
         mean, var = sums[f"mean_{r}"] or 0.0, sums[f"var_{r}"] or 0.0
         spread = mean * (1 - mean)
         extra = var - spread * (sums["noise"] or 0.0)
         weight = min(max(spread / extra - 1, 1.0), 1e6) if extra > 0 else 1e6
         shrunk[r] = (F.col(r) + weight * mean) / (F.col("n_docs") + weight)
+        limits[r] = min(worst_rate, mean + deviations * (spread / (weight + 1)) ** 0.5)
     verdicts = counts.select(
         host, "n_docs", *(c.alias(f"{r}_rate") for r, c in shrunk.items()),
-        (F.greatest(*shrunk.values()) > worst_rate).alias("host_bad"),
+        reduce(or_, (shrunk[r] > limits[r] for r in RULES)).alias("host_bad"),
     )
     return verdicts, sums["hosts"]
 
 
 def apply_quality_rules(
-    docs: DataFrame, host: str = "source", text: str = "text", worst_rate: float = 0.5
+    docs: DataFrame, host: str = "source", text: str = "text", worst_rate: float = 0.5, deviations: float = 4.0
 ) -> DataFrame:
     """Every row of ``docs`` without its text, its measures, base_failed, host_bad and kept.
 
@@ -139,10 +145,10 @@ def apply_quality_rules(
     returned each; null and empty texts fail the length rule; a null host is never bad. An empty table
     gives an empty result. Columns called like a result column are replaced.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", "kept"}
+    made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", "kept"}
     names = [c for c in docs.columns if c == text or c not in made]
     measured = materialize(document_measures(docs.select(*names), text).drop(text), "measures")
-    verdicts, hosts = host_verdicts(measured, host, worst_rate)
+    verdicts, hosts = host_verdicts(measured, host, worst_rate, deviations)
     verdicts = verdicts.select(F.col(host).alias("_host"), "host_bad")
     if hosts <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)

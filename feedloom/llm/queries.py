@@ -106,12 +106,12 @@ WITH d AS (
   SELECT r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov USING (r)
 ), f AS (
   SELECT *, CAST(n_words < 50 AS INT) AS f1, CAST(100 * n_repeat_words > 50 * n_words AS INT) AS f2,
-         CAST(10 * n_symbols > word_chars AS INT) AS f3, CAST(10 * n_dup_lines > 3 * n_words AS INT) AS f4
+         CAST(10 * n_symbols > word_chars AS INT) AS f3, CAST(10 * n_dup_lines > 3 * n_lines AS INT) AS f4
   FROM m
 ), h AS (
   SELECT source, count(*) AS n, k, sum(x) AS bad
@@ -122,11 +122,11 @@ WITH d AS (
          var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) AS extra
   FROM h GROUP BY k
 ), wt AS (
-  SELECT k, mean, CASE WHEN extra > 0 THEN least(greatest(spread / extra - 1, 1.0), 1e6) ELSE 1e6 END AS weight FROM pri
+  SELECT k, mean, spread, CASE WHEN extra > 0 THEN least(greatest(spread / extra - 1, 1.0), 1e6) ELSE 1e6 END AS weight FROM pri
 ), hv AS (
-  SELECT source, bool_or((bad + weight * mean) / (n + weight) > 0.5) AS host_bad FROM h JOIN wt USING (k) GROUP BY source
+  SELECT source, bool_or((bad + weight * mean) / (n + weight) > least(0.5, mean + 4 * sqrt(spread / (weight + 1)))) AS host_bad FROM h JOIN wt USING (k) GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, coalesce(host_bad, false) AS host_bad,
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, coalesce(host_bad, false) AS host_bad,
        f1 + f2 > 0 AS base_failed, f1 + f2 = 0 AND NOT coalesce(host_bad, false) AS kept
 FROM f LEFT JOIN hv ON f.source = hv.source
 """

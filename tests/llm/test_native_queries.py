@@ -185,3 +185,26 @@ def test_host_verdicts(spark):
     assert kept[None] == [(True, False, False)]
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert apply_quality_rules(empty).count() == 0
+
+
+def test_hosts_are_judged_against_the_prior(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    signs = good + " " + "#" * 60
+
+    def verdicts(hosts):
+        rows = [(h, signs if i < bad else good) for h, (n, bad) in hosts.items() for i in range(n)]
+        frame = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+        found = apply_quality_rules(frame).collect()
+        assert not any(r["base_failed"] for r in found) and all(r["kept"] == (not r["host_bad"]) for r in found)
+        return {r["source"] for r in found if r["host_bad"]}
+
+    usual = {f"h{i}": (100, 5) for i in range(30)}
+    assert verdicts(usual) == set()
+    assert verdicts({**usual, "worse": (100, 40)}) == {"worse"}  # below a half, far above the others
+    assert verdicts({**usual, "once": (1, 1)}) == set()  # all of its documents fail, but one says little
+
+
+def test_line_rule_counts_lines(spark):
+    text = "\n".join(["a line of eight words stands here twice"] * 4 + [f"another line number {i}" for i in range(4)])
+    row = document_measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_lines"], row["n_dup_lines"]) == (8, 3)
