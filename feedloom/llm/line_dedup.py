@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedloom.llm.words import SPACES
+from feedloom.llm.words import SPACES, set_aside
 from feedloom.session import materialize
 
 
@@ -159,6 +159,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wor
     document: each gets the same result. An empty table gives an empty result; columns called n_lines
     or n_removed are replaced.
     """
+    docs, back, (id, text) = set_aside(docs, id, text)
     gone = materialize(repeated_lines(docs, id, text, min_words), "line-deletions").withColumnsRenamed({"_id": "_gone_id", "_text_hash": "_gone_hash", "lines": "_gone"})
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*kept, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_hash"))
@@ -171,4 +172,4 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wor
         *(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(c) for c in kept),
         F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    ).withColumnsRenamed(back)

@@ -330,7 +330,8 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     made = "n_tokens long, n_known long, base_score double, score double, perplexity double"
     names = [part.split()[0] for part in made.split(", ")]
     kept = [c for c in docs.columns if c not in (*names, text)]
-    narrow = docs.select(*kept, F.col(text).alias("_text"))
+    # the text comes last, whatever the others are called
+    narrow = docs.select(*kept, F.col(text)).toDF(*(f"c{i}" for i in range(len(kept) + 1)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.words import set_aside
 from feedloom.llm.workers import tidy
 
 CHAIN = 64
@@ -324,5 +325,6 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataF
                 parts.append(solve(texts, held))
             yield pd.concat(parts, ignore_index=True)
 
-    scored = docs.drop("toxicity", "toxic_tokens", "toxic_spans").withColumn("_found", run(F.col(text)))
-    return scored.select(*(c for c in scored.columns if c != "_found"), "_found.*")
+    docs, back, (text,) = set_aside(docs.drop("toxicity", "toxic_tokens", "toxic_spans"), text)
+    scored = docs.withColumn("_found", run(F.col(text)))
+    return scored.select(*docs.columns, "_found.*").withColumnsRenamed(back)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.words import UPPER, with_row_key
+from feedloom.llm.words import UPPER, set_aside, with_row_key
 
 #: More rules than this (about 20 MB of digests) are joined by a shuffle instead of a broadcast.
 BROADCAST_RULES = 200_000
@@ -75,6 +75,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     lookup = lookup.withColumnRenamed("_digest", "_rule_digest")
 
     made = {"host", "path", "rule", "tier", "verdict"}
+    pages, back, (url,) = set_aside(pages, url)
     kept = [c for c in pages.columns if c not in made]
     parts = with_row_key(pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")), "_row")
     labels = F.split("host", r"\.")
@@ -103,4 +104,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
             F.when(F.col("_won").isNull(), default).when(F.col("_won") % 2 == 1, "block").otherwise("allow"),
         )
         .drop("_row", "_won")
+        .withColumnsRenamed(back)
     )

@@ -41,3 +41,19 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
     that runs again numbers its rows alike.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """Rename the columns that begin with an underscore, as the operators' own columns do.
+
+    Returns the frame, the names to give back at the end, and what the columns ``used`` are called now.
+    """
+    taken, now = set(df.columns), {}
+    for name in df.columns:
+        if name.startswith("_"):
+            other = f"user{name}"
+            while other in taken:
+                other = f"user_{other}"
+            taken.add(other)
+            now[name] = other
+    return df.withColumnsRenamed(now), {new: old for old, new in now.items()}, [now.get(name, name) for name in used]
