@@ -15,7 +15,7 @@ from feedloom.llm.ngram_model import held_out
 from feedloom.llm.pieces import encode_pieces
 from feedloom.llm.simhash import near_duplicates
 from feedloom.llm.toxicity import score_toxicity, train_tagger
-from feedloom.llm.words import with_row_key
+from feedloom.llm.words import set_aside, with_row_key
 from feedloom.session import materialize
 
 
@@ -40,20 +40,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without an id are kept only where their whole group has none, and then one of them.
     """
-    numbered = with_row_key(docs, "_row")
+    renamed, back, _ = set_aside(docs)
+    numbered = with_row_key(renamed, "_row")
     classes = near_duplicates(numbered.select("_row", "doc_id", "text"), extra=("_row",))
     # the first row of a group by id, nulls last, then by place
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
     kept = classes.groupBy("_part").agg(first["_row"].alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    return numbered.join(kept, "_row", "left_semi").drop("_row").withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    numbered = with_row_key(docs, "_row_of_document")
+    renamed, back, _ = set_aside(docs)
+    numbered = with_row_key(renamed, "_row_of_document")
     found = decontaminate(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("_row_of_document",))
     clean = found.filter(~F.col("contaminated")).select("_row_of_document")
-    return numbered.join(clean, "_row_of_document", "left_semi").select(*docs.columns)
+    kept = numbered.join(clean, "_row_of_document", "left_semi").drop("_row_of_document")
+    return kept.withColumnsRenamed(back).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
