@@ -1,10 +1,10 @@
 """Nearest neighbours over a vector table, by cosine distance.
 
-The query vectors travel in blocks of a fixed size; the corpus never moves.
-Every task scores its Arrow batches against one block with a matrix product and
-keeps only the k best rows per query, so neither pairs nor the corpus are
-shuffled: each task hands on at most k rows per query. More queries mean more
-blocks, not a larger broadcast.
+Query vectors of a proven size are broadcast and the corpus never moves: every
+task scores its batches with a matrix product and hands on at most k rows per
+query. Beyond that size queries and corpus meet as blocks: each block of queries
+is replicated to every block of the corpus by an equi-join on block numbers, so
+that the corpus is still scanned once and no query passes through the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from feedloom import session
 from feedloom.functions.vectors import TINY_NORM
 from feedloom.operators.profile import top_by
 
-#: Bytes of query vectors shipped to every executor at a time.
+#: Bytes of query vectors shipped to every executor at a time, and of a block of corpus or queries beyond that.
 BLOCK_BYTES = 32 * 1024 * 1024
 
 RESULT_SCHEMA = "query_id bigint, id bigint, distance double"
@@ -63,56 +63,125 @@ def _best(query: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> p
     return pd.DataFrame({"q": query[keep], "id": ids[keep], "distance": distance[keep]})
 
 
-def _scan(corpus: DataFrame, block, k: int, probes=None, cell_of=None) -> DataFrame:
+def unit_rows(column: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have the length, their vectors scaled to length one)."""
+    sized = np.array([v is not None and len(v) == dim for v in column], dtype=bool)
+    if not sized.any():
+        return sized, np.zeros((0, dim))
+    return sized, _unit(np.stack(column[sized].to_numpy()).astype(np.float64))
+
+
+#: Turns a column of stored vectors into (usable rows, matrix); quantised codes bring their own.
+Reader = Callable[[pd.Series], tuple[np.ndarray, np.ndarray]]
+
+
+def _no_rows() -> pd.DataFrame:
+    return pd.DataFrame({"q": np.array([], int), "id": np.array([], np.int64), "distance": []})
+
+
+def _nearer(best: pd.DataFrame, row_ids: np.ndarray, rows: np.ndarray, unit: np.ndarray, k: int, allowed=None) -> pd.DataFrame:
+    """The k best rows per query position of those found so far and ``rows``."""
+    # Slices keep the score matrix small whatever the block and batch sizes.
+    step = max(1, 4_000_000 // len(unit))
+    for start in range(0, len(rows), step):
+        part = slice(start, start + step)
+        distance = 1.0 - rows[part] @ unit.T
+        if allowed is not None:
+            distance = np.where(allowed(part), distance, np.inf)
+        distance = np.where(np.isnan(distance), np.inf, distance)
+        n = min(k, distance.shape[0])
+        near = np.argpartition(distance, n - 1, axis=0)[:n]
+        worst = np.take_along_axis(distance, near, 0).max(axis=0)
+        r, q = np.nonzero((distance <= worst) & np.isfinite(distance))
+        found = pd.DataFrame({"q": q, "id": row_ids[part][r], "distance": distance[r, q]})
+        both = pd.concat([best, found]) if len(best) else found
+        best = _best(both["q"].to_numpy(), both["id"].to_numpy(), both["distance"].to_numpy(), k)
+    return best
+
+
+def _named(best: pd.DataFrame, query_ids: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": query_ids[best["q"].to_numpy(int)], "id": best["id"], "distance": best["distance"]})
+
+
+def _scan(corpus: DataFrame, block, k: int, probes=None, cell_of=None, read: Reader | None = None) -> DataFrame:
     """Per task the k best corpus rows of each query in the block."""
     ids, vectors = block
-    dim = vectors.shape[1]
+    read = read or partial(unit_rows, dim=vectors.shape[1])
     shipped = corpus.sparkSession.sparkContext.broadcast((ids, _unit(vectors), probes, cell_of))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, unit, cells, place = shipped.value
-        best = pd.DataFrame({"q": np.array([], int), "id": np.array([], np.int64), "distance": []})
+        best = _no_rows()
         for batch in batches:
-            sized = batch[[v is not None and len(v) == dim for v in batch["vector"]]]
-            if sized.empty:
-                continue
-            rows = np.stack(sized["vector"].to_numpy()).astype(np.float64)
-            row_ids = sized["id"].to_numpy()
-            own = None if place is None else place(rows)
-            # Slices keep the score matrix small whatever the block and batch sizes.
-            step = max(1, 4_000_000 // len(unit))
-            for start in range(0, len(rows), step):
-                part = slice(start, start + step)
-                distance = 1.0 - _unit(rows[part]) @ unit.T
-                if own is not None:
-                    allowed = (own[part, None, None] == cells[None, :, :]).any(axis=2)
-                    distance = np.where(allowed, distance, np.inf)
-                n = min(k, distance.shape[0])
-                near = np.argpartition(distance, n - 1, axis=0)[:n]
-                worst = np.take_along_axis(distance, near, 0).max(axis=0)
-                r, q = np.nonzero((distance <= worst) & np.isfinite(distance))
-                found = pd.DataFrame({"q": q, "id": row_ids[part][r], "distance": distance[r, q]})
-                both = pd.concat([best, found]) if len(best) else found
-                best = _best(both["q"].to_numpy(), both["id"].to_numpy(), both["distance"].to_numpy(), k)
-        yield pd.DataFrame(
-            {"query_id": query_ids[best["q"].to_numpy(int)], "id": best["id"], "distance": best["distance"]}
-        )
+            usable, rows = read(batch["vector"])
+            allowed = None
+            if place is not None and len(rows):
+                own = place(rows)
+                allowed = lambda part: (own[part, None, None] == cells[None, :, :]).any(axis=2)
+            best = _nearer(best, batch["id"].to_numpy()[usable], rows, unit, k, allowed)
+        yield _named(best, query_ids)
 
     return corpus.mapInPandas(score, RESULT_SCHEMA)
 
 
+def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int, count: int, row_bytes: int, read: Reader) -> DataFrame:
+    """Per pair of blocks the k best corpus rows of each query.
+
+    A row's block follows from its content, so a task that runs again deals the same rows. Both numbers
+    of blocks follow from counts; a group holds one block of each side.
+    """
+    n_corpus = max(1, -(-corpus.count() * row_bytes // BLOCK_BYTES))
+    n_queries = max(1, -(-count * dim * 8 // BLOCK_BYTES))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        number = F.pmod(F.xxhash64(*df.columns), F.lit(n_own)).alias(own)
+        return df.select("*", number, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asked.empty:
+            return _named(_no_rows(), np.array([], np.int64))
+        usable, matrix = read(rows["vector"])
+        _, unit = unit_rows(asked["vector"], dim)
+        return _named(_nearer(_no_rows(), rows["id"].to_numpy()[usable], matrix, unit, k), asked["query_id"].to_numpy())
+
+    left = dealt(corpus, "corpus_block", n_corpus, "query_block", n_queries).groupBy("corpus_block", "query_block")
+    right = dealt(queries, "query_block", n_queries, "corpus_block", n_corpus).groupBy("corpus_block", "query_block")
+    return left.cogroup(right).applyInPandas(score, RESULT_SCHEMA)
+
+
+def search_rows(corpus: DataFrame, queries: DataFrame, k: int, read: Reader | None = None, row_bytes: int | None = None) -> DataFrame:
+    """:func:`nearest` over any stored form of the vectors: ``read`` turns the column into a matrix.
+
+    ``corpus`` is (id, vector), ``queries`` (query_id, vector). All query vectors must have one length.
+    """
+    queries = queries.where(F.col("vector").isNotNull())
+    size = F.size("vector")
+    least, dim, count = queries.agg(F.min(size), F.max(size), F.count(F.lit(1))).first()
+    if not count:
+        return queries.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank int")
+    if least != dim:
+        raise ValueError(f"query vectors differ in length: {least} and {dim}")
+    if count * dim * 8 <= BLOCK_BYTES:
+        asked = queries.collect()  # at most BLOCK_BYTES of vectors
+        block = np.array([r[0] for r in asked]), np.array([r[1] for r in asked], dtype=np.float64)
+        return _best_rows(_scan(corpus, block, k, read=read), k)
+    read = read or partial(unit_rows, dim=dim)
+    return _best_rows(_by_blocks(corpus, queries, k, dim, count, row_bytes or dim * 8, read), k)
+
+
+def named_vectors(df: DataFrame, key: str) -> DataFrame:
+    """The first two columns as (key, vector)."""
+    return df.select(F.col(df.columns[0]).alias(key), F.col(df.columns[1]).alias("vector"))
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, distance, rank): the exact k nearest corpus rows per query.
 
     ``corpus`` is (id, vector), ``queries`` is (query_id, vector). Corpus rows of
     another length are skipped, a zero vector has distance 1, ties go to the
-    smaller id.
+    smaller id. The corpus is scanned once for any number of queries.
     """
-    corpus = corpus.select(F.col(corpus.columns[0]).alias("id"), F.col(corpus.columns[1]).alias("vector"))
-    queries = queries.select(
-        F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("vector")
-    )
-    return _over_blocks(queries, lambda block: _scan(corpus, block, k), k)
+    return search_rows(named_vectors(corpus, "id"), named_vectors(queries, "query_id"), k)
 
 
 def _over_blocks(queries: DataFrame, scan, k: int) -> DataFrame:
@@ -152,16 +221,22 @@ def _cell_of(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:
 FITTED_ROWS = 8192
 
 
+def fitted_sample(corpus: DataFrame, dim: int) -> np.ndarray:
+    """Unit vectors of the first ``FITTED_ROWS`` rows by a hash of the id; rows with entries that are no numbers left out."""
+    rows = named_vectors(corpus, "id").where(F.size("vector") == dim)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FITTED_ROWS).select("vector").collect()
+    matrix = np.array([r["vector"] for r in sample], dtype=np.float64).reshape(-1, dim)
+    return _unit(matrix[np.isfinite(matrix).all(axis=1)])
+
+
 def fit_centres(corpus: DataFrame, dim: int, cells: int = 64, rounds: int = 10) -> np.ndarray:
     """Unit centres of cells, by spherical k-means over the first ``FITTED_ROWS`` rows by a hash of the id.
 
     At most one centre per sampled row. The sample decides where cells lie, never which rows are found.
     """
-    rows = corpus.select(F.col(corpus.columns[0]).alias("id"), F.col(corpus.columns[1]).alias("vector"))
-    sample = rows.where(F.size("vector") == dim).orderBy(F.xxhash64("id"), "id").limit(FITTED_ROWS).select("vector").collect()
-    if not sample:
+    unit = fitted_sample(corpus, dim)
+    if not len(unit):
         return np.zeros((1, dim))
-    unit = _unit(np.array([r["vector"] for r in sample], dtype=np.float64))
     centres = unit[:cells]
     for _ in range(rounds):
         own = _centre_of(unit, centres)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import meta, text, vectors
-from feedloom.operators import chunks, encoder, search
+from feedloom.operators import chunks, encoder, quantised, search
 
 
 def loop_windows(s, size, overlap):
@@ -163,6 +163,49 @@ def test_fitted_cells_reach_nine_tenths_on_random_vectors(spark, tmp_path, rows)
     assert len(rates) == 20 and sum(rates) / 20 >= 0.9
 
 
+def test_many_queries_need_one_scan_and_no_driver(spark, cloud, monkeypatch):
+    corpus, queries = cloud
+    c, q = vectors_frame(spark, corpus, "id").repartition(3), vectors_frame(spark, queries + [(70, None)], "query_id")
+    monkeypatch.setattr(search, "BLOCK_BYTES", 5 * 8 * 8)
+    near = search.nearest(c, q, 4)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and found(near) == brute(corpus, queries, 4)
+    assert search.nearest(c, q.where("query_id < 0"), 4).count() == 0
+    assert search.nearest(c.limit(0), q, 4).count() == 0
+
+
+@pytest.mark.parametrize("rows", [500, 3000])
+def test_quantised_index(spark, tmp_path, rows):
+    rng = np.random.default_rng(5)
+    made = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(rows, 64)))]
+    odd = [(rows, [1.0]), (rows + 1, None), (rows + 2, [float("nan")] * 64), (rows + 3, [0.0] * 64), (rows + 4, made[7][1])]
+    corpus = vectors_frame(spark, made + odd, "id")
+    queries = vectors_frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 64)))] + [(90, made[7][1])], "query_id")
+    path = str(tmp_path / "index")
+    quantised.write_quantised(corpus, path, quantised.fit_codebook(corpus, 64))
+    index = quantised.open_quantised(spark, path)
+    assert index.codes(spark).count() == rows + 2 == index.vectors(spark).count()
+    assert index.codes(spark).where("length(code) <> 16").count() == 0
+    exact = search.nearest(corpus, queries, 10)
+    near = quantised.nearest_quantised(index, queries, 10)
+    rates = [r["recall"] for r in search.recall(near, exact).collect()]
+    assert len(rates) == 21 and sum(rates) / 21 >= 0.9
+    assert found(near)[90][:2] == [7, rows + 4]  # equal vectors: the smaller id first
+    # A list as long as the index is the exact search.
+    assert found(quantised.nearest_quantised(index, queries, 10, rows + 2)) == found(exact)
+    assert "dynamicpruning" in quantised.nearest_quantised(index, queries, 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantised_index_of_few_rows(spark, tmp_path):
+    corpus = vectors_frame(spark, [(1, [1, 0, 0]), (2, [0, 1, 0])], "id")
+    queries = vectors_frame(spark, [(5, [1, 1, 0])], "query_id")
+    index = quantised.write_quantised(corpus, str(tmp_path / "two"), quantised.fit_codebook(corpus, 3))
+    assert found(quantised.nearest_quantised(index, queries, 5)) == {5: [1, 2]}
+    none = corpus.limit(0)
+    index = quantised.write_quantised(none, str(tmp_path / "none"), quantised.fit_codebook(none, 3), blocks=2)
+    assert quantised.shortlist(index, queries, 5).count() == 0
+
+
 def test_encoder_puts_like_texts_together(spark):
     docs = spark.createDataFrame(
         [(1, "login failed for user"), (2, "invoice total is wrong"), (3, "user login failed again"), (4, None)],
