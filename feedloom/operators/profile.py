@@ -10,8 +10,10 @@ it. The approximate profile is one aggregate without any shuffle of the rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,99 +144,42 @@ def top_by(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-#: Distinct values of a key that the last, sorted step of a median takes into one task.
-MEDIAN_VALUES = 1_000_000
+#: Distinct values that one task of a median sorts, as long as the session's shuffles allow so many tasks.
+MEDIAN_VALUES = 100_000
 
 
 def exact_median(
     frequencies: DataFrame, key: str, number: str = "number", *, bound: int = MEDIAN_VALUES
 ) -> DataFrame:
-    """(key, median) from a frequency table (key, number, n); interpolated.
+    """(key, median) from a frequency table (key, number, n), a row per value or few; interpolated.
 
-    Rounds that keep, per key, the one of 64 quantile buckets that holds the median go on until no key
-    has more than ``bound`` distinct values; what is left is sorted, a key in a task. The number of
-    rounds follows the values counted, so every size takes the same way.
+    The values of all keys are dealt to parts by range and stored. Totals of the parts, summed up in order,
+    tell which part holds a wanted rank; only those parts are read again, and only there values are put in
+    order. Any number of keys will do; a part has about ``bound`` values, with at most four times as many
+    parts as the session's shuffles have tasks.
     """
-    totals = frequencies.groupBy(key).agg(F.sum("n").alias("total"))
-    wanted = totals.select(
-        key,
-        F.floor((F.col("total") + 1) / 2).alias("want"),
-        (F.col("total") % 2 == 0).alias("even"),
-    )
-    kept = frequencies.select(key, number, "n").join(F.broadcast(wanted), key)
-    most, before = _most_values(frequencies, key, number), None
-    while most > bound and most != before:
-        # Stored, so that the next round does not repeat this one.
-        kept = session.materialize(_narrow(kept, key, number), "narrowed")
-        most, before = _most_values(kept, key, number), most
-    # Large integers may share one double.
-    kept = kept.groupBy(key, number, "want", "even").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy(key).orderBy(number)
-    running = kept.withColumn("upto", F.sum("n").over(order))
-    lower = running.where(
-        (F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))
-    ).select(
-        key,
-        F.col(number).alias("lower"),
-        (F.col("even") & (F.col("upto") == F.col("want"))).alias("split"),
-    )
-    above = (
-        frequencies.join(F.broadcast(lower), key)
-        .where(F.col("split") & (F.col(number) > F.col("lower")))
-        .groupBy(key)
-        .agg(F.min(number).alias("upper"))
-    )
-    return lower.join(F.broadcast(above), key, "left").select(
-        key, ((F.col("lower") + F.coalesce("upper", "lower")) / 2).alias("median")
-    )
-
-
-def _most_values(frequencies: DataFrame, key: str, number: str) -> int:
-    """Distinct values of the key that has most, a row each; doubles that integers share count once more."""
-    return frequencies.groupBy(key).agg(F.count(number).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-#: Quantile buckets per narrowing round, searched as COARSE groups of COARSE.
-COARSE = 8
-BUCKETS = COARSE * COARSE
-
-
-def _narrow(kept: DataFrame, key: str, number: str) -> DataFrame:
-    """Keep the quantile bucket of each key that holds its wanted rank.
-
-    Broadcast sides here have one row per key, and keys are columns of a schema.
-    """
-    points = [F.lit(i / BUCKETS) for i in range(1, BUCKETS)]
-    cuts = kept.groupBy(key).agg(F.percentile_approx(number, F.array(*points), 10000).alias("cuts"))
-    coarse = F.array(*[F.get("cuts", F.lit(i * COARSE - 1)) for i in range(1, COARSE)])
-    cuts = cuts.withColumn("coarse", coarse)
-
-    def below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda cut: cut < F.col(number)))
-
-    grouped = kept.join(F.broadcast(cuts), key).withColumn("group", below(F.col("coarse")))
-    fine = F.slice("cuts", F.col("group") * COARSE + 1, F.lit(COARSE))
-    bucketed = grouped.withColumn("bucket", F.col("group") * COARSE + below(fine))
-    weights = bucketed.groupBy(key, "bucket", "want").agg(F.sum("n").alias("weight"))
-    upto = F.sum("weight").over(Window.partitionBy(key).orderBy("bucket"))
-    pick = (
-        weights.withColumn("upto", upto)
-        .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("weight") < F.col("want")))
-        .join(F.broadcast(cuts), key)
-        .select(
-            key,
-            (F.col("want") - F.col("upto") + F.col("weight")).alias("rest"),
-            F.get("cuts", F.col("bucket") - 1).alias("over"),
-            F.get("cuts", F.col("bucket")).alias("most"),
-        )
-    )
-    # The bucket as a range of values: a plain comparison for every row.
-    inside = F.coalesce(F.col(number) > F.col("over"), F.lit(True)) & F.coalesce(
-        F.col(number) <= F.col("most"), F.lit(True)
-    )
-    return kept.join(F.broadcast(pick), key).where(inside).select(
-        key, number, "n", F.col("rest").alias("want"), "even"
+    spark = frequencies.sparkSession
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = frequencies.where(F.col(number).isNotNull()).select(key, number, "n")
+    parts = max(1, min(most, known.count() // bound + 1))
+    ranged = known.repartitionByRange(parts, key, number).withColumn("part", F.spark_partition_id())
+    stored = session.materialize(ranged, "ranged")
+    by_part = stored.groupBy(key, "part").agg(F.sum("n").alias("weight"))
+    own = Window.partitionBy(key)
+    placed = by_part.select(
+        key, "part", "weight", F.sum("weight").over(own).alias("total"),
+        (F.sum("weight").over(own.orderBy("part")) - F.col("weight")).alias("before"),
     )
+    # The middle value, or the two around the middle, by rank within their part.
+    ranks = F.array_distinct(F.array(F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1))
+    inside = F.filter(ranks, lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("weight")))
+    wanted = placed.select(key, "part", F.transform(inside, lambda r: r - F.col("before")).alias("ranks")).where(F.size("ranks") > 0)
+    # By rows, not by value: large integers may share one double.
+    upto = Window.partitionBy(key, "part").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum("n").over(upto)
+    reached = stored.join(wanted, [key, "part"]).withColumn("upto", running)
+    hit = F.exists("ranks", lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))
+    return reached.where(hit).groupBy(key).agg(((F.min(number) + F.max(number)) / 2).alias("median"))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -323,10 +268,12 @@ def column_profile(
     several = medians or samples or top_k
     counted = stored_frequencies(df, columns) if several else value_frequencies(df, columns)
     value = F.col("value")
+    # the number first: it spares the text of every number
+    there = F.col("number").isNotNull() | value.isNotNull()
     totals = counted.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(value.isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count_if(value.isNotNull()).alias("unique_count"),
+        F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("non_null"),
+        F.count_if(there).alias("unique_count"),
         F.min("number").alias("min"),
         F.max("number").alias("max"),
         (
@@ -550,36 +497,22 @@ def leaderboards(
     )
 
 
-#: Correlations computed per aggregate, to keep generated code compilable.
-PAIRS_PER_AGGREGATE = 120
+MOMENTS = "a int, b int, n double, mean_a double, mean_b double, var_a double, var_b double, cov double"
 
 
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.7
 ) -> DataFrame:
-    """(col_a, col_b, correlation, strong) for numeric pairs with a < b."""
+    """(col_a, col_b, correlation, strong) for numeric pairs with a < b, over the rows that have both.
+
+    One scan for any number of columns. Pairs without a correlation (fewer than two rows, a column that
+    does not vary, infinite values) are left out.
+    """
     chosen = sorted(f.name for f in _fields(df, columns) if is_numeric(f.dataType))
-    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1 :]]
-    schema = "col_a string, col_b string, correlation double, strong boolean"
-    if not pairs:
+    if len(chosen) < 2:
+        schema = "col_a string, col_b string, correlation double, strong boolean"
         return df.sparkSession.createDataFrame([], schema)
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        block = pairs[start : start + PAIRS_PER_AGGREGATE]
-        wide = df.agg(
-            *[
-                F.corr(as_number(field(df, a)), as_number(field(df, b))).alias(f"r_{i}")
-                for i, (a, b) in enumerate(block)
-            ]
-        )
-        entries = [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r_{i}").alias("r"))
-            for i, (a, b) in enumerate(block)
-        ]
-        parts.append(wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
+    long = _correlations(df, chosen)
     usable = long.where(F.col("r").isNotNull() & ~F.isnan("r"))
     return usable.select(
         "col_a",
@@ -589,6 +522,80 @@ def correlation_pairs(
     )
 
 
+def _correlations(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """(col_a, col_b, r) of all pairs: co-moments of every task, a row per pair, merged around the common means.
+
+    A task sends a row per pair whatever the number of its rows.
+    """
+    numbers = df.select(*[as_number(field(df, name)).alias(f"c{i}") for i, name in enumerate(chosen)])
+    by_task = numbers.mapInArrow(co_moments, MOMENTS)
+    pair = Window.partitionBy("a", "b")
+    total = F.sum("n").over(pair)
+    rows = by_task.select(
+        "*",
+        *[(F.col(m) - F.sum(F.col("n") * F.col(m)).over(pair) / total).alias(f"off_{m[-1]}") for m in ("mean_a", "mean_b")],
+    )
+    merged = rows.groupBy("a", "b").agg(
+        *[F.sum(F.col(f"var_{s}") + F.col("n") * F.col(f"off_{s}") ** 2).alias(f"var_{s}") for s in "ab"],
+        F.sum(F.col("cov") + F.col("n") * F.col("off_a") * F.col("off_b")).alias("cov"),
+        *[F.sum(F.col("n") * F.col(f"mean_{s}") ** 2).alias(f"size_{s}") for s in "ab"],
+    )
+    # What is left of the rounding of equal values is no variance.
+    varies = (F.col("var_a") > F.col("size_a") * 1e-26) & (F.col("var_b") > F.col("size_b") * 1e-26)
+    r = F.when(varies, F.col("cov") / (F.sqrt("var_a") * F.sqrt("var_b")))
+    labels = F.array(*[F.lit(name) for name in chosen])
+    return merged.select(F.get(labels, F.col("a")).alias("col_a"), F.get(labels, F.col("b")).alias("col_b"), r.alias("r"))
+
+
+def co_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``MOMENTS`` of each pair of columns, over the rows of a task that have both; batches merge as they come.
+
+    Means and variances are kept per pair, for each pair has rows of its own.
+    """
+    state = None
+    for batch in batches:
+        values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
+        there = np.stack([~c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        part = _batch_moments(values, there) if len(values) else None
+        state = part if state is None else _merged(state, part) if part else state
+    if state is not None:
+        n, mean, var, cov = state
+        a, b = np.nonzero(np.triu(n, 1) > 0)
+        columns = [a.astype(np.int32), b.astype(np.int32), n[a, b], mean[a, b], mean[b, a], var[a, b], var[b, a], cov[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in MOMENTS.split(", ")])
+
+
+def _batch_moments(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(n, mean, var, cov) by pair; entry [i, j] of mean and var is of column i over the rows that have both.
+
+    Values are taken from one of their own near the mean, so that equal ones become exact zeros.
+    """
+    with np.errstate(all="ignore"):
+        filled = np.where(there, values, 0.0)
+        middle = filled.sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+        near = np.where(there, np.abs(values - middle), np.inf).argmin(axis=0)
+        pivot = filled[near, np.arange(values.shape[1])]
+        moved, mask = np.where(there, values - pivot, 0.0), there.astype(np.float64)
+        n = mask.T @ mask
+        rows = np.maximum(n, 1)
+        sums, squares, products = moved.T @ mask, (moved**2).T @ mask, moved.T @ moved
+        var = squares - sums**2 / rows
+        var = np.where(var <= squares * 1e-13, 0.0, var)
+        return n, sums / rows + pivot[:, None] * (n > 0), var, products - sums * sums.T / rows
+
+
+def _merged(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The moments of both sets of rows."""
+    (n1, mean1, var1, cov1), (n2, mean2, var2, cov2) = left, right
+    with np.errstate(all="ignore"):
+        rows = np.maximum(n1 + n2, 1)
+        apart = np.where((n1 > 0) & (n2 > 0), mean2 - mean1, 0.0)
+        weight = n1 * n2 / rows
+        mean = (n1 * mean1 + n2 * mean2) / rows
+        mean = np.where(apart == 0, np.where(n1 > 0, mean1, mean2), mean)
+        return n1 + n2, mean, var1 + var2 + apart**2 * weight, cov1 + cov2 + apart * apart.T * weight
+
+
 def date_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, min, max) of the datetime columns, in ISO form."""
     from feedloom.functions.numbers import iso

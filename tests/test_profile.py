@@ -1,6 +1,8 @@
 import math
 
 import fixtures
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -123,6 +125,50 @@ def test_audits_read_the_data(spark):
     assert tuple(profile.date_ranges(df).first()) == ("day", "2024-01-01T00:00:00", "2024-01-20T00:00:00")
 
 
+def test_median_of_many_keys_and_shared_doubles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v), int(n)) for k, v, n in zip(rng.integers(0, 60, 4000), rng.integers(-9, 9, 4000), rng.integers(1, 4, 4000))]
+    rows += [(99, None, 5)]
+    df = spark.createDataFrame(rows, "k int, number double, n bigint").repartition(5)
+    got = {r["k"]: r["median"] for r in profile.exact_median(df, "k", bound=100).collect()}
+    spread = {}
+    for k, v, n in rows[:-1]:
+        spread.setdefault(k, []).extend([v] * n)
+    assert got == {k: float(np.median(v)) for k, v in spread.items()}
+    assert profile.exact_median(df.limit(0), "k").count() == 0
+
+
+def test_correlations_of_many_columns(spark):
+    """Over pairwise complete rows; columns that do not vary have none, and one scan serves all pairs."""
+    rng = np.random.default_rng(11)
+    made = pd.DataFrame(rng.normal(size=(700, 9)), columns=[f"x{i}" for i in range(9)])
+    made["x1"] = made["x0"] * -2 + rng.normal(size=700) * 0.1
+    made["x2"] += 1e9
+    made["x3"] = 0.1
+    for i in (0, 1, 4, 5):
+        made.loc[rng.random(700) < 0.35, f"x{i}"] = None
+    made["x6"] = np.where(made["x5"].notna(), 0.3, made["x6"])  # does not vary beside x5
+    made["x7"] = None
+    df = spark.createDataFrame(
+        [tuple(None if pd.isna(v) else float(v) for v in r) for r in made.itertuples(index=False)],
+        ", ".join(f"x{i} double" for i in range(9)),
+    ).repartition(7)
+    want = made.astype(float).corr()
+    rows = profile.correlation_pairs(df).collect()
+    many = {(r["col_a"], r["col_b"]): r["correlation"] for r in rows}
+    expected = {
+        (a, b) for a in want for b in want
+        if a < b and "x3" not in (a, b) and "x7" not in (a, b) and {a, b} != {"x5", "x6"}
+    }
+    assert set(many) == expected
+    assert all(abs(v - want.loc[k]) < 6e-4 for k, v in many.items())
+    assert [(r["col_a"], r["col_b"]) for r in rows if r["strong"]] == [("x0", "x1")]
+    assert profile.correlation_pairs(df.limit(0)).count() == 0
+    wide = df.select(*[(F.col(f"x{i % 9}") * (i + 1)).alias(f"c{i:03d}") for i in range(120)])
+    plan = profile.correlation_pairs(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_drift_between_versions(spark):
     old = spark.createDataFrame([(1, "a", 1.0)] * 10, "id bigint, gone string, v double")
     new = spark.createDataFrame([("1", None, 5)] * 9 + [("2", 3.0, 5)], "id string, v double, fresh int")
