@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom import session
 from feedloom.functions.meta import sha1_prefix
 from feedloom.functions.names import dataset_tags
 from feedloom.functions.text import check_window, collapse_whitespace, row_text, text_windows
@@ -168,6 +169,47 @@ def apply_edits(chunks: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.coalesce("__new", "text")).select(*chunks.columns)
 
 
+def edited_vectors(
+    chunks: DataFrame, edits: DataFrame, encode: Callable[[DataFrame], DataFrame], vector: str = "vector"
+) -> tuple[DataFrame, DataFrame]:
+    """(all chunks after the edits, the changed ones): like :func:`apply_edits`, and vectors follow their texts.
+
+    ``chunks`` has id, text and ``vector``; ``encode`` adds ``vector`` to a frame that has text. Only chunks
+    whose text really changed are encoded again; the others keep their vectors as they are. Edits of unknown
+    ids change nothing, an edit to NULL keeps the text.
+    """
+    from feedloom.operators.latest import last_per_group
+
+    newest = last_per_group(edits, ["id"], ["edited_at"]).select("id", F.col("text").alias("__new"))
+    differs = F.col("__new").isNotNull() & ~F.col("text").eqNullSafe(F.col("__new"))
+    touched = chunks.drop(vector).join(newest, "id").where(differs).withColumn("text", F.col("__new")).drop("__new")
+    changed = session.materialize(encode(touched).select(*chunks.columns), "edited")
+    kept = chunks.join(changed.select("id"), "id", "left_anti").select(*chunks.columns)
+    return kept.unionByName(changed), changed
+
+
+def retrieve(
+    chunks: DataFrame,
+    questions: DataFrame,
+    encode: Callable[[DataFrame], DataFrame],
+    tenant: str,
+    k: int = 5,
+    limit_chars: int = 2500,
+) -> DataFrame:
+    """(query_id, segments, context): questions to vectors, the tenant's nearest chunks, their texts packed.
+
+    ``chunks`` has user_id, a bigint id, source, row_index, text and vector; ``questions`` query_id and
+    text. Rows of other tenants are filtered before the search, so none can take a rank.
+    """
+    from feedloom.operators.search import nearest
+
+    own = chunks.where(F.col("user_id") == F.lit(tenant))
+    asked = encode(questions.select("query_id", "text")).select("query_id", "vector")
+    near = nearest(own.select("id", "vector"), asked, k)
+    hits = own.select("id", "source", "row_index", "text").join(near.select("query_id", "id", "rank"), "id")
+    return pack_context(hits, limit_chars=limit_chars)
+
+
 def list_chunks(chunks: DataFrame, source: str | None = None, limit: int = 200) -> DataFrame:
     """Notes first, then by row and id; the limit applies after the order."""
     rows = chunks if source is None else chunks.where(F.col("source") == source)

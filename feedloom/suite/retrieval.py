@@ -346,6 +346,50 @@ def knn_quantised(spark, sf_dir):
     )
 
 
+LETTERS = "aeiounst"
+
+#: Letter counts of a text, an encoder that SQL can repeat.
+LETTERS_SQL = "[" + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+EDITED_SQL = "CASE WHEN turn = 0 THEN 'sunset tea ' || text ELSE text END"
+
+
+def letter_vectors(df):
+    counts = [F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in LETTERS]
+    return df.withColumn("vector", F.array(*[n.cast("double") for n in counts]))
+
+
+def _letter_ranks_sql(stage: str, shown: str) -> str:
+    return f"""
+    SELECT '{stage}' AS stage, rank::INTEGER AS rank, abs(round(d, 6)) AS distance FROM (
+      SELECT d, row_number() OVER (ORDER BY d) AS rank FROM (
+        SELECT 1 - list_cosine_similarity({LETTERS_SQL.format(shown)}, {LETTERS_SQL.format("'sunset tea'")}) AS d
+        FROM conversations WHERE conv_id % 2 = 0 AND turn IS NOT NULL AND length(translate({shown}, '{LETTERS}', '')) < length({shown})))
+    WHERE rank <= 20
+    """
+
+
+@query("edited_ranking", _letter_ranks_sql("before", "text") + " UNION ALL " + _letter_ranks_sql("after", f"({EDITED_SQL})"))
+def edited_ranking(spark, sf_dir):
+    """One tenant's 20 nearest chunks before and after edits; edited texts are encoded again and move up."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND turn IS NOT NULL")
+    stored = letter_vectors(turns.select(
+        F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd").alias("user_id"),
+        F.xxhash64("conv_id", "turn", "role", "text").alias("id"), "turn", "text",
+    ))
+    stored = session.materialize(stored, "chunk-vectors")
+    edits = stored.where("turn = 0").select("id", F.concat(F.lit("sunset tea "), "text").alias("text"), F.lit(1).alias("edited_at")).distinct()
+    after, _ = chunks.edited_vectors(stored, edits, letter_vectors)
+    asked = letter_vectors(session.literal_rows(spark, [(1, "sunset tea")], "query_id bigint, text string"))
+    out = None
+    for stage, df in (("before", stored), ("after", after)):
+        # a text without any of the letters has no direction
+        own = df.where(F.col("user_id") == "even").where(vectors.dot(F.col("vector"), F.col("vector")) > 0)
+        near = search.nearest(own.select("id", "vector"), asked.select("query_id", "vector"), 20)
+        part = near.select(F.lit(stage).alias("stage"), "rank", F.abs(F.round("distance", 6)).alias("distance"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 @query("text_vectors", "SELECT doc_id, 384 AS dim, 1.0::DOUBLE AS norm FROM documents")
 def text_vectors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

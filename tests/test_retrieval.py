@@ -73,6 +73,38 @@ def test_edits_and_notes(spark):
     assert chunks.add_notes(stored, note).where("type = 'note'").count() == 1
 
 
+def test_edits_move_vectors_and_leave_the_others(spark):
+    rows = [(i, "u", "s", i, t, [0.5, float(i)]) for i, t in enumerate(["one", "two", "three", None])]
+    stored = spark.createDataFrame(rows, "id bigint, user_id string, source string, row_index int, text string, vector array<double>")
+    edits = spark.createDataFrame(
+        [(0, "older", 1), (0, "newest", 2), (1, "two", 1), (2, None, 1), (3, "filled", 1), (77, "nobody", 1)],
+        "id bigint, text string, edited_at int",
+    )
+
+    def encode(df):
+        return df.withColumn("vector", F.array(F.length("text").cast("double"), F.lit(-1.0)))
+
+    after, changed = chunks.edited_vectors(stored, edits, encode)
+    assert sorted(r["id"] for r in changed.collect()) == [0, 3]
+    assert {r["id"]: (r["text"], r["vector"]) for r in after.collect()} == {
+        0: ("newest", [6.0, -1.0]), 1: ("two", [0.5, 1.0]), 2: ("three", [0.5, 2.0]), 3: ("filled", [6.0, -1.0]),
+    }
+    assert after.columns == stored.columns
+    same, none = chunks.edited_vectors(stored, edits.limit(0), encode)
+    assert none.count() == 0 and sorted(same.collect()) == sorted(stored.collect())
+
+
+def test_retrieval_packs_the_tenants_chunks(spark):
+    rows = [(1, "a", "s", 0, "login failed"), (2, "b", "s", 1, "login failed again"), (3, "a", "t", 2, "invoice total"), (4, None, "t", 3, "login")]
+    texts = spark.createDataFrame(rows, "id bigint, user_id string, source string, row_index int, text string")
+    model = encoder.fit_encoder(texts, dim=256)
+    questions = spark.createDataFrame([(7, "login failed")], "query_id bigint, text string")
+    packed = chunks.retrieve(model.encode(texts), questions, model.encode, "a", k=2).collect()
+    assert [(r["query_id"], r["segments"]) for r in packed] == [(7, 2)]
+    assert packed[0]["context"].startswith("[1] source=s row=0\nlogin failed\n") and "again" not in packed[0]["context"]
+    assert chunks.retrieve(model.encode(texts), questions, model.encode, "nobody").count() == 0
+
+
 def test_row_index_zero_stays_zero(spark):
     df = spark.createDataFrame([('{"row_index": 0, "tags": ["a"]}',), ("{}",)], "m string")
     rows = df.select(meta.read_metadata(F.col("m")).alias("m")).select("m.*").collect()
