@@ -5,13 +5,15 @@ sample, a token is toxic when its word, or a beginning or end of it, is far more
 documents than chance allows (a likelihood-ratio test) and in a larger part of them than of the clean
 ones (``LEAST_LIFT`` times); all other tokens are clean. The field has two
 states, hashed features of the word, and transitions, and is fitted to these tokens by its gradient from
-forward-backward. Documents are cut into chains of ``CHAIN`` tokens. A document's score is a logistic
-function of the expected number of toxic tokens and the greatest marginal, fitted on sample documents
-that the field has not seen.
+forward-backward. The chain of a document is its whole text: pieces of ``CHAIN`` tokens run side by side,
+and the messages between pieces come from a scan over the pieces' transfer matrices, so marginals do not
+depend on where a piece ends. A document's score is a logistic function of the expected number of toxic
+tokens and the greatest marginal, fitted on sample documents that the field has not seen.
 
 The fit uses a bounded sample (``max_toxic`` and ``max_clean`` different texts of at most ``max_chars``
 characters, chosen by a hash of the id); class shares are counted over all training labels. Scoring reads
-whole texts, in batches of chains, and needs the weight table only, one megabyte.
+whole texts, in batches of pieces, and needs the weight table only, one megabyte, and some 200 bytes a
+token of the longest text.
 """
 
 from __future__ import annotations
@@ -62,9 +64,9 @@ class Tagger(NamedTuple):
 
 
 def _chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For tokens of texts laid end to end: a matrix of token places by chain (-1 beyond the end), and its mask."""
+    """For tokens of texts laid end to end: a matrix of token places by piece (-1 beyond the end), and its mask."""
     starts = np.cumsum(sizes) - sizes
-    per = -(-sizes // CHAIN)
+    per = _pieces(sizes)
     first = np.repeat(starts, per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * CHAIN
     ends = np.repeat(starts + sizes, per)
     at = first[:, None] + np.arange(CHAIN)
@@ -72,37 +74,97 @@ def _chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(mask, at, 0), mask
 
 
-def forward_backward(emission: np.ndarray, mask: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic state by chain and token, and the expected counts of the four transitions.
+def _pieces(sizes: np.ndarray) -> np.ndarray:
+    return -(-sizes // CHAIN)
 
-    ``emission`` is the log weight of toxic over clean. The messages are scaled to sum to one.
+
+def _odds(emission: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(emission, -40, 40))
+
+
+def _transfers(emission: np.ndarray, mask: np.ndarray, linked: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """By piece, the matrix from the state before it to the state at its end, up to a factor: (2, 2, pieces).
+
+    A piece that is not ``linked`` begins a text and takes nothing from before.
+    """
+    odds = _odds(emission)
+    c2c, c2t, t2c, t2t = np.exp(pairs)
+    clean = np.where(linked, [[c2c], [t2c]], 1.0)
+    toxic = np.where(linked, [[c2t], [t2t]], 1.0) * odds[:, 0]
+    for t in range(1, emission.shape[1]):
+        live = mask[:, t]
+        if not live.any():
+            break
+        new_clean, new_toxic = clean * c2c + toxic * t2c, (clean * c2t + toxic * t2t) * odds[:, t]
+        total = (new_clean + new_toxic).sum(axis=0)
+        clean, toxic = np.where(live, new_clean / total, clean), np.where(live, new_toxic / total, toxic)
+    return np.stack([clean, toxic], axis=1)
+
+
+def _messages(moves: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward message into, and backward message at the end of, every piece: two of (2, pieces).
+
+    ``per`` is the number of pieces of each text; all texts take the same step at once.
+    """
+    before, after = np.full(moves.shape[1:], 0.5), np.ones(moves.shape[1:])
+    by_length = np.argsort(-per, kind="stable")
+    starts = (np.cumsum(per) - per)[by_length]
+    steps = range(1, int(per.max(initial=0)))
+    longer = np.searchsorted(-per[by_length], -np.arange(len(steps) + 1) - 1, "right")  # texts with more than j pieces
+    for j in steps:
+        own = starts[: longer[j]] + j
+        f = (before[:, None, own - 1] * moves[:, :, own - 1]).sum(axis=0)
+        before[:, own] = f / f.sum(axis=0)
+    for j in reversed(steps):
+        own = starts[: longer[j]] + j
+        b = (moves[:, :, own] * after[None, :, own]).sum(axis=1)
+        after[:, own - 1] = b / b.sum(axis=0)
+    return before, after
+
+
+def forward_backward(
+    emission: np.ndarray,
+    mask: np.ndarray,
+    pairs: np.ndarray,
+    linked: np.ndarray | None = None,
+    before: np.ndarray | None = None,
+    after: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic state by piece and token, and the expected counts of the four transitions.
+
+    ``emission`` is the log weight of toxic over clean. The messages are scaled to sum to one. A ``linked``
+    piece goes on from the message ``before`` it; ``after`` is the message at the piece's end. Without
+    these, each piece is a text.
     """
     n, length = emission.shape
-    odds = np.exp(np.clip(emission, -40, 40))
+    if linked is None:
+        linked, before, after = np.zeros(n, bool), np.ones((2, n)), np.ones((2, n))
+    odds = _odds(emission)
     c2c, c2t, t2c, t2t = np.exp(pairs)
-    ahead = np.empty((length, 2, n))
-    clean, toxic = np.ones(n), odds[:, 0]
+    ahead = np.empty((length + 1, 2, n))  # by token, from the one before the piece on
+    ahead[0] = clean, toxic = before
     for t in range(length):
-        if t:
-            clean, toxic = clean * c2c + toxic * t2c, (clean * c2t + toxic * t2t) * odds[:, t]
+        clean, toxic = clean * c2c + toxic * t2c, clean * c2t + toxic * t2t
+        if not t:
+            clean, toxic = np.where(linked, clean, 1.0), np.where(linked, toxic, 1.0)
+        toxic = toxic * odds[:, t]
         total = clean + toxic
         clean, toxic = clean / total, toxic / total
-        ahead[t] = clean, toxic
+        ahead[t + 1] = clean, toxic
     marginals, expected = np.empty((n, length)), np.zeros(4)
-    b_clean, b_toxic = np.ones(n), np.ones(n)
+    b_clean, b_toxic = after
     for t in range(length - 1, -1, -1):
-        clean, toxic = ahead[t]
+        clean, toxic = ahead[t + 1]
         p = toxic * b_toxic / (clean * b_clean + toxic * b_toxic)
-        marginals[:, t] = np.where(mask[:, t], p, 0.0)
-        if t:
-            e_clean, e_toxic = b_clean, b_toxic * odds[:, t]
-            live = mask[:, t]
-            was_clean, was_toxic = ahead[t - 1]
-            joint = np.stack([was_clean * c2c * e_clean, was_clean * c2t * e_toxic, was_toxic * t2c * e_clean, was_toxic * t2t * e_toxic])
-            expected += (joint / joint.sum(axis=0))[:, live].sum(axis=1)
-            new_clean, new_toxic = c2c * e_clean + c2t * e_toxic, t2c * e_clean + t2t * e_toxic
-            total = new_clean + new_toxic
-            b_clean, b_toxic = np.where(live, new_clean / total, 1.0), np.where(live, new_toxic / total, 1.0)
+        live = mask[:, t]
+        marginals[:, t] = np.where(live, p, 0.0)
+        e_clean, e_toxic = b_clean, b_toxic * odds[:, t]
+        was_clean, was_toxic = ahead[t]
+        joint = np.stack([was_clean * c2c * e_clean, was_clean * c2t * e_toxic, was_toxic * t2c * e_clean, was_toxic * t2t * e_toxic])
+        expected += (joint / joint.sum(axis=0))[:, live if t else linked].sum(axis=1)
+        new_clean, new_toxic = c2c * e_clean + c2t * e_toxic, t2c * e_clean + t2t * e_toxic
+        total = new_clean + new_toxic
+        b_clean, b_toxic = np.where(live, new_clean / total, 1.0), np.where(live, new_toxic / total, 1.0)
     return marginals, expected
 
 
@@ -121,12 +183,17 @@ def _seeds(texts: list[np.ndarray], toxic: np.ndarray, matrix: np.ndarray) -> np
     return marked[matrix].any(axis=1)
 
 
-def _all_chains(emission: np.ndarray, at: np.ndarray, mask: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals by token and expected transitions, over blocks of chains."""
+def _all_chains(emission: np.ndarray, at: np.ndarray, mask: np.ndarray, per: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals by token and expected transitions of whole texts, over blocks of pieces."""
+    linked = np.ones(len(at), bool)
+    linked[(np.cumsum(per) - per)[per > 0]] = False
+    blocks = [slice(i, i + 4096) for i in range(0, len(at), 4096)]
+    moves = np.concatenate([_transfers(emission[at[b]], mask[b], linked[b], pairs) for b in blocks], axis=2)
+    before, after = _messages(moves, per)
     marginals, expected = np.zeros(len(emission)), np.zeros(4)
-    for i in range(0, len(at), 4096):
-        own, live = at[i : i + 4096], mask[i : i + 4096]
-        p, moved = forward_backward(emission[own], live, pairs)
+    for b in blocks:
+        own, live = at[b], mask[b]
+        p, moved = forward_backward(emission[own], live, pairs, linked[b], before[:, b], after[:, b])
         marginals[own[live]] = p[live]
         expected += moved
     return marginals, expected
@@ -164,16 +231,17 @@ def fit(texts: list[str], labels: list[int], share: float, steps: int = 60) -> T
     tokens = np.concatenate([split[i] for i in chosen])
     wanted = (is_seed[tokens] & np.repeat(toxic[chosen] == 1, sizes)).astype(float)
     at, mask = _chains(sizes)
-    y, live = mask & (wanted[at] > 0), mask[:, 1:]
-    was, now = y[:, :-1], y[:, 1:]
-    had = np.array([(~was & ~now & live).sum(), (~was & now & live).sum(), (was & ~now & live).sum(), (was & now & live).sum()], float)
-    del y, live, was, now
+    y = wanted > 0
+    live = np.ones(len(y), bool)
+    live[np.cumsum(sizes) - sizes] = False  # the first token of a text follows none
+    had = np.bincount((2 * y[:-1] + y[1:])[live[1:]], minlength=4).astype(float)
+    del y, live
     weights, pairs = np.zeros(unused + 1), np.zeros(4)
     bias = _logit(max(wanted.mean(), 1e-6))
     sums = [np.full(unused + 1, 1e-8), 1e-8, np.full(4, 1e-8)]
     for _ in range(steps):  # Adagrad on the penalised log likelihood
         emission = (bias + weights[matrix].sum(axis=1))[tokens]
-        p, expected = _all_chains(emission, at, mask, pairs)
+        p, expected = _all_chains(emission, at, mask, _pieces(sizes), pairs)
         by_word = np.bincount(tokens, wanted - p, len(matrix))
         slope = np.bincount(matrix.ravel(), np.repeat(by_word, width), unused + 1) - 0.05 * weights
         slope[unused] = 0.0
@@ -231,7 +299,7 @@ def measure(tagger: Tagger, emissions: list[np.ndarray]) -> tuple[np.ndarray, np
     if not sizes.sum():
         return np.zeros(0), out
     at, mask = _chains(sizes)
-    marginals, _ = _all_chains(np.concatenate(emissions), at, mask, tagger.pairs)
+    marginals, _ = _all_chains(np.concatenate(emissions), at, mask, _pieces(sizes), tagger.pairs)
     some = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[some]
     out[some] = np.stack([np.add.reduceat(marginals, starts), np.maximum.reduceat(marginals, starts)], axis=1)

@@ -7,7 +7,7 @@ import pytest
 from conftest import ORACLE, SMALL
 
 from feedloom.llm.queries import QUERIES
-from feedloom.llm.toxicity import CHAIN, Emissions, _chains, fit, forward_backward, measure, score_toxicity, train_tagger, words_of
+from feedloom.llm.toxicity import CHAIN, Emissions, Tagger, _all_chains, _chains, _pieces, fit, forward_backward, measure, score_toxicity, train_tagger, words_of
 
 
 def test_forward_backward_matches_enumeration():
@@ -34,6 +34,33 @@ def test_forward_backward_matches_enumeration():
     assert not marginals[~mask].any()
 
 
+def test_pieces_of_a_text_pass_messages(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = [1, CHAIN, 5 * CHAIN + 3, 0, CHAIN + 1, 3 * CHAIN]
+    emissions = [rng.normal(size=n) * 3 for n in sizes]
+    tagger = Tagger(np.zeros(0), 0.0, rng.normal(size=4) * 2, np.zeros(3))
+    full = [n for n in sizes if n]
+    cut = [_all_chains(np.concatenate(emissions), *_chains(np.array(sizes)), _pieces(np.array(sizes)), tagger.pairs), *measure(tagger, emissions)]
+    monkeypatch.setattr("feedloom.llm.toxicity.CHAIN", max(sizes))
+    at, mask = _chains(np.array(full))
+    whole, expected = forward_backward(np.concatenate(emissions)[at], mask, tagger.pairs)
+    assert cut[0][0] == pytest.approx(whole[mask]) and cut[0][1] == pytest.approx(expected)
+    assert cut[1] == pytest.approx(whole[mask])
+    assert cut[2][[0, 1, 2, 4, 5], 0] == pytest.approx(whole.sum(axis=1)) and not cut[2][3].any()
+
+
+def test_marginals_of_a_span_do_not_depend_on_its_place():
+    pairs = np.array([2.0, -2.0, -2.0, 2.0])
+    tagger = Tagger(np.zeros(0), 0.0, pairs, np.zeros(3))
+    for place in range(100, 100 + CHAIN):
+        emission = np.full(400, -1.0)
+        emission[place : place + 3] = 3.0
+        marginals, _ = measure(tagger, [emission])
+        if place == 100:
+            first = marginals[place - 5 : place + 8]
+        assert marginals[place - 5 : place + 8] == pytest.approx(first, abs=1e-9)
+
+
 def test_spans_and_scores_follow_the_words(spark):
     rng = np.random.default_rng(2)
     fill = [f"w{i}" for i in range(300)]
