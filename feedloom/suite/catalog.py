@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,12 @@ def _filled(spark, sf_dir) -> DataFrame:
     return out
 
 
+def _counts(spark, sf_dir) -> DataFrame:
+    """Rows of every table, from the files' footers."""
+    parts = [table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(n)) for _, n in ALL]
+    return reduce(DataFrame.unionAll, parts)
+
+
 COLUMNS = {
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
@@ -68,7 +77,7 @@ _COUNTS_SQL = union_sql([f"SELECT '{n}' AS t, count(*) AS rows FROM {n}" for _,
 )
 def catalog_inventory(spark, sf_dir):
     listed = catalog.inventory(_catalog(spark, sf_dir), max_columns=6)
-    rows = _filled(spark, sf_dir).groupBy("table").agg(F.max("rows").alias("rows"))
+    rows = _counts(spark, sf_dir)
     joined = listed.join(rows, "table")
     return joined.select("schema", "table", F.array_join("columns", ",").alias("columns"), "column_count", "rows")
 
@@ -179,7 +188,26 @@ FEEDS = {
 }
 
 
-@query("foreign_key_candidates")
+NAMES = sorted({n for _, columns in FEEDS.values() for n in columns.values()})
+#: Every pair of names with its ratio, as brute force has it.
+RATIOS = ", ".join(f"('{a}', '{b}', {SequenceMatcher(None, a, b).ratio()!r}::DOUBLE)" for a in NAMES for b in NAMES)
+MEASURED = union_sql([
+    f"SELECT '{feed}' AS feed, '{n}' AS name, count(*) AS rows, count(DISTINCT {c}) AS u, count(*) - count({c}) AS nulls FROM {source}"
+    for feed, (source, columns) in FEEDS.items() for c, n in columns.items()
+])
+
+
+@query(
+    "foreign_key_candidates",
+    f"""
+    WITH m AS ({MEASURED}), r(own, other, ratio) AS (VALUES {RATIOS}),
+    p AS (SELECT *, (u = rows AND nulls = 0) OR (u * 100.0 / rows >= 98.0 AND nulls * 100.0 / rows <= 5.0) AS is_key FROM m)
+    SELECT p.feed, p.name AS "column", row_number() OVER w AS rank, o.feed AS other_feed, o.name AS other_column, round(r.ratio, 3) AS similarity
+    FROM p JOIN r ON r.own = p.name JOIN m o ON o.name = r.other AND o.feed <> p.feed
+    WHERE NOT p.is_key AND list_contains(string_split(p.name, '_'), 'id') AND r.ratio >= 0.78
+    WINDOW w AS (PARTITION BY p.feed, p.name ORDER BY round(r.ratio, 3) DESC, o.feed, o.name) QUALIFY row_number() OVER w <= 5
+    """,
+)
 def foreign_keys(spark, sf_dir):
     profiles = None
     for feed, (name, columns) in FEEDS.items():

@@ -511,3 +511,56 @@ def refreshed_profile(spark, sf_dir):
         events.where(half).write.mode("append").parquet(folder)
         merged = refresh.refresh_profile(spark, folder, events.schema, state, mark)
     return merged.select("column", "rows", "nulls", "min", "max", F.round("mean", 4).alias("mean"))
+
+
+@query(
+    "refreshed_feed_compacted",
+    """
+    SELECT user_id, event_type, event_id FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 DESC, event_id DESC) = 1
+    """,
+)
+def refreshed_feed_compacted(spark, sf_dir):
+    """As by key, but each batch is merged into its key buckets; a batch that comes again changes nothing."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    folder, root, mark = (session.scratch_path(spark, n) for n in ("incoming", "compacted", "mark"))
+    halves = [events.where(F.col("event_id") % 2 == half) for half in (0, 1)]
+    for half in halves:
+        half.write.mode("append").parquet(folder)
+        refresh.refresh_keyed(spark, folder, events.schema, root, mark, ["user_id"], ["event_id"])
+    refresh.merge_batch(halves[0], 0, root, ["user_id"], ["event_id"])
+    return snapshots.read_snapshot(spark, root)
+
+
+@query(
+    "refreshed_sketches",
+    """
+    WITH e AS (SELECT event_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)
+    SELECT 'event_id' AS "column", count(*) > 0 AS median_near, count(*) > 0 AS distinct_near, NULL AS top FROM e
+    UNION ALL SELECT 'value', count(value) > 0, count(value) > 0, NULL FROM e
+    UNION ALL SELECT 'event_type', NULL, count(*) > 0, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) FROM (
+      SELECT event_type, count(*) AS n FROM e WHERE event_type IS NOT NULL GROUP BY 1)
+    """,
+)
+def refreshed_sketches(spark, sf_dir):
+    """Merged sketches of three batches against all rows: ranks within 0.01 of the middle, distinct counts within a twentieth."""
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "CASE WHEN event_type <> 'error' THEN value END AS value", "event_type"
+    )
+    folder, state, mark = (session.scratch_path(spark, n) for n in ("incoming", "state", "mark"))
+    for part in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(folder)
+        merged = refresh.refresh_profile(spark, folder, events.schema, state, mark)
+    merged = session.materialize(merged, "merged")
+    found = {r["column"]: r for r in merged.collect()}  # a row per column
+    tests = []
+    for name in ("event_id", "value", "event_type"):
+        middle, share = found[name]["approx_median"], F.lit(None).cast("boolean")
+        if middle is not None:
+            rows = F.count(name)
+            share = (F.count_if(F.col(name) < middle) <= 0.51 * rows) & (F.count_if(F.col(name) <= middle) >= 0.49 * rows)
+        near = F.abs(F.count_distinct(name) - F.lit(found[name]["approx_unique"])) <= 0.05 * F.count_distinct(name)
+        tests.append(events.agg(share.alias("median_near"), near.alias("distinct_near")).withColumn("column", F.lit(name)))
+    top = F.array_join(F.transform("top_values", lambda v: F.concat_ws(":", v["label"], v["count"])), ",")
+    shown = merged.select("column", F.when(F.col("column") == "event_type", top).alias("top"))
+    return tests[0].unionAll(tests[1]).unionAll(tests[2]).join(shown, "column").select("column", "median_near", "distinct_near", "top")

@@ -8,6 +8,7 @@ from feedloom.operators.profile import column_profile
 from feedloom.operators.steps import TransformDefinition
 from feedloom.plans import analysis, jobs, questions, sqlguard
 from feedloom.sources.catalog import catalog_columns
+from feedloom.sources.snapshots import read_snapshot, snapshots
 from feedloom.streaming import refresh
 
 
@@ -173,3 +174,34 @@ def test_merged_profile_equals_batch_profile(spark, tmp_path):
         want = exact[r["column"]]
         assert [r[c] for c in ("rows", "nulls", "min", "max")] == [want[c] for c in ("rows", "nulls", "min", "max")]
         assert abs(r["approx_unique"] - want["unique_count"]) <= max(1, 0.05 * want["unique_count"])
+
+
+def test_merged_sketches_of_hard_columns(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'v' || id END AS word", "CAST(NULL AS DOUBLE) AS none",
+        "repeat('x', 300) || id % 2 AS long", "id % 101 AS n",
+    )
+    folder = str(tmp_path / "in")
+    for half in ("n < 50", "n >= 50"):
+        rows.where(half).write.mode("append").parquet(folder)
+        merged = refresh.refresh_profile(spark, folder, rows.schema, str(tmp_path / "state"), str(tmp_path / "mark"))
+    found = {r["column"]: r for r in merged.collect()}
+    hot = found["word"]["top_values"][0]
+    assert hot["label"] == "hot" and 0 <= hot["count"] - 6667 <= 20
+    assert found["none"]["approx_median"] is None and found["none"]["top_values"] == []
+    assert abs(found["n"]["approx_median"] - 50) <= 2
+    assert sorted(v["count"] for v in found["long"]["top_values"]) == [10_000, 10_000]
+    assert all(len(v["label"]) == refresh.LONGEST_LABEL for v in found["long"]["top_values"])
+
+
+def test_keyed_refresh_compacts_and_repeats_nothing(spark, tmp_path):
+    folder, root, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (1, "c")], "k int, v string")
+    second = spark.createDataFrame([(2, "a"), (None, "m")], "k int, v string")
+    for batch in (first, second):
+        batch.write.mode("append").parquet(folder)
+        for _ in range(2):
+            refresh.refresh_keyed(spark, folder, batch.schema, root, mark, ["k"])
+    refresh.merge_batch(first, 0, root, ["k"])
+    assert {tuple(r) for r in read_snapshot(spark, root).collect()} == {(1, "c"), (2, "a"), (None, "m")}
+    assert [r["label"] for r in snapshots(spark, root).orderBy("snapshot").collect()] == ["batch 0", "batch 1"]
