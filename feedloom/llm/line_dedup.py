@@ -43,7 +43,8 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     Documents are told apart by id and text, so a row that repeats counts as one document.
     """
     whole = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    split = whole.select("_id", F.xxhash64("_text").alias("_text_hash"), F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
+    whole = whole.withColumn("_text_hash", F.xxhash64("_text"))  # before the split, else each line hashes the whole text
+    split = whole.select("_id", "_text_hash", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
     words = F.size(F.split(F.regexp_replace("_line", rf"^{SPACES}|{SPACES}$", ""), SPACES))
     full = split.filter(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
     return full.select("_id", "_text_hash", "line", F.xxhash64("_line").alias("h1"), F.hash("_line").alias("h2"), words.alias("words"))
@@ -143,10 +144,12 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     intervals = runs.groupBy("size", "a", "b").agg(F.min(start).alias("first"), F.count("*").alias("times")).filter("times > 1")
     intervals = materialize(intervals, "intervals").withColumnsRenamed({"size": "ks", "a": "ka", "b": "kb"})
     same = (F.col("size") == F.col("ks")) & (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb"))
-    later = runs.join(intervals, same).filter(start != F.col("first")).select("sid", "off", "size")
-    spans = later.groupBy("sid").agg(F.collect_set(F.struct("off", "size")).alias("spans"))
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.slice("_lines", s["off"].cast("int") + 1, s["size"].cast("int")))))
-    later = ranked.join(spans, "sid").withColumn("_lines", F.transform("at", lambda a: a["line"])).select("_id", "_text_hash", gone.alias("lines"))
+    later = runs.join(intervals, same).filter(start != F.col("first")).select("sid", "off", (F.col("off") + F.col("size")).alias("end"))
+    earlier = Window.partitionBy("sid").orderBy("off", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = later.withColumn("from", F.greatest("off", F.max("end").over(earlier))).filter("from < end")  # each line once
+    covered = fresh.select("sid", F.explode(F.sequence("from", F.col("end") - 1)).alias("off")).groupBy("sid").agg(F.collect_list("off").alias("offs"))
+    line_at = F.transform("offs", lambda i: F.get("at", i.cast("int"))["line"])
+    later = ranked.join(covered, "sid").select("_id", "_text_hash", line_at.alias("lines"))
     return copies.union(later).groupBy("_id", "_text_hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
 
 
