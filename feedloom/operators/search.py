@@ -124,8 +124,8 @@ def _scan(corpus: DataFrame, block, k: int, probes=None, cell_of=None, read: Rea
     return corpus.mapInPandas(score, RESULT_SCHEMA)
 
 
-def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int, count: int, row_bytes: int, read: Reader) -> DataFrame:
-    """Per pair of blocks the k best corpus rows of each query.
+def _by_blocks(corpus: DataFrame, queries: DataFrame, dim: int, count: int, row_bytes: int, score, schema: str = RESULT_SCHEMA) -> DataFrame:
+    """``score`` (rows, asked) of every pair of blocks.
 
     A row's block follows from its content, so a task that runs again deals the same rows. Both numbers
     of blocks follow from counts; a group holds one block of each side.
@@ -137,6 +137,14 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int, count: i
         number = F.pmod(F.xxhash64(*df.columns), F.lit(n_own)).alias(own)
         return df.select("*", number, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
 
+    left = dealt(corpus, "corpus_block", n_corpus, "query_block", n_queries).groupBy("corpus_block", "query_block")
+    right = dealt(queries, "query_block", n_queries, "corpus_block", n_corpus).groupBy("corpus_block", "query_block")
+    return left.cogroup(right).applyInPandas(score, schema)
+
+
+def _best_of_block(k: int, dim: int, read: Reader):
+    """Scores a pair of blocks: the k best corpus rows of each query."""
+
     def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asked.empty:
             return _named(_no_rows(), np.array([], np.int64))
@@ -144,9 +152,16 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int, count: i
         _, unit = unit_rows(asked["vector"], dim)
         return _named(_nearer(_no_rows(), rows["id"].to_numpy()[usable], matrix, unit, k), asked["query_id"].to_numpy())
 
-    left = dealt(corpus, "corpus_block", n_corpus, "query_block", n_queries).groupBy("corpus_block", "query_block")
-    right = dealt(queries, "query_block", n_queries, "corpus_block", n_corpus).groupBy("corpus_block", "query_block")
-    return left.cogroup(right).applyInPandas(score, RESULT_SCHEMA)
+    return score
+
+
+def _query_size(queries: DataFrame) -> tuple[int, int]:
+    """(length, number) of the query vectors, which must have one length."""
+    size = F.size("vector")
+    least, dim, count = queries.agg(F.min(size), F.max(size), F.count(F.lit(1))).first()
+    if least != dim:
+        raise ValueError(f"query vectors differ in length: {least} and {dim}")
+    return dim, count
 
 
 def search_rows(corpus: DataFrame, queries: DataFrame, k: int, read: Reader | None = None, row_bytes: int | None = None) -> DataFrame:
@@ -155,18 +170,60 @@ def search_rows(corpus: DataFrame, queries: DataFrame, k: int, read: Reader | No
     ``corpus`` is (id, vector), ``queries`` (query_id, vector). All query vectors must have one length.
     """
     queries = queries.where(F.col("vector").isNotNull())
-    size = F.size("vector")
-    least, dim, count = queries.agg(F.min(size), F.max(size), F.count(F.lit(1))).first()
+    dim, count = _query_size(queries)
     if not count:
         return queries.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank int")
-    if least != dim:
-        raise ValueError(f"query vectors differ in length: {least} and {dim}")
     if count * dim * 8 <= BLOCK_BYTES:
         asked = queries.collect()  # at most BLOCK_BYTES of vectors
         block = np.array([r[0] for r in asked]), np.array([r[1] for r in asked], dtype=np.float64)
         return _best_rows(_scan(corpus, block, k, read=read), k)
     read = read or partial(unit_rows, dim=dim)
-    return _best_rows(_by_blocks(corpus, queries, k, dim, count, row_bytes or dim * 8, read), k)
+    return _best_rows(_by_blocks(corpus, queries, dim, count, row_bytes or dim * 8, _best_of_block(k, dim, read)), k)
+
+
+#: Turns a column of stored vectors into (matrix, how much nearer than measured each row may be).
+SlackReader = Callable[[pd.Series], tuple[np.ndarray, np.ndarray]]
+
+WITHIN_SCHEMA = "query_id bigint, id bigint"
+
+
+def _within(ids: np.ndarray, rows: np.ndarray, slack: np.ndarray, query_ids: np.ndarray, unit: np.ndarray, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
+    step = max(1, 4_000_000 // max(1, len(unit)))
+    for start in range(0, len(rows), step):
+        part = slice(start, start + step)
+        r, q = np.nonzero(1.0 - rows[part] @ unit.T - slack[part, None] <= bounds)
+        yield pd.DataFrame({"query_id": query_ids[q], "id": ids[part][r]})
+
+
+def rows_within(corpus: DataFrame, queries: DataFrame, read: SlackReader, row_bytes: int) -> DataFrame:
+    """(query_id, id): every row that, its slack allowed, is as near to a query as that query's bound.
+
+    ``corpus`` is (id, vector), ``queries`` (query_id, vector, bound), and ``read`` turns the column into a
+    matrix and a slack per row. Rows go on as they are found; nothing is gathered.
+    """
+    queries = queries.where("vector IS NOT NULL AND bound IS NOT NULL")
+    dim, count = _query_size(queries)
+    if not count:
+        return queries.sparkSession.createDataFrame([], WITHIN_SCHEMA)
+    if count * dim * 8 <= BLOCK_BYTES:
+        asked = queries.select("query_id", "vector", "bound").collect()  # at most BLOCK_BYTES of vectors
+        query_ids, vectors, bounds = (np.array(column) for column in zip(*asked))
+        shipped = corpus.sparkSession.sparkContext.broadcast((query_ids, _unit(vectors.astype(np.float64)), bounds))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield from _within(batch["id"].to_numpy(), *read(batch["vector"]), *shipped.value)
+
+        return corpus.mapInPandas(scan, WITHIN_SCHEMA)
+
+    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asked.empty:
+            return pd.DataFrame({"query_id": np.array([], np.int64), "id": np.array([], np.int64)})
+        _, unit = unit_rows(asked["vector"], dim)
+        of_block = asked["query_id"].to_numpy(), unit, asked["bound"].to_numpy()
+        return pd.concat(_within(rows["id"].to_numpy(), *read(rows["vector"]), *of_block))
+
+    return _by_blocks(corpus, queries.select("query_id", "vector", "bound"), dim, count, row_bytes, score, WITHIN_SCHEMA)
 
 
 def named_vectors(df: DataFrame, key: str) -> DataFrame:

@@ -238,6 +238,36 @@ def test_quantised_index_of_few_rows(spark, tmp_path):
     assert quantised.shortlist(index, queries, 5).count() == 0
 
 
+def test_quantised_recall_does_not_fall_with_the_rows(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    # twelve copies of each vector, so that a fixed short list holds four different ones
+    made = np.repeat(rng.normal(size=(2500, 64)), 12, axis=0)
+    corpus = vectors_frame(spark, [(i, v.tolist()) for i, v in enumerate(made)], "id")
+    queries = vectors_frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 64)))], "query_id")
+    index = quantised.write_quantised(corpus, str(tmp_path / "index"), quantised.fit_codebook(corpus, 64))
+    exact = found(search.nearest(corpus, queries, 10))
+
+    def recall(near):
+        return sum(len(set(found(near)[q]) & set(exact[q])) for q in exact) / 200
+
+    assert recall(quantised.rerank(index, quantised.shortlist(index, queries, 50), queries, 10)) < 0.9
+    assert recall(quantised.nearest_quantised(index, queries, 10)) >= 0.98
+    assert found(quantised.nearest_quantised(index, queries, 10, margin=None)) == exact
+
+
+def test_rows_in_reach_by_blocks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    corpus = vectors_frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))], "id")
+    queries = vectors_frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 8)))], "query_id")
+    index = quantised.write_quantised(corpus, str(tmp_path / "index"), quantised.fit_codebook(corpus.limit(20), 8, 2), blocks=2)
+    bounded = queries.withColumn("bound", F.when(F.col("query_id") < 8, F.col("query_id") / 8))
+    want = sorted(map(tuple, quantised.rows_in_reach(index, bounded).collect()))
+    monkeypatch.setattr(search, "BLOCK_BYTES", 4 * 8 * 8)
+    by_blocks = quantised.rows_in_reach(index, bounded)
+    assert "CoGroup" in by_blocks._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, by_blocks.collect())) == want and len(want) > 60
+
+
 def test_encoder_puts_like_texts_together(spark):
     docs = spark.createDataFrame(
         [(1, "login failed for user"), (2, "invoice total is wrong"), (3, "user login failed again"), (4, None)],
