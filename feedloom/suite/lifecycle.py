@@ -17,7 +17,7 @@ from feedloom.plans import ingest, jobs
 from feedloom.sources import files, sinks, snapshots, versions, workbook
 from feedloom.streaming import refresh
 from feedloom.suite.profiling import iso_sql
-from feedloom.suite.registry import query, table
+from feedloom.suite.registry import dealt_anew, query, table
 
 
 @query(
@@ -116,8 +116,8 @@ def file_listing(spark, sf_dir):
 @query("table_fingerprint", "SELECT count(*) AS rows, true AS same_in_any_order, false AS same_after_a_change FROM lineitem")
 def table_fingerprint(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    moved = items.repartition(7, "l_partkey")
-    first = items.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("k")).select("k.*").first()
+    first = items.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("k"), F.count(F.lit(1)).alias("n")).select("k.*", "n").first()
+    moved = dealt_anew(items, first["n"], 7, "l_partkey", "l_orderkey")
     hit = (F.col("l_orderkey") == first[0]) & (F.col("l_linenumber") == first[1])
     changed = items.withColumn("l_quantity", F.when(hit, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
     one, two, three = (files.table_fingerprint(df).withColumnRenamed("digest", f"d{i}") for i, df in enumerate((items, moved, changed)))
@@ -183,7 +183,7 @@ def ingested_feed(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     closed = orders.where("o_orderstatus <> 'P'")
     steps = [
-        ingest.ingest(closed, root, "orders"), ingest.ingest(closed.repartition(3, "o_custkey"), root, "orders"),
+        ingest.ingest(closed, root, "orders"), ingest.ingest(dealt_anew(closed, closed.count(), 3, "o_custkey"), root, "orders"),
         ingest.ingest(orders, root, "orders"), ingest.ingest(orders, root, "orders", confirmed=True),
     ]
     rows = [

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators import drift, profile
-from feedloom.suite.registry import query, table, union_sql
+from feedloom.suite.registry import dealt_anew, query, table, union_sql
 
 # The given tables hold no missing values, so both sides derive some.
 LINES = {
@@ -283,7 +283,7 @@ def profile_sample(spark, sf_dir):
     """A sample's profile: its size, values no more than the table has, and the same when it is drawn again."""
     orders = table(spark, sf_dir, "orders")
     found = profile.column_profile(orders, sample=5000).select("column", "rows", "unique_count")
-    again = profile.column_profile(orders.repartition(5), sample=5000).select("column", F.col("unique_count").alias("again"))
+    again = profile.column_profile(dealt_anew(orders, orders.count(), 5), sample=5000).select("column", F.col("unique_count").alias("again"))
     whole = profile.column_profile(orders, medians=False, samples=0, top_k=0).select("column", F.col("unique_count").alias("whole"))
     return found.join(again, "column").join(whole, "column").select(
         "column", "rows", (F.col("unique_count") <= F.col("whole")).alias("within"),

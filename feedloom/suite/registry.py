@@ -28,5 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a part of a table that is dealt anew.
+PART_ROWS = 500_000
+
+
+def dealt_anew(df: DataFrame, rows: int, least: int, *keys: str) -> DataFrame:
+    """``df`` in another order, in as many parts as its number of rows needs, but at least so many."""
+    return df.repartition(max(least, -(-rows // PART_ROWS)), *keys)
+
+
 def union_sql(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
