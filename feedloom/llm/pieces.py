@@ -38,8 +38,10 @@ SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Chunks up to so many characters are summed up without logarithms: 32,000^-60 is still a float.
 LINEAR_CHARS = 60
-#: Characters of texts that a worker takes at once; their distinct chunks share one set of lattices.
-BATCH_CHARS = 1_500_000
+#: Characters of texts that a worker takes at once.
+BATCH_CHARS = 400_000
+#: Chunks that a task keeps from batch to batch, with their lattices and ids.
+KNOWN_CHUNKS = 100_000
 #: Chunks of texts that are sampled together.
 SAMPLER_CHUNKS = 200_000
 
@@ -81,6 +83,11 @@ class Vocabulary:
         self.byte_weight = -float(np.log(len(usable) + 1))
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(model: str) -> Vocabulary:
+    return Vocabulary(model)
+
+
 def _extended(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Hashes of strings after one more character."""
     with np.errstate(over="ignore"):
@@ -93,7 +100,7 @@ class Lattices:
     Chunks are given without their first space mark.
 
     Edges are in order of their node: ``target``, ``piece`` (a vocabulary id, or minus one minus the
-    character that goes byte by byte), ``log_p`` (given the node) and ``cdf``.
+    character that goes byte by byte) and ``p`` (given the node). ``heads`` are the chunks' first nodes.
     """
 
     def __init__(self, chunks: list[str], vocabulary: Vocabulary):
@@ -104,7 +111,8 @@ class Lattices:
         chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
         at = np.arange(len(codes), dtype=np.int32)
         left = np.repeat(np.cumsum(sizes).astype(np.int32), sizes) - at  # characters to the chunk's end
-        self.roots = dict(zip(names, (np.cumsum(sizes) - sizes + np.arange(len(chunks))).tolist()))
+        self.heads = np.cumsum(sizes) - sizes + np.arange(len(chunks))
+        self.roots = dict(zip(names, self.heads.tolist()))
         found_at, found_size, found_piece = [], [], []
         live, hashes = at, np.zeros(len(codes), np.uint64)
         for size in range(1, max(vocabulary.by_length) + 1):
@@ -163,13 +171,42 @@ class Lattices:
             of_node[node] = np.repeat(~short, sizes)
             long = of_node[owner]
             p[long] = np.exp(weight + logs[self.target] - logs[owner])[long]
-        self.log_p = np.log(p)
-        self.cdf = p
-        degree = self.last - self.first
-        for j in range(1, int(np.max(degree, initial=1))):  # sums within each node only, whatever stands beside it
-            edges = self.first[degree > j] + j
-            self.cdf[edges] += self.cdf[edges - 1]
-        self.cdf[self.last[degree > 0] - 1] = 2.0
+        self.p = p
+
+    def roots_of(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """How many chunks each text has, and the first nodes of all of them."""
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        return sizes, np.fromiter(map(self.roots.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+
+    def log_p(self, edges: np.ndarray) -> np.ndarray:
+        return np.log(self.p[edges])
+
+    def add(self, other: Lattices) -> None:
+        """Lay other chunks' lattices behind these."""
+        nodes, edges = len(self.first), len(self.p)
+        self.heads = np.concatenate((self.heads, other.heads + nodes))
+        self.roots.update(zip(other.roots, (other.heads + nodes).tolist()))
+        self.first = np.concatenate((self.first, other.first + np.int32(edges)))
+        self.last = np.concatenate((self.last, other.last + np.int32(edges)))
+        self.target = np.concatenate((self.target, other.target + np.int32(nodes)))
+        self.piece = np.concatenate((self.piece, other.piece))
+        self.p = np.concatenate((self.p, other.p))
+
+    def keep(self, chunks: np.ndarray) -> None:
+        """Leave only the chunks of these rising numbers."""
+        names = list(self.roots)
+        ends = np.append(self.heads[1:], len(self.first))
+        edge_heads = self.first[self.heads].astype(np.int64)
+        edge_ends = np.append(edge_heads[1:], len(self.p))
+        n_nodes, n_edges = (ends - self.heads)[chunks], (edge_ends - edge_heads)[chunks]
+        nodes, edges = _ranges(self.heads[chunks], n_nodes), _ranges(edge_heads[chunks], n_edges)
+        heads, new_edge_heads = np.cumsum(n_nodes) - n_nodes, np.cumsum(n_edges) - n_edges
+        back = np.repeat(new_edge_heads - edge_heads[chunks], n_nodes).astype(np.int32)
+        self.first, self.last = self.first[nodes] + back, self.last[nodes] + back
+        self.target = self.target[edges] + np.repeat(heads - self.heads[chunks], n_edges).astype(np.int32)
+        self.piece, self.p = self.piece[edges], self.p[edges]
+        self.heads = heads
+        self.roots = dict(zip([names[i] for i in chunks.tolist()], heads.tolist()))
 
     def _sum_up(self, ends: np.ndarray, sizes: np.ndarray, weight: np.ndarray, sums: np.ndarray, logs: bool) -> None:
         order = np.argsort(-sizes, kind="stable")
@@ -189,11 +226,14 @@ class Lattices:
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, by its probability."""
-        edges = self.first[nodes]
-        further = np.flatnonzero(self.cdf[edges] <= u)
-        while len(further):  # a node's last edge ends beyond 1
+        edges, end = self.first[nodes], self.last[nodes] - 1
+        sums = self.p[edges]
+        further = np.flatnonzero((sums <= u) & (edges < end))
+        while len(further):  # a node's last edge takes what is left
             edges[further] += 1
-            further = further[self.cdf[edges[further]] <= u[further]]
+            at = edges[further]
+            sums[further] += self.p[at]
+            further = further[(sums[further] <= u[further]) & (at < end[further])]
         return edges
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,13 +285,12 @@ class _Paths(NamedTuple):
 class Sampler:
     """Samples the rows of a batch in step: each pop serves every row that has segmentations left."""
 
-    def __init__(self, lattices: Lattices, split: list[list[str]], keys: np.ndarray):
+    def __init__(self, lattices: Lattices, sizes: np.ndarray, roots: np.ndarray, keys: np.ndarray):
         self.lattices, self.keys = lattices, keys
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
         self.chunks_end = np.cumsum(sizes)
-        self.roots = np.fromiter(map(lattices.roots.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        self.row_of_chunk = np.repeat(np.arange(len(split)), sizes)
-        self._fixed = [np.zeros(len(split), np.int64)]  # by pop and row: the step at which its path left another
+        self.roots = roots
+        self.row_of_chunk = np.repeat(np.arange(len(sizes)), sizes)
+        self._fixed = [np.zeros(len(sizes), np.int64)]  # by pop and row: the step at which its path left another
 
     def _walk(self, pop: int, chunk: np.ndarray, node: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, ...]:
         """Freely drawn edges from the nodes on to their chunks' ends: chunk, node, edge, depth, in text order."""
@@ -283,7 +322,7 @@ class Sampler:
 
     def run(self, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
         lattices, rows = self.lattices, len(self.keys)
-        log_p, first, last = lattices.log_p, lattices.first, lattices.last
+        first, last = lattices.first, lattices.last
         paths: list[_Paths] = []
         values: list[np.ndarray] = []  # by pop and step: of the other ways to go on from there
         shut: list[np.ndarray] = []  # by pop and row: edges taken before at the branching node
@@ -296,17 +335,18 @@ class Sampler:
         for pop in range(1, k + 1):
             sizes = np.diff(path.starts)
             row = np.repeat(np.arange(rows), sizes)
-            sums = np.concatenate(([0.0], np.cumsum(log_p[path.edge])))
+            log_p = lattices.log_p(path.edge)
+            sums = np.concatenate(([0.0], np.cumsum(log_p)))
             before = sums[:-1] - sums[path.starts[row]]
             some = np.flatnonzero(sizes)
             whole = np.zeros(rows)
             if len(some):
-                whole[some] = np.add.reduceat(log_p[path.edge], path.starts[some])
+                whole[some] = np.add.reduceat(log_p, path.starts[some])
             score = np.vstack([score, np.where(alive, whole, -np.inf)])
             popped = np.vstack([popped, np.where(alive, value, -np.inf)])
             within = np.arange(len(row)) - path.starts[row]
             with np.errstate(divide="ignore", invalid="ignore"):
-                rest = np.log(-np.expm1(np.minimum(log_p[path.edge], -0.0)))
+                rest = np.log(-np.expm1(np.minimum(log_p, -0.0)))
                 rest[last[path.node] - first[path.node] == 1] = -np.inf
                 branch = np.flatnonzero((within == fixed[row]) & (taken[row] >= 0).any(axis=1)) if taken.shape[1] else np.zeros(0, np.int64)
                 rest[branch] = self._others(path.node[branch], np.column_stack([taken[row[branch]], path.edge[branch]]))[1]
@@ -346,7 +386,7 @@ class Sampler:
         owner = np.repeat(np.arange(len(nodes)), degree)
         open_ = ~(closed[owner] == edges[:, None]).any(axis=1)
         mass = np.full(len(nodes), -np.inf)
-        np.logaddexp.at(mass, owner[open_], self.lattices.log_p[edges[open_]])
+        np.logaddexp.at(mass, owner[open_], self.lattices.log_p(edges[open_]))
         return (edges[open_], owner[open_]), mass
 
     def _branched(self, pop, paths, values, shut, chosen, step, alive) -> tuple[_Paths, np.ndarray]:
@@ -369,7 +409,7 @@ class Sampler:
             prefix.append(np.stack([own.chunk[picks], own.node[picks], own.edge[picks], own.depth[picks]]))
         taken[live, pop - 2] = edge
         (edges, owner), mass = self._others(node, taken[live])
-        weights = np.exp(self.lattices.log_p[edges] - mass[owner])
+        weights = np.exp(self.lattices.log_p(edges) - mass[owner])
         sums = np.cumsum(weights)
         starts = np.searchsorted(owner, np.arange(len(live)))
         ends = np.searchsorted(owner, np.arange(len(live)), side="right")
@@ -401,6 +441,57 @@ class Sampler:
         return out
 
 
+class KnownChunks:
+    """Lattices and the model's own ids of the chunks met so far.
+
+    No piece crosses from one chunk to the next, so the ids of a text are those of its chunks. Beyond
+    ``KNOWN_CHUNKS`` the chunks that only one batch had are forgotten; they are made anew when met again.
+    """
+
+    def __init__(self, model: str):
+        self.own, self.vocabulary = processor(model), vocabulary_of(model)
+        self.lattices = Lattices([], self.vocabulary)
+        self.uses = np.zeros(0, np.int32)
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def meet(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Know all chunks of a batch: how many chunks each text has, and the first nodes of all of them."""
+        if len(self.uses) > KNOWN_CHUNKS:
+            self._forget()
+        new = list(set().union(*split).difference(self.lattices.roots))
+        if new:
+            self.lattices.add(Lattices(new, self.vocabulary))
+            # a lone space mark is no text of its own
+            encoded = [e if c else [self.own.piece_to_id(SPACE)] for c, e in zip(new, self.own.encode(new, num_threads=1))]
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            more = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+            self.ends = np.concatenate((self.ends, len(self.ids) + np.cumsum(sizes)))
+            self.ids = np.concatenate((self.ids, more))
+            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int32)))
+        per_text, roots = self.lattices.roots_of(split)
+        met = np.zeros(len(self.lattices.first), bool)
+        met[roots] = True
+        self.uses += met[self.lattices.heads]
+        return per_text, roots
+
+    def encode(self, per_text: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and each text's end."""
+        number = np.zeros(len(self.lattices.first), np.int32)
+        number[self.lattices.heads] = np.arange(len(self.uses))
+        numbers = number[roots]
+        sizes = np.diff(self.ends, prepend=0)[numbers]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(per_text)]
+        return self.ids[_ranges(self.ends[numbers] - sizes, sizes)], ends
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.uses > 1)
+        sizes = np.diff(self.ends, prepend=0)[kept]
+        self.ids = self.ids[_ranges(self.ends[kept] - sizes, sizes)]
+        self.ends = np.cumsum(sizes)
+        self.lattices.keep(kept)
+        self.uses = np.maximum(self.uses[kept] // 2, 1)
+
+
 def sample_segmentations(texts: list[str], k: int, keys: np.ndarray, vocabulary: Vocabulary) -> list[list[tuple[np.ndarray, float, float]]]:
     """Of every text up to ``k`` distinct segmentations, best perturbed value first.
 
@@ -409,12 +500,17 @@ def sample_segmentations(texts: list[str], k: int, keys: np.ndarray, vocabulary:
     """
     split = [chunks_of(t) for t in texts]
     lattices = Lattices(list(set().union(*split)), vocabulary)
+    return _sampled(lattices, *lattices.roots_of(split), k, keys)
+
+
+def _sampled(lattices: Lattices, per_text: np.ndarray, roots: np.ndarray, k: int, keys: np.ndarray) -> list[list[tuple[np.ndarray, float, float]]]:
     keys = np.asarray(keys, np.int64).view(np.uint64)
     made: list = []
-    sizes = np.cumsum([len(row) for row in split])
-    cuts = [0, *(np.flatnonzero(np.diff(sizes // SAMPLER_CHUNKS)) + 1).tolist(), len(split)]
+    ends = np.cumsum(per_text)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SAMPLER_CHUNKS)) + 1).tolist(), len(per_text)]
     for start, end in zip(cuts, cuts[1:]):
-        made += Sampler(lattices, split[start:end], keys[start:end]).run(k)
+        own = roots[ends[start] - per_text[start] : ends[end - 1]] if end > start else roots[:0]
+        made += Sampler(lattices, per_text[start:end], own, keys[start:end]).run(k)
     return made
 
 
@@ -449,15 +545,14 @@ def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     null id share one seed. Null and empty texts have no ids and one certain sample without ids. A
     literal space mark in a text is encoded like a space, as the model itself does it. ``decoded`` names a
     column for the text that the ids decode to. An empty table gives an empty result. Whole texts are taken:
-    a worker holds the lattices of a batch, or of one text where that is longer. Columns called ids, samples
+    a worker holds the lattices of ``KNOWN_CHUNKS`` and of a batch, or of one text where that is longer. Columns called ids, samples
     or like ``decoded`` are replaced, all others are kept, whatever their names.
     """
     made = ["ids", "samples", *([decoded] if decoded else [])]
     kept = [c for c in docs.columns if c not in made]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = processor(model)
-        vocabulary = Vocabulary(model)
+        own, known = processor(model), KnownChunks(model)
         kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())]))
         for frame in frames:
             sizes = np.cumsum(pc.fill_null(pc.utf8_length(frame.column(frame.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
@@ -466,11 +561,13 @@ def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
                 part = frame.slice(start, end - start)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 keys = part.column(part.num_columns - 2).to_numpy()
-                encoded = own.encode(texts, num_threads=1)
-                ids = pa.array(encoded, pa.list_(pa.int32()))
-                back = [pa.array([own.decode(e) for e in encoded], pa.string())] if decoded else []
-                del encoded
-                samples = sample_segmentations(texts, k, keys, vocabulary)
+                met = known.meet([chunks_of(t) for t in texts])
+                encoded, stops = known.encode(*met)
+                starts = np.concatenate(([0], stops))
+                ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(encoded, pa.int32()))
+                back = [pa.array([own.decode(encoded[a:b].tolist()) for a, b in zip(starts, stops)], pa.string())] if decoded else []
+                del encoded, texts
+                samples = _sampled(known.lattices, *met, k, keys)
                 flat = [s for row in samples for s in row]
                 numbers = np.concatenate([s[0] for s in flat]) if flat else np.zeros(0, np.int64)
                 ends = np.cumsum([0, *(len(s[0]) for s in flat)])

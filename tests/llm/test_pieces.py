@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
+from feedloom.llm import pieces
 from feedloom.llm.pieces import MODEL, SPACE, Vocabulary, decode_ids, encode_pieces, marked, processor, sample_segmentations
 from feedloom.llm.queries import QUERIES
 
@@ -107,3 +108,20 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, "some words over and over, étrange 日本 " * 60_000)], "doc_id long, text string")
     (row,) = encode_pieces(docs, decoded="back").collect()
     assert row["back"] == row["text"] and len(row["samples"]) == 2 and len(row["ids"]) > 500_000
+
+
+def test_chunks_known_from_batch_to_batch(spark, vocabulary, monkeypatch):
+    texts = ["a  b ", " ", "", "x▁y", "<s> </s> <unk> <0x41>", "\u0000a \u2028b", "é \U0001F600  z\r\n\t q", "ab cd ab", "ab ef gh", "ab"] * 3
+    own, known = processor(MODEL), pieces.KnownChunks(MODEL)
+    monkeypatch.setattr(pieces, "KNOWN_CHUNKS", 6)
+    alone = [sample_segmentations([t], 3, [i], vocabulary)[0] for i, t in enumerate(texts)]
+    for start in range(0, len(texts), 4):  # chunks are forgotten and made anew
+        batch = texts[start : start + 4]
+        met = known.meet([pieces.chunks_of(t) for t in batch])
+        ids, ends = known.encode(*met)
+        assert [part.tolist() for part in np.split(ids, ends[:-1])] == own.encode(batch)
+        drawn = pieces._sampled(known.lattices, *met, 3, np.arange(start, start + len(batch)))
+        for row, expected in zip(drawn, alone[start : start + 4]):
+            assert [s[0].tolist() for s in row] == [s[0].tolist() for s in expected]
+            assert np.allclose([s[1:] for s in row], [s[1:] for s in expected])
+    assert len(known.uses) < len({c for t in texts for c in pieces.chunks_of(t)}) + 6
