@@ -40,10 +40,16 @@ _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LINEAR_CHARS = 60
 #: Characters of texts that a worker takes at once.
 BATCH_CHARS = 400_000
+#: Characters of texts whose chunks are numbered before any of them is worked on.
+GROUP_CHARS = 32_000_000
 #: Chunks that a task keeps from batch to batch, with their lattices and ids.
-KNOWN_CHUNKS = 100_000
+KNOWN_CHUNKS = 200_000
 #: Chunks of texts that are sampled together.
 SAMPLER_CHUNKS = 200_000
+#: Steps of a path whose perturbed values are made at once, at first.
+OPENED = 24
+#: Slots of the table of piece beginnings, in bits.
+_SLOT_BITS = 18
 
 
 @lru_cache(maxsize=2)
@@ -54,7 +60,11 @@ def processor(model: str):
 
 
 class Vocabulary:
-    """Pieces by length, as sorted hashes with ids and log weights, and the byte pieces for what has none."""
+    """Pieces as a tree of their beginnings, with log weights, and the byte pieces for what has none.
+
+    The tree is a hash table over (beginning, next character); ``beginning`` and ``piece`` are those that
+    an entry leads to, a piece is -1 where the beginning is none.
+    """
 
     def __init__(self, model: str):
         self.processor = p = processor(model)
@@ -65,203 +75,244 @@ class Vocabulary:
         weights = np.zeros(p.get_piece_size())
         for rank, i in enumerate(sorted(usable, key=lambda i: (-p.get_score(i), i)), 1):
             weights[i] = -np.log(rank)
-        # by length: hashes of all beginnings of pieces, in order, and the piece that each is, or -1
-        ends: dict[int, dict[str, int]] = {}
-        for i, piece in pieces.items():
+        begun: dict[str, int] = {"": 0}
+        keys: list[int] = []
+        for piece in pieces.values():
             for size in range(1, len(piece) + 1):
-                ends.setdefault(size, {}).setdefault(piece[:size], -1)
-            ends[len(piece)][piece] = i
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, known in ends.items():
-            hashes = np.zeros(len(known), np.uint64)
-            for column in np.array([list(map(ord, begun)) for begun in known], np.uint64).T:
-                hashes = _extended(hashes, column)
-            order = np.argsort(hashes)
-            self.by_length[size] = hashes[order], np.fromiter(known.values(), np.int64, len(known))[order]
-        self.weights = weights
-        self.bytes = np.array([p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
+                if piece[:size] not in begun:
+                    begun[piece[:size]] = len(begun)
+                    keys.append(begun[piece[: size - 1]] << 21 | ord(piece[size - 1]))
+        made = np.full(len(begun), -1, np.int32)
+        for i, piece in pieces.items():
+            made[begun[piece]] = i
+        order = np.argsort(slots := self._slot(np.array(keys, np.int64)))
+        slots = slots[order]
+        self._keys = np.append(np.array(keys, np.int64)[order], -1)  # the last one is for empty slots
+        self._again = np.append(slots[1:] == slots[:-1], [False, False])  # the next entry has the same slot
+        self._entry = np.full(1 << _SLOT_BITS, len(keys), np.int32)
+        self._entry[slots[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
+        self.beginning = order + 1
+        self.piece = made[self.beginning]
+        self.longest = max(map(len, pieces.values()))
+        self.weights, self.chances = weights, np.exp(weights)
+        self.bytes = np.array([p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.byte_weight = -float(np.log(len(usable) + 1))
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+
+    def extended(self, beginnings: np.ndarray | int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which beginnings go on with one more character, and the entries that they lead to."""
+        keys = codes | (beginnings << 21)
+        entry = self._entry[self._slot(keys)]
+        found = self._keys[entry] == keys
+        others = np.flatnonzero(self._again[entry] & ~found)
+        while len(others):
+            entry[others] += 1
+            at = entry[others]
+            found[others] = same = self._keys[at] == keys[others]
+            others = others[self._again[at] & ~same]
+        goes_on = np.flatnonzero(found)
+        return goes_on, entry[goes_on]
+
 
 @lru_cache(maxsize=2)
 def vocabulary_of(model: str) -> Vocabulary:
     return Vocabulary(model)
 
 
-def _extended(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of strings after one more character."""
-    with np.errstate(over="ignore"):
-        return (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes + np.uint64(1)
-
-
 class Lattices:
-    """Lattices of distinct chunks, laid end to end: a node per place and one for each chunk's end.
+    """Lattices of distinct chunks, laid end to end.
 
     Chunks are given without their first space mark.
 
-    Edges are in order of their node: ``target``, ``piece`` (a vocabulary id, or minus one minus the
-    character that goes byte by byte) and ``p`` (given the node). ``heads`` are the chunks' first nodes.
+    A node is known by the first edge out of it; its other edges come behind it, shortest first. ``heads``
+    are the chunks' first edges. An edge has the first edge of the node where it ends (``onward``, -1 at
+    the chunk's end), its ``piece`` (a vocabulary id, or minus one minus the character that goes byte by
+    byte), its probability ``p`` given its node, and the sum of these up to it (``upto``, 2 at a node's last).
     """
 
+    COLUMNS = ("onward", "piece", "p", "upto")
+
     def __init__(self, chunks: list[str], vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        names, chunks = chunks, [SPACE + c for c in chunks]
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
-        at = np.arange(len(codes), dtype=np.int32)
-        left = np.repeat(np.cumsum(sizes).astype(np.int32), sizes) - at  # characters to the chunk's end
-        self.heads = np.cumsum(sizes) - sizes + np.arange(len(chunks))
-        self.roots = dict(zip(names, self.heads.tolist()))
-        found_at, found_size, found_piece = [], [], []
-        live, hashes = at, np.zeros(len(codes), np.uint64)
-        for size in range(1, max(vocabulary.by_length) + 1):
-            fits = left[live] >= size
-            live, hashes = live[fits], hashes[fits]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        ends = np.cumsum(sizes + 1) - 1  # a node per place and one for each chunk's end
+        n_nodes = int((sizes + 1).sum())
+        characters = np.ones(n_nodes, bool)
+        characters[ends] = False
+        places = np.flatnonzero(characters)
+        codes = np.full(n_nodes, 0x1FFFFF)  # no character: nothing goes on beyond a chunk's end
+        codes[places] = np.frombuffer((SPACE * bool(chunks) + SPACE.join(chunks)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # by size: the places where pieces begin, and the pieces
+        live, beginnings = places, 0
+        for size in range(1, vocabulary.longest + 1):
+            goes_on, entry = vocabulary.extended(beginnings, codes[live + (size - 1)] if size > 1 else codes[live])
+            piece = vocabulary.piece[entry]
+            begun = live[goes_on]
+            if size == 1:  # a character without a piece goes byte by byte
+                pieces = (-1 - codes[live]).astype(np.int32)
+                pieces[goes_on] = np.where(piece >= 0, piece, pieces[goes_on])
+                found.append((live, pieces))
+            else:
+                hit = np.flatnonzero(piece >= 0)
+                found.append((begun[hit], piece[hit]))
+            live, beginnings = begun, vocabulary.beginning[entry]
             if not len(live):
                 break
-            hashes = _extended(hashes, codes[live + size - 1])
-            known, ids = vocabulary.by_length[size]
-            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            begins = known[place] == hashes
-            piece = np.where(begins, ids[place], -1)
-            hit = piece >= 0
-            found_at.append(live[hit])
-            found_size.append(size)
-            found_piece.append(piece[hit])
-            if size == 1:  # a character without a piece goes byte by byte
-                found_at.append(live[~hit])
-                found_size.append(1)
-                found_piece.append(-1 - codes[live[~hit]].astype(np.int64))
-            live, hashes = live[begins], hashes[begins]  # no longer piece begins like the others
 
         # edges in order of their node, shortest first
-        degree = np.zeros(len(codes), np.int32)
-        for sources in found_at:
+        degree = np.zeros(n_nodes, np.int32)
+        for sources, _ in found:
             degree[sources] += 1
-        n_nodes, n_edges = len(codes) + len(chunks), int(degree.sum())
+        n_edges = int(degree.sum())
         place = np.cumsum(degree, dtype=np.int32) - degree
-        node = at + chunk
-        self.first = np.zeros(n_nodes, np.int32)
-        self.first[node] = place
-        self.last = self.first.copy()
-        self.last[node] += degree
-        self.target, self.piece, owner = (np.zeros(n_edges, np.int32) for _ in range(3))
-        for sources, size, pieces in zip(found_at, found_size, found_piece):
+        first = place.copy()
+        target, self.piece = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
+        for size, (sources, pieces) in enumerate(found, 1):
             put = place[sources]
-            self.target[put], self.piece[put], owner[put] = node[sources] + size, pieces, node[sources]
-            place[sources] += 1
+            target[put], self.piece[put] = sources + size, pieces
+            place[sources] = put + 1
+        self.heads = first[ends - sizes].astype(np.int64)
+        self.onward = np.where(characters, first, np.int32(-1))[target]
         odd = np.flatnonzero(self.piece < 0)
-        character = -1 - self.piece[odd]
-        weight = vocabulary.weights[np.maximum(self.piece, 0)]
-        weight[odd] = vocabulary.byte_weight * (1 + (character > 0x7F) + (character > 0x7FF) + (character > 0xFFFF))
+        odd_weight = vocabulary.byte_weight * _utf8_sizes(-1 - self.piece[odd])
 
         # backward sums, from the chunks' ends on: all nodes at one distance from their end together
-        ends = np.cumsum(sizes) + np.arange(len(chunks))
         short = sizes <= LINEAR_CHARS
-        p = np.exp(weight)
+        self.p = vocabulary.chances[np.maximum(self.piece, 0)]
+        self.p[odd] = np.exp(odd_weight)
+        self.upto = np.empty(n_edges)
         sums = np.ones(n_nodes)
-        self._sum_up(ends[short], sizes[short], p, sums, False)
-        p *= sums[self.target]
-        p /= sums[owner]
+        self._sum_up(ends[short], sizes[short], first, degree, target, self.p, sums, False)
+        of_owner = np.repeat(sums, degree)
+        self.p *= sums[target]
+        self.p /= of_owner
+        self.upto /= of_owner
         if not short.all():  # the sums of long chunks leave the range of floats; theirs are logarithms
+            weight = vocabulary.weights[np.maximum(self.piece, 0)]
+            weight[odd] = odd_weight
             logs = np.zeros(n_nodes)
-            self._sum_up(ends[~short], sizes[~short], weight, logs, True)
-            of_node = np.zeros(n_nodes, bool)
-            of_node[node] = np.repeat(~short, sizes)
-            long = of_node[owner]
-            p[long] = np.exp(weight + logs[self.target] - logs[owner])[long]
-        self.p = p
-
-    def roots_of(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """How many chunks each text has, and the first nodes of all of them."""
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        return sizes, np.fromiter(map(self.roots.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+            long = np.flatnonzero(np.repeat(np.repeat(~short, sizes + 1), degree))
+            self._sum_up(ends[~short], sizes[~short], first, degree, target, weight, logs, True)
+            of_owner = np.repeat(logs, degree)[long]
+            self.p[long] = np.exp(weight[long] + logs[target[long]] - of_owner)
+            self.upto[long] = np.exp(self.upto[long] - of_owner)
+        self.upto[place[places] - 1] = 2.0  # a node's last edge takes what is left
+        self.n_edges = n_edges
 
     def log_p(self, edges: np.ndarray) -> np.ndarray:
         return np.log(self.p[edges])
 
     def add(self, other: Lattices) -> None:
-        """Lay other chunks' lattices behind these."""
-        nodes, edges = len(self.first), len(self.p)
-        self.heads = np.concatenate((self.heads, other.heads + nodes))
-        self.roots.update(zip(other.roots, (other.heads + nodes).tolist()))
-        self.first = np.concatenate((self.first, other.first + np.int32(edges)))
-        self.last = np.concatenate((self.last, other.last + np.int32(edges)))
-        self.target = np.concatenate((self.target, other.target + np.int32(nodes)))
-        self.piece = np.concatenate((self.piece, other.piece))
-        self.p = np.concatenate((self.p, other.p))
+        """Lay other chunks' lattices behind these; the columns have room to grow beyond ``n_edges``."""
+        edges, n_edges = self.n_edges, self.n_edges + other.n_edges
+        self.heads = np.concatenate((self.heads, other.heads + edges))
+        other.onward[other.onward >= 0] += edges
+        for name in self.COLUMNS:
+            column = getattr(self, name)
+            if n_edges > len(column):
+                column = np.empty(2 * n_edges, column.dtype)
+                column[:edges] = getattr(self, name)[:edges]
+                setattr(self, name, column)
+            column[edges:n_edges] = getattr(other, name)
+        self.n_edges = n_edges
 
     def keep(self, chunks: np.ndarray) -> None:
-        """Leave only the chunks of these rising numbers."""
-        names = list(self.roots)
-        ends = np.append(self.heads[1:], len(self.first))
-        edge_heads = self.first[self.heads].astype(np.int64)
-        edge_ends = np.append(edge_heads[1:], len(self.p))
-        n_nodes, n_edges = (ends - self.heads)[chunks], (edge_ends - edge_heads)[chunks]
-        nodes, edges = _ranges(self.heads[chunks], n_nodes), _ranges(edge_heads[chunks], n_edges)
-        heads, new_edge_heads = np.cumsum(n_nodes) - n_nodes, np.cumsum(n_edges) - n_edges
-        back = np.repeat(new_edge_heads - edge_heads[chunks], n_nodes).astype(np.int32)
-        self.first, self.last = self.first[nodes] + back, self.last[nodes] + back
-        self.target = self.target[edges] + np.repeat(heads - self.heads[chunks], n_edges).astype(np.int32)
-        self.piece, self.p = self.piece[edges], self.p[edges]
-        self.heads = heads
-        self.roots = dict(zip([names[i] for i in chunks.tolist()], heads.tolist()))
-
-    def _sum_up(self, ends: np.ndarray, sizes: np.ndarray, weight: np.ndarray, sums: np.ndarray, logs: bool) -> None:
-        order = np.argsort(-sizes, kind="stable")
-        ends, sizes = ends[order], sizes[order]
-        for distance in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
-            nodes = ends[: np.searchsorted(-sizes, -distance, side="right")] - distance
-            first, degree = self.first[nodes], self.last[nodes] - self.first[nodes]
-            total = weight[first] + sums[self.target[first]] if logs else weight[first] * sums[self.target[first]]
-            for j in range(1, int(degree.max())):
-                more = np.flatnonzero(degree > j)
-                edges = first[more] + j
+        """Leave only the chunks at these rising places."""
+        sizes = np.diff(self.heads, append=self.n_edges)[chunks]
+        edges = _ranges(self.heads[chunks], sizes)
+        heads = np.cumsum(sizes) - sizes
+        back = np.repeat(heads - self.heads[chunks], sizes).astype(np.int32)
+        back[self.onward[edges] < 0] = 0
+        self.onward[edges] += back
+        for name in self.COLUMNS:
+            column = getattr(self, name)
+            column[: len(edges)] = column[edges]
+        self.heads, self.n_edges = heads, len(edges)
+
+    def _sum_up(self, ends: np.ndarray, sizes: np.ndarray, first: np.ndarray, degree: np.ndarray, target: np.ndarray, weight: np.ndarray, sums: np.ndarray, logs: bool) -> None:
+        if not len(ends):
+            return
+        # nodes by distance from their end, those with most edges first
+        distance = _ranges(np.ones(len(sizes), np.int64), sizes)
+        nodes = np.repeat(ends, sizes) - distance
+        most = int(degree.max())
+        rank = distance * (most + 1) + (most - degree[nodes])
+        n_ranks = int(sizes.max() + 1) * (most + 1)
+        # how many nodes of a distance have at least so many edges
+        table = np.bincount(rank, minlength=n_ranks).reshape(-1, most + 1)
+        np.cumsum(table, axis=1, out=table)
+        nodes = nodes[np.argsort(rank.astype(np.uint16) if n_ranks <= 1 << 16 else rank, kind="stable")]
+        first = first[nodes].astype(np.int64)
+        start = 0
+        for row in table[1:, ::-1]:
+            counts = row.tolist()
+            end = start + counts[0]
+            edges = first[start:end]
+            total = weight[edges] + sums[target[edges]] if logs else weight[edges] * sums[target[edges]]
+            self.upto[edges] = total
+            for j in range(1, most):
+                if not (n := counts[j + 1]):
+                    break
+                at = edges[:n] + j
                 if logs:
-                    total[more] = np.logaddexp(total[more], weight[edges] + sums[self.target[edges]])
+                    np.logaddexp(total[:n], weight[at] + sums[target[at]], out=total[:n])
                 else:
-                    total[more] += weight[edges] * sums[self.target[edges]]
-            sums[nodes] = total
+                    total[:n] += weight[at] * sums[target[at]]
+                self.upto[at] = total[:n]
+            sums[nodes[start:end]] = total
+            start = end
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, by its probability."""
-        edges, end = self.first[nodes], self.last[nodes] - 1
-        sums = self.p[edges]
-        further = np.flatnonzero((sums <= u) & (edges < end))
-        while len(further):  # a node's last edge takes what is left
-            edges[further] += 1
-            at = edges[further]
-            sums[further] += self.p[at]
-            further = further[(sums[further] <= u[further]) & (at < end[further])]
+        edges = nodes.copy()
+        further = np.flatnonzero(self.upto[edges] <= u)
+        u = u[further]
+        while len(further):
+            at = edges[further] + 1
+            edges[further] = at
+            on = np.flatnonzero(self.upto[at] <= u)
+            further, u = further[on], u[on]
         return edges
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of edges, one after the other, and how many each edge has."""
+        """Piece ids of edges, one after the other, and where each edge's begin, and the end."""
         pieces = self.piece[edges]
-        size = np.ones(len(pieces), np.int64)
         odd = np.flatnonzero(pieces < 0)
+        if not len(odd):
+            return pieces, np.arange(len(pieces) + 1)
         character = -1 - pieces[odd]
-        size[odd] = 1 + (character > 0x7F) + (character > 0x7FF) + (character > 0xFFFF)
-        made = np.repeat(pieces, size)
+        n = _utf8_sizes(character)
+        starts = np.ones(len(pieces) + 1, np.int64)
+        starts[0], starts[odd + 1] = 0, n
+        made = np.repeat(pieces, starts[1:])
+        np.cumsum(starts, out=starts)
         # the bytes of characters in UTF-8: six bits each, after a lead that tells their number
-        n = size[odd]
-        at = _ranges((np.cumsum(size) - size)[odd], n)
+        at = _ranges(starts[odd], n)
         j = _ranges(np.zeros(len(n), np.int64), n)
         n, bits = np.repeat(n, n), np.repeat(character, n)
         bits = bits >> (6 * (n - 1 - j))
         lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n]
         made[at] = self.vocabulary.bytes[np.where(j == 0, lead | bits, 0x80 | (bits & 0x3F))]
-        return made, size
+        return made, starts
+
 
+def _utf8_sizes(characters: np.ndarray) -> np.ndarray:
+    return 1 + (characters > 0x7F) + (characters > 0x7FF) + (characters > 0xFFFF).astype(np.int64)
 
-def uniforms(keys: np.ndarray, draw: int, place: np.ndarray | int = 0, depth: np.ndarray | int = 0) -> np.ndarray:
+
+def uniforms(keys: np.ndarray, counter: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) from keys and what they are drawn for."""
-    counter = (np.asarray(place, np.int64) << 24) + (np.asarray(depth, np.int64) << 8) + draw
-    x = mix(np.broadcast_to(counter, keys.shape).view(np.uint64) if counter.ndim else np.full(keys.shape, counter).view(np.uint64), keys)
+    x = mix(np.broadcast_to(np.asarray(counter, np.int64), keys.shape).view(np.uint64), keys)
     return ((x >> np.uint64(12)).astype(float) + 0.5) / (1 << 52)
 
 
+def _counter(draw: int, place: np.ndarray, depth: np.ndarray | int = 0) -> np.ndarray:
+    return (place << 24) + (depth << 8) + draw
+
+
 def _below(log_mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Gumbels at ``log_mass``, conditioned to stay below ``bound``."""
     return log_mass - np.log(np.exp(log_mass - bound) - np.log(u))
@@ -273,13 +324,71 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Paths(NamedTuple):
-    """One segmentation per row, laid end to end: by step its chunk, node, edge and how deep in the chunk it is."""
+    """One segmentation per row, laid end to end."""
 
-    starts: np.ndarray  # by row, and the end
-    chunk: np.ndarray
-    node: np.ndarray
+    starts: np.ndarray  # first step by row, and the end
+    heads: np.ndarray  # first step by chunk, and the end
     edge: np.ndarray
-    depth: np.ndarray
+
+
+class _Frontier:
+    """The other ways to go on from each step of paths: their perturbed values, opened as far as they can matter.
+
+    A Gumbel at the log probability m of a set is below m + ``REACH``, as uniforms are 52 bits, and m falls
+    along a path. So the steps of a row from ``opened`` on stay below ``bound``, and they are opened only
+    when no value beats that.
+    """
+
+    REACH = 37.0  # above -log(-log(1 - 2**-53))
+
+    def __init__(self, pop: int, path: _Paths, log_p: np.ndarray, fixed: np.ndarray, taken: np.ndarray, value: np.ndarray, alive: np.ndarray):
+        self.pop, self.path, self.fixed, self.taken, self.below = pop, path, fixed, taken, value
+        self.sums = np.concatenate(([0.0], np.cumsum(log_p)))
+        self.sizes = np.diff(path.starts)
+        self.opened = np.where(alive, fixed, self.sizes)  # before that steps are shared with the path it left
+        self.bound = np.where(alive & (self.opened < self.sizes), np.inf, -np.inf)
+        self.values = np.full(len(path.edge), -np.inf)
+        self.top, self.step = np.full(len(fixed), -np.inf), np.zeros(len(fixed), np.int64)
+
+    def open(self, rows: np.ndarray, sampler: Sampler) -> None:
+        """Open at least ``OPENED`` more steps of the rows."""
+        starts, opened = self.path.starts[rows], self.opened[rows]
+        until = np.minimum(self.sizes[rows], 2 * opened - self.fixed[rows] + OPENED)
+        steps = _ranges(starts + opened, until - opened)
+        row = np.repeat(rows, until - opened)
+        within = steps - self.path.starts[row]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.log(-np.expm1(np.minimum(sampler.lattices.log_p(self.path.edge[steps]), -0.0)))
+            if self.taken.shape[1]:
+                branch = np.flatnonzero((within == self.fixed[row]) & (self.taken[row] >= 0).any(axis=1))
+                edges = self.path.edge[steps[branch]]
+                closed = np.column_stack([self.taken[row[branch]], edges])
+                rest[branch] = sampler.others(sampler.node(self.path, steps[branch]), closed)[1]
+            mass = self.sums[steps] - self.sums[self.path.starts[row]] + rest
+            made = _below(mass, uniforms(sampler.keys[row], _counter(2 * self.pop + 1, within)), self.below[row])
+        made[~np.isfinite(mass)] = -np.inf
+        self.values[steps] = made
+        self.opened[rows] = until
+        self.bound[rows] = np.where(until < self.sizes[rows], self.sums[starts + until] - self.sums[starts] + self.REACH, -np.inf)
+        self.find(rows)
+
+    def take(self, rows: np.ndarray) -> None:
+        """Shut the best step of the rows."""
+        self.values[self.path.starts[rows] + self.step[rows]] = -np.inf
+        self.find(rows)
+
+    def find(self, rows: np.ndarray) -> None:
+        """The rows' best opened step, the first of equals."""
+        rows = rows[self.opened[rows] > self.fixed[rows]]
+        n = self.opened[rows] - self.fixed[rows]
+        steps = _ranges(self.path.starts[rows] + self.fixed[rows], n)
+        values, heads = self.values[steps], np.cumsum(n) - n
+        top = np.maximum.reduceat(values, heads) if len(rows) else np.zeros(0)
+        at = np.flatnonzero(values == np.repeat(top, n))
+        which = np.repeat(np.arange(len(rows)), n)[at]
+        place = np.zeros(len(rows), np.int64)
+        place[which[::-1]] = (at - heads[which])[::-1]
+        self.top[rows], self.step[rows] = top, place + self.fixed[rows]
 
 
 class Sampler:
@@ -288,127 +397,117 @@ class Sampler:
     def __init__(self, lattices: Lattices, sizes: np.ndarray, roots: np.ndarray, keys: np.ndarray):
         self.lattices, self.keys = lattices, keys
         self.chunks_end = np.cumsum(sizes)
-        self.roots = roots
+        self.chunks_start = self.chunks_end - sizes
+        self.roots = roots.astype(np.int32)
         self.row_of_chunk = np.repeat(np.arange(len(sizes)), sizes)
         self._fixed = [np.zeros(len(sizes), np.int64)]  # by pop and row: the step at which its path left another
 
-    def _walk(self, pop: int, chunk: np.ndarray, node: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Freely drawn edges from the nodes on to their chunks' ends: chunk, node, edge, depth, in text order."""
+    def _walk(self, pop: int, chunk: np.ndarray, node: np.ndarray, depth: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Freely drawn edges from the nodes on to their chunks' ends: how many for each node, and all in order."""
         lattices, steps = self.lattices, []
+        row = self.row_of_chunk[chunk]
+        keys, who = self.keys[row], np.arange(len(chunk))
+        counter = _counter(2 * pop, chunk - self.chunks_end[row], depth)  # counted from the text's end, the same in any batch
+        count = np.zeros(len(chunk), np.int64)
         while True:
-            live = lattices.first[node] < lattices.last[node]
-            chunk, node, depth = chunk[live], node[live], depth[live]
-            if not len(node):
+            ended = node < 0
+            count[who[ended]] = len(steps)
+            if len(live := np.flatnonzero(~ended)) < len(node):
+                who, node, keys, counter = who[live], node[live], keys[live], counter[live]
+            if not len(who):
                 break
-            row = self.row_of_chunk[chunk]
-            within = chunk - self.chunks_end[row]  # counted from the text's end, the same in any batch
-            edge = lattices.draw(node, uniforms(self.keys[row], 2 * pop, within, depth))
-            steps.append((chunk, node, edge, depth))
-            node, depth = lattices.target[edge], depth + 1
-        if not steps:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        chunk, node, edge, depth = map(np.concatenate, zip(*steps))
-        count = np.bincount(chunk, minlength=len(self.roots))
-        shallow = (np.cumsum(count) - count)[chunk] + depth
-        low = np.zeros(len(self.roots), np.int64)
-        low[steps[0][0]] = steps[0][3]  # where each chunk's walk began
-        order = np.empty(len(chunk), np.int64)
-        order[shallow - low[chunk]] = np.arange(len(chunk))
-        return chunk[order], node[order], edge[order], depth[order]
-
-    def _joined(self, rows: int, parts: tuple[np.ndarray, ...]) -> _Paths:
-        steps = np.bincount(self.row_of_chunk[parts[0]], minlength=rows)
-        return _Paths(np.concatenate(([0], np.cumsum(steps))), *parts)
+            edge = lattices.draw(node, uniforms(keys, counter))
+            steps.append((who, edge))
+            node = lattices.onward[edge]
+            counter += 1 << 8
+        starts = np.cumsum(count) - count
+        edges = np.empty(int(count.sum()), np.int32)
+        for who, edge in steps:
+            edges[starts[who]] = edge
+            starts += 1
+        return count, edges
+
+    def _joined(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First steps by row and by chunk, from the chunks' numbers of steps."""
+        heads = np.concatenate(([0], np.cumsum(count)))
+        return heads[np.concatenate(([0], self.chunks_end))], heads
+
+    def node(self, path: _Paths, steps: np.ndarray) -> np.ndarray:
+        """Where the steps begin."""
+        chunk = np.searchsorted(path.heads, steps, side="right") - 1
+        onward = self.lattices.onward[path.edge[np.maximum(steps - 1, 0)]]
+        return np.where(path.heads[chunk] == steps, self.roots[chunk], onward)
 
     def run(self, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
-        lattices, rows = self.lattices, len(self.keys)
-        first, last = lattices.first, lattices.last
-        paths: list[_Paths] = []
-        values: list[np.ndarray] = []  # by pop and step: of the other ways to go on from there
-        shut: list[np.ndarray] = []  # by pop and row: edges taken before at the branching node
+        rows = len(self.keys)
+        frontiers: list[_Frontier] = []
         score, popped = np.zeros((0, rows)), np.zeros((0, rows))
         fixed = np.zeros(rows, np.int64)  # steps that a row's newest path shares with the one it left
         value = -np.log(-np.log(uniforms(self.keys, 0)))
         alive = np.ones(rows, bool)
-        path = self._joined(rows, self._walk(1, np.arange(len(self.roots)), self.roots, np.zeros(len(self.roots), np.int64)))
-        taken = np.full((rows, 0), -1)
+        count, edge = self._walk(1, np.arange(len(self.roots)), self.roots, 0)
+        path = _Paths(*self._joined(count), edge)
+        taken = np.full((rows, 0), -1)  # edges taken before at the branching node
         for pop in range(1, k + 1):
-            sizes = np.diff(path.starts)
-            row = np.repeat(np.arange(rows), sizes)
-            log_p = lattices.log_p(path.edge)
-            sums = np.concatenate(([0.0], np.cumsum(log_p)))
-            before = sums[:-1] - sums[path.starts[row]]
-            some = np.flatnonzero(sizes)
+            log_p = self.lattices.log_p(path.edge)
+            some = np.flatnonzero(np.diff(path.starts))
             whole = np.zeros(rows)
             if len(some):
                 whole[some] = np.add.reduceat(log_p, path.starts[some])
             score = np.vstack([score, np.where(alive, whole, -np.inf)])
             popped = np.vstack([popped, np.where(alive, value, -np.inf)])
-            within = np.arange(len(row)) - path.starts[row]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rest = np.log(-np.expm1(np.minimum(log_p, -0.0)))
-                rest[last[path.node] - first[path.node] == 1] = -np.inf
-                branch = np.flatnonzero((within == fixed[row]) & (taken[row] >= 0).any(axis=1)) if taken.shape[1] else np.zeros(0, np.int64)
-                rest[branch] = self._others(path.node[branch], np.column_stack([taken[row[branch]], path.edge[branch]]))[1]
-                mass = before + rest
-                mass[(within < fixed[row]) | ~alive[row]] = -np.inf
-                made = _below(mass, uniforms(self.keys[row], 2 * pop + 1, within), value[row])
-            made[~np.isfinite(mass)] = -np.inf
-            paths.append(path)
-            values.append(made)
-            shut.append(taken)
-
-            best, chosen, step = np.full(rows, -np.inf), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-            for i, (own, found) in enumerate(zip(paths, values)):
-                some = np.flatnonzero(np.diff(own.starts))
-                if not len(some):
-                    continue
-                top = np.full(rows, -np.inf)
-                top[some] = np.maximum.reduceat(found, own.starts[some])
-                better = top > best
-                at = np.flatnonzero(found == np.repeat(top, np.diff(own.starts)))
-                own_row = np.searchsorted(own.starts, at, side="right") - 1
-                place = np.zeros(rows, np.int64)
-                place[own_row[::-1]] = (at - own.starts[own_row])[::-1]
-                best, chosen, step = np.where(better, top, best), np.where(better, i, chosen), np.where(better, place, step)
-            alive = best > -np.inf
-            value = best
+            frontiers.append(_Frontier(pop, path, log_p, fixed, taken, value, alive))
+            chosen, value = self._next(frontiers)
+            alive = value > -np.inf
             if pop == k or not alive.any():
                 break
-            path, taken = self._branched(pop + 1, paths, values, shut, chosen, step, alive)
-            fixed = np.where(alive, step, 0)
-        return self._made(paths, score, popped, best)
+            path, taken, fixed = self._branched(pop + 1, frontiers, chosen, alive)
+        return self._made([f.path for f in frontiers], score, popped, value)
 
-    def _others(self, nodes: np.ndarray, closed: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    def _next(self, frontiers: list[_Frontier]) -> tuple[np.ndarray, np.ndarray]:
+        """For each row which frontier has the best entry, the first of equals, and its value."""
+        while True:
+            tops = np.stack([f.top for f in frontiers])
+            best = tops.max(axis=0)
+            shut = True
+            for f in frontiers:
+                if len(rows := np.flatnonzero(f.bound > best)):
+                    f.open(rows, self)
+                    shut = False
+            if shut:
+                return tops.argmax(axis=0), best
+
+    def others(self, nodes: np.ndarray, closed: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
         """Edges out of the nodes that are not closed (flat, with the position of their node), and their log mass."""
-        degree = self.lattices.last[nodes] - self.lattices.first[nodes]
-        edges = _ranges(self.lattices.first[nodes], degree)
+        degree = self.lattices.draw(nodes, np.ones(len(nodes))) - nodes + 1  # to the last edge, which alone is above one
+        edges = _ranges(nodes, degree)
         owner = np.repeat(np.arange(len(nodes)), degree)
         open_ = ~(closed[owner] == edges[:, None]).any(axis=1)
         mass = np.full(len(nodes), -np.inf)
         np.logaddexp.at(mass, owner[open_], self.lattices.log_p(edges[open_]))
         return (edges[open_], owner[open_]), mass
 
-    def _branched(self, pop, paths, values, shut, chosen, step, alive) -> tuple[_Paths, np.ndarray]:
+    def _branched(self, pop: int, frontiers: list[_Frontier], chosen: np.ndarray, alive: np.ndarray) -> tuple[_Paths, np.ndarray, np.ndarray]:
         """New paths: each row's best entry opened at its step, drawn freely from there on."""
         rows = len(chosen)
         live = np.flatnonzero(alive)
-        at = np.array([paths[i].starts[r] for i, r in zip(chosen[live], live)], np.int64) + step[live]
+        step = np.array([f.step for f in frontiers])[chosen, np.arange(rows)]
         node, edge, chunk, depth = (np.zeros(len(live), np.int64) for _ in range(4))
         taken = np.full((rows, pop - 1), -1)
-        prefix: list[np.ndarray] = []
-        for i, own in enumerate(paths):
+        count = np.zeros(len(self.roots), np.int64)
+        for i, f in enumerate(frontiers):
             mine = np.flatnonzero(chosen[live] == i)
-            here = at[mine]
-            node[mine], edge[mine], chunk[mine], depth[mine] = own.node[here], own.edge[here], own.chunk[here], own.depth[here]
-            values[i][here] = -np.inf
-            again = shut[i][live[mine]]
-            same = step[live[mine]] == self._fixed[i][live[mine]]  # the same node is opened once more
-            taken[live[mine], : again.shape[1]] = np.where(same[:, None], again, -1)
-            picks = _ranges(own.starts[live[mine]], step[live[mine]])
-            prefix.append(np.stack([own.chunk[picks], own.node[picks], own.edge[picks], own.depth[picks]]))
+            own, of = f.path, live[mine]
+            here = own.starts[of] + step[of]
+            chunk[mine] = at = np.searchsorted(own.heads, here, side="right") - 1
+            node[mine], edge[mine], depth[mine] = self.node(own, here), own.edge[here], here - own.heads[at]
+            same = step[of] == self._fixed[i][of]  # the same node is opened once more
+            taken[of, : f.taken.shape[1]] = np.where(same[:, None], f.taken[of], -1)
+            before = _ranges(self.chunks_start[of], at - self.chunks_start[of])
+            count[before] = own.heads[before + 1] - own.heads[before]
+            f.take(of)
         taken[live, pop - 2] = edge
-        (edges, owner), mass = self._others(node, taken[live])
+        (edges, owner), mass = self.others(node, taken[live])
         weights = np.exp(self.lattices.log_p(edges) - mass[owner])
         sums = np.cumsum(weights)
         starts = np.searchsorted(owner, np.arange(len(live)))
@@ -417,23 +516,31 @@ class Sampler:
         u = uniforms(self.keys[live], 2 * pop)
         pick = np.clip(np.searchsorted(sums, base + u * (sums[ends - 1] - base), side="right"), starts, ends - 1)
         drawn = edges[pick]
-        after = self.chunks_end[live] - chunk - 1
-        onward = _ranges(chunk + 1, after)
-        more = self._walk(
-            pop, np.concatenate((chunk, onward)),
-            np.concatenate((self.lattices.target[drawn], self.roots[onward])),
-            np.concatenate((depth + 1, np.zeros(len(onward), np.int64))),
-        )
-        whole = np.concatenate([*prefix, np.stack([chunk, node, drawn, depth]), np.stack(more)], axis=1)
-        order = np.lexsort((whole[3], whole[0]))
+
+        left = self.chunks_end[live] - chunk
+        onward = _ranges(chunk, left)  # the rest of the branching chunk and all chunks after it
+        at = np.cumsum(left) - left
+        nodes, depths = self.roots[onward], np.zeros(len(onward), np.int64)
+        nodes[at], depths[at] = self.lattices.onward[drawn], depth + 1
+        more, walked = self._walk(pop, onward, nodes, depths)
+        count[onward] = more
+        count[chunk] += depth + 1
+        row_starts, heads = self._joined(count)
+        whole = np.empty(heads[-1], np.int32)
+        for i, f in enumerate(frontiers):
+            of = live[chosen[live] == i]
+            whole[_ranges(row_starts[of], step[of])] = f.path.edge[_ranges(f.path.starts[of], step[of])]
+        here = row_starts[live] + step[live]
+        whole[here] = drawn
+        whole[_ranges(here + 1, row_starts[live + 1] - here - 1)] = walked
         self._fixed.append(np.where(alive, step, -1))
-        return self._joined(rows, tuple(whole[:, order])), taken
+        return _Paths(row_starts, heads, whole), taken, np.where(alive, step, 0)
 
     def _made(self, paths, score, popped, threshold) -> list[list[tuple[np.ndarray, float, float]]]:
         out: list[list] = [[] for _ in range(len(threshold))]
         for own, log_q, value in zip(paths, score, popped):
-            ids, size = self.lattices.ids(own.edge)
-            cuts = np.concatenate(([0], np.cumsum(size)))[own.starts].tolist()
+            ids, starts = self.lattices.ids(own.edge)
+            cuts = starts[own.starts].tolist()
             with np.errstate(over="ignore", invalid="ignore"):
                 certain = np.where(threshold == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(log_q - threshold, 700.0))))
             for r in np.flatnonzero(value > -np.inf).tolist():
@@ -442,54 +549,120 @@ class Sampler:
 
 
 class KnownChunks:
-    """Lattices and the model's own ids of the chunks met so far.
+    """Lattices and the model's own ids of chunks, kept as long as an expected batch needs them again.
 
     No piece crosses from one chunk to the next, so the ids of a text are those of its chunks. Beyond
-    ``KNOWN_CHUNKS`` the chunks that only one batch had are forgotten; they are made anew when met again.
+    ``KNOWN_CHUNKS`` the chunks that no batch needs are forgotten, and of the others those that the fewest
+    need, until half of that are left; they are made anew when met again.
     """
 
     def __init__(self, model: str):
         self.own, self.vocabulary = processor(model), vocabulary_of(model)
+        self.names = pa.array([], pa.string())  # all numbered chunks
+        self.uses = np.zeros(0, np.int32)  # by number: expected batches that have the chunk
+        self.place = np.zeros(0, np.int32)  # by number: among the chunks that are kept, or -1
+        self.kept = np.zeros(0, np.int64)  # by place: the number
         self.lattices = Lattices([], self.vocabulary)
-        self.uses = np.zeros(0, np.int32)
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def meet(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Know all chunks of a batch: how many chunks each text has, and the first nodes of all of them."""
-        if len(self.uses) > KNOWN_CHUNKS:
+    def number(self, chunks: pa.Array) -> np.ndarray:
+        """The numbers of chunks, in the order in which they are met first."""
+        coded = pa.concat_arrays([self.names.cast(chunks.type), chunks]).dictionary_encode()
+        numbers = coded.indices.to_numpy()[len(self.names) :]
+        more = len(coded.dictionary) - len(self.names)
+        self.names = coded.dictionary
+        self.uses = np.concatenate((self.uses, np.zeros(more, np.int32)))
+        self.place = np.concatenate((self.place, np.full(more, -1, np.int32)))
+        return numbers
+
+    def number_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many chunks each text has, and the numbers of all of them; null is like empty."""
+        words = pc.split_pattern(texts := pc.fill_null(texts, ""), " ")
+        per_text = pc.list_value_length(words).to_numpy().astype(np.int64)
+        numbers = self.number(pc.list_flatten(words))
+        # an empty word is a space mark that belongs to a word beside it, or an empty text
+        odd = pc.or_(pc.equal(pc.binary_length(self.names), 0), pc.match_substring(self.names, SPACE)).to_numpy(zero_copy_only=False)
+        if odd.any():
+            rows = np.unique(np.repeat(np.arange(len(texts)), per_text)[odd[numbers]])
+            split = [chunks_of(texts[i].as_py()) for i in rows.tolist()]
+            starts = np.cumsum(per_text) - per_text
+            per_text[rows] = sizes = np.fromiter(map(len, split), np.int64, len(split))
+            starts[rows] = len(numbers) + np.cumsum(sizes) - sizes
+            others = self.number(pa.array(list(chain.from_iterable(split)), texts.type))
+            numbers = np.concatenate((numbers, others))[_ranges(starts, per_text)]
+        return per_text, numbers
+
+    def expect(self, numbers: np.ndarray) -> None:
+        """A batch with these chunks is to come."""
+        self.uses[self._distinct(numbers)] += 1
+
+    def know(self, per_text: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Know all chunks of an expected batch: how many each text has, and the places of all of them."""
+        if len(self.kept) > KNOWN_CHUNKS:
             self._forget()
-        new = list(set().union(*split).difference(self.lattices.roots))
-        if new:
-            self.lattices.add(Lattices(new, self.vocabulary))
+        distinct = self._distinct(numbers)
+        new = distinct[self.place[distinct] < 0]
+        if len(new):
+            names = self.names.take(pa.array(new)).to_pylist()
+            self.lattices.add(Lattices(names, self.vocabulary))
             # a lone space mark is no text of its own
-            encoded = [e if c else [self.own.piece_to_id(SPACE)] for c, e in zip(new, self.own.encode(new, num_threads=1))]
+            encoded = [e if c else [self.own.piece_to_id(SPACE)] for c, e in zip(names, self.own.encode(names, num_threads=1))]
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             more = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
             self.ends = np.concatenate((self.ends, len(self.ids) + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, more))
-            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int32)))
-        per_text, roots = self.lattices.roots_of(split)
-        met = np.zeros(len(self.lattices.first), bool)
-        met[roots] = True
-        self.uses += met[self.lattices.heads]
-        return per_text, roots
-
-    def encode(self, per_text: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            self.place[new] = np.arange(len(self.kept), len(self.kept) + len(new))
+            self.kept = np.concatenate((self.kept, new))
+        self.uses[distinct] -= 1
+        return per_text, self.place[numbers]
+
+    def meet(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Know all chunks of a batch that was not expected."""
+        numbers = self.number(pa.array(list(chain.from_iterable(split)), pa.string()))
+        self.expect(numbers)
+        return self.know(np.fromiter(map(len, split), np.int64, len(split)), numbers)
+
+    def _distinct(self, numbers: np.ndarray) -> np.ndarray:
+        met = np.zeros(len(self.uses), bool)
+        met[numbers] = True
+        return np.flatnonzero(met)
+
+    def encode(self, per_text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and each text's end."""
-        number = np.zeros(len(self.lattices.first), np.int32)
-        number[self.lattices.heads] = np.arange(len(self.uses))
-        numbers = number[roots]
-        sizes = np.diff(self.ends, prepend=0)[numbers]
+        sizes = np.diff(self.ends, prepend=0)[places]
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(per_text)]
-        return self.ids[_ranges(self.ends[numbers] - sizes, sizes)], ends
+        return self.ids[_ranges(self.ends[places] - sizes, sizes)], ends
 
     def _forget(self) -> None:
-        kept = np.flatnonzero(self.uses > 1)
+        uses = self.uses[self.kept]
+        kept = np.flatnonzero(uses)
+        if len(kept) > KNOWN_CHUNKS // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: KNOWN_CHUNKS // 2]])
         sizes = np.diff(self.ends, prepend=0)[kept]
         self.ids = self.ids[_ranges(self.ends[kept] - sizes, sizes)]
         self.ends = np.cumsum(sizes)
         self.lattices.keep(kept)
-        self.uses = np.maximum(self.uses[kept] // 2, 1)
+        self.place[self.kept] = -1
+        self.kept = self.kept[kept]
+        self.place[self.kept] = np.arange(len(kept))
+
+
+def known_batches(texts: pa.Array, model: str) -> Iterator[tuple[int, int, KnownChunks, tuple[np.ndarray, np.ndarray]]]:
+    """Batches of rows as start and end, with the chunks known to each and what ``know`` tells of them.
+
+    All chunks of ``GROUP_CHARS`` are numbered first, so it is known which of them come again.
+    """
+    chars = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    for first, last in _cuts(chars, GROUP_CHARS):
+        known, batches = KnownChunks(model), []
+        per_text, numbers = known.number_texts(texts.slice(first, last - first))
+        ends = np.concatenate(([0], np.cumsum(per_text)))
+        for start, end in _cuts(chars[first:last], BATCH_CHARS):
+            own = numbers[ends[start] : ends[end]]
+            known.expect(own)
+            batches.append((first + start, first + end, per_text[start:end], own))
+        for start, end, *batch in batches:
+            yield start, end, known, known.know(*batch)
 
 
 def sample_segmentations(texts: list[str], k: int, keys: np.ndarray, vocabulary: Vocabulary) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -499,21 +672,27 @@ def sample_segmentations(texts: list[str], k: int, keys: np.ndarray, vocabulary:
     has fewer paths; then all are certain.
     """
     split = [chunks_of(t) for t in texts]
-    lattices = Lattices(list(set().union(*split)), vocabulary)
-    return _sampled(lattices, *lattices.roots_of(split), k, keys)
+    place = {chunk: i for i, chunk in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+    places = np.array([place[chunk] for chunk in chain.from_iterable(split)], np.int64)
+    return _sampled(Lattices(list(place), vocabulary), np.array(list(map(len, split)), np.int64), places, k, keys)
 
 
-def _sampled(lattices: Lattices, per_text: np.ndarray, roots: np.ndarray, k: int, keys: np.ndarray) -> list[list[tuple[np.ndarray, float, float]]]:
+def _sampled(lattices: Lattices, per_text: np.ndarray, places: np.ndarray, k: int, keys: np.ndarray) -> list[list[tuple[np.ndarray, float, float]]]:
     keys = np.asarray(keys, np.int64).view(np.uint64)
     made: list = []
-    ends = np.cumsum(per_text)
-    cuts = [0, *(np.flatnonzero(np.diff(ends // SAMPLER_CHUNKS)) + 1).tolist(), len(per_text)]
-    for start, end in zip(cuts, cuts[1:]):
+    roots, ends = lattices.heads[places], np.cumsum(per_text)
+    for start, end in _cuts(ends, SAMPLER_CHUNKS):
         own = roots[ends[start] - per_text[start] : ends[end - 1]] if end > start else roots[:0]
         made += Sampler(lattices, per_text[start:end], own, keys[start:end]).run(k)
     return made
 
 
+def _cuts(ends: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Runs of rows whose ends are in one multiple of the size."""
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(ends)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def chunks_of(text: str) -> list[str]:
     """The chunks of a text, each without its first space mark."""
     if not text:
@@ -545,31 +724,29 @@ def encode_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     null id share one seed. Null and empty texts have no ids and one certain sample without ids. A
     literal space mark in a text is encoded like a space, as the model itself does it. ``decoded`` names a
     column for the text that the ids decode to. An empty table gives an empty result. Whole texts are taken:
-    a worker holds the lattices of ``KNOWN_CHUNKS`` and of a batch, or of one text where that is longer. Columns called ids, samples
-    or like ``decoded`` are replaced, all others are kept, whatever their names.
+    a worker holds the numbers of the chunks of ``GROUP_CHARS`` and the lattices of ``KNOWN_CHUNKS`` and of
+    a batch, or of one text where that is longer. Columns called ids, samples or like ``decoded`` are
+    replaced, all others are kept, whatever their names.
     """
     made = ["ids", "samples", *([decoded] if decoded else [])]
     kept = [c for c in docs.columns if c not in made]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = processor(model), KnownChunks(model)
+        own = processor(model)
         kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())]))
+
         for frame in frames:
-            sizes = np.cumsum(pc.fill_null(pc.utf8_length(frame.column(frame.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // BATCH_CHARS)) + 1).tolist(), frame.num_rows]
-            for start, end in zip(cuts, cuts[1:]):
+            for start, end, known, met in known_batches(frame.column(frame.num_columns - 1), model):
                 part = frame.slice(start, end - start)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 keys = part.column(part.num_columns - 2).to_numpy()
-                met = known.meet([chunks_of(t) for t in texts])
                 encoded, stops = known.encode(*met)
                 starts = np.concatenate(([0], stops))
                 ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(encoded, pa.int32()))
-                back = [pa.array([own.decode(encoded[a:b].tolist()) for a, b in zip(starts, stops)], pa.string())] if decoded else []
-                del encoded, texts
+                back = [pa.array(own.decode([encoded[a:b] for a, b in zip(starts, stops)], num_threads=1) if part.num_rows else [], pa.string())] if decoded else []
+                del encoded
                 samples = _sampled(known.lattices, *met, k, keys)
                 flat = [s for row in samples for s in row]
-                numbers = np.concatenate([s[0] for s in flat]) if flat else np.zeros(0, np.int64)
+                numbers = np.concatenate([s[0] for s in flat]) if flat else np.zeros(0, np.int32)
                 ends = np.cumsum([0, *(len(s[0]) for s in flat)])
                 rows = pa.StructArray.from_arrays(
                     [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32())),

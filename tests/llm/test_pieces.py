@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 
@@ -125,3 +126,50 @@ def test_chunks_known_from_batch_to_batch(spark, vocabulary, monkeypatch):
             assert [s[0].tolist() for s in row] == [s[0].tolist() for s in expected]
             assert np.allclose([s[1:] for s in row], [s[1:] for s in expected])
     assert len(known.uses) < len({c for t in texts for c in pieces.chunks_of(t)}) + 6
+
+
+def test_chunks_that_come_again_are_made_once(monkeypatch):
+    made = []
+
+    class Counted(pieces.Lattices):
+        def __init__(self, chunks, vocabulary):
+            made.extend(chunks)
+            super().__init__(chunks, vocabulary)
+
+    monkeypatch.setattr(pieces, "Lattices", Counted)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 40)
+    monkeypatch.setattr(pieces, "KNOWN_CHUNKS", 60)
+    texts = [f"far{i % 25} once{i} a{i}b once{i}c" for i in range(100)]  # each far chunk comes again 25 texts later
+    batches = list(pieces.known_batches(pa.array(texts), MODEL))
+    assert len(batches) > 20 and [b[0] for b in batches] == [0, *(b[1] for b in batches[:-1])] and batches[-1][1] == 100
+    assert sorted(made) == sorted({c for t in texts for c in pieces.chunks_of(t)})
+
+
+@pytest.mark.parametrize("kept, chars", [(4, 10**9), (200_000, 30), (4, 30)])
+def test_batches_that_know_what_is_to_come(vocabulary, monkeypatch, kept, chars):
+    texts = ["a  b ", None, " ", "", "x▁y", " lead", "\u0000a \u2028b", "é \U0001F600  z\r\n\t q", "▁", "ab cd ab", "ab ef gh", "   ", "ab", None] * 3
+    monkeypatch.setattr(pieces, "KNOWN_CHUNKS", kept)
+    monkeypatch.setattr(pieces, "GROUP_CHARS", chars)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 12)
+    column = pa.array(["not in it  ", *texts, "nor▁this"]).slice(1, len(texts))
+    seen = 0
+    for start, end, known, met in pieces.known_batches(column, MODEL):
+        assert start == seen
+        seen = end
+        ids, ends = known.encode(*met)
+        assert [part.tolist() for part in np.split(ids, ends[:-1])] == processor(MODEL).encode([t or "" for t in texts[start:end]])
+        drawn = pieces._sampled(known.lattices, *met, 3, np.arange(start, end))
+        for i, row in enumerate(drawn, start):
+            expected = sample_segmentations([texts[i] or ""], 3, [i], vocabulary)[0]
+            assert [s[0].tolist() for s in row] == [s[0].tolist() for s in expected]
+            assert np.allclose([s[1:] for s in row], [s[1:] for s in expected])
+    assert seen == len(texts)
+
+
+def test_steps_opened_late_change_nothing(vocabulary, monkeypatch):
+    texts = ["the quick brown fox jumps over the lazy dog " * 40, "sure", "", "x" * 400, "etwas Längeres\nüber Wörter " * 20]
+    whole = sample_segmentations(texts, 6, np.arange(5), vocabulary)
+    for opened in (1, 10**6):
+        monkeypatch.setattr(pieces, "OPENED", opened)
+        for row, other in zip(whole, sample_segmentations(texts, 6, np.arange(5), vocabulary)):
+            assert [(a.tolist(), *rest) for a, *rest in row] == [(a.tolist(), *rest) for a, *rest in other]
